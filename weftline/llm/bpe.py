@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 #: Text that is encoded together, in characters, and pieces that a worker remembers at most.
-STEP, CACHE = 1 << 20, 250_000
+STEP, CACHE = 1 << 20, 500_000
+#: Leaves of the trees that are worked on together; they should fit in a processor's cache.
+BLOCK = 1 << 17
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # Unicode white space
 #: How byte-level vocabularies of this kind cut a text into pieces (fixed by their format).
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -58,19 +60,43 @@ class BytePairs:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         key = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         self.result = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.order = np.argsort(key)
-        self.keys = np.append(key[self.order], _BIG)
+        self._hash(key)
         self.rank_of = {int(k): i for i, k in enumerate(key)}
         self._cache: dict[str, bytes] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_cache": {}}
 
+    def _hash(self, key: np.ndarray) -> None:
+        """Two hash tables from pair to rank: a sparse one, then one without collisions for what collided in it."""
+        self.keys = np.append(key, -1)
+        self.slots = np.full(1 << 20, len(key), np.int32)
+        self.slots[self._slot(key, 20, 0)] = np.arange(len(key))
+        rest = np.flatnonzero(self.slots[self._slot(key, 20, 0)] != np.arange(len(key)))
+        for self.salt in range(1, 1000):
+            at = self._slot(key[rest], 24, self.salt)
+            if len(np.unique(at)) == len(rest):
+                break
+        else:
+            raise ValueError("no collision-free table found for this vocabulary")
+        self.more = np.full(1 << 24, len(key), np.int32) if len(rest) else self.slots
+        self.more_bits = 24 if len(rest) else 20
+        if len(rest):
+            self.more[at] = rest
+
+    @staticmethod
+    def _slot(key: np.ndarray, bits: int, salt: int) -> np.ndarray:
+        x = (key.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it can't be merged."""
         key = left << 32 | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.order[np.minimum(at, len(self.order) - 1)], -1)
+        rank = self.slots[self._slot(key, 20, 0)]
+        odd = np.flatnonzero(self.keys[rank] != key)
+        again = self.more[self._slot(key[odd], self.more_bits, self.salt)]
+        rank[odd] = np.where(self.keys[again] == key[odd], again, -1)
+        return rank
 
     def merge_one(self, piece: bytes) -> list[int]:
         """One piece, with a segment tree in plain lists."""
@@ -110,75 +136,88 @@ class BytePairs:
                         tree[node] = min(tree[2 * node], tree[2 * node + 1])
         return [x for x, g in zip(ids, gone, strict=True) if not g]
 
-    def merge_many(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Pieces of at most the same power of two of bytes, each a column of the arrays."""
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces of at most the same power of two of bytes, each a column of the arrays; their ids as bytes."""
         sizes = np.array([len(p) for p in pieces])
         bits = max(1, int(sizes.max() - 1).bit_length())
         leaves, n = 1 << bits, len(pieces)
         column = np.repeat(np.arange(n), sizes)
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = np.full((leaves + 1, n), -1, np.int64)
-        ids[place, column] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.tile(np.arange(1, leaves + 2, dtype=np.int32)[:, None], (1, n))
-        before = np.tile(np.arange(-1, leaves, dtype=np.int32)[:, None], (1, n))
+        kind = np.int32 if len(self.result) < 1 << (30 - bits) else np.int64
+        none = np.iinfo(kind).max
+        # row r of column c is at r * n + c; ids has a row of -1 below, links point to it at the end of a piece
+        ids = np.full((leaves + 1) * n, -1, np.int64)
+        ids[place * n + column] = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.repeat(np.arange(1, leaves + 2), n)
+        before = np.repeat(np.arange(-1, leaves), n)
         live = ids >= 0
-        tree = np.full((2 * leaves, n), _BIG, np.int64)
+        tree = np.full(2 * leaves * n, none, kind)
 
         def leaf(i, j, c):
-            a, b = ids[i, c], ids[j, c]
-            rank = self.ranks(np.maximum(a, 0), np.maximum(b, 0))
-            return np.where((a >= 0) & (b >= 0) & (rank >= 0), rank << bits | i, _BIG)
+            a, b = ids[i * n + c], ids[j * n + c]
+            rank = self.ranks(a, np.maximum(b, 0))
+            return np.where((b >= 0) & (rank >= 0), rank.astype(kind) << bits | i, none)
 
         inner = place + 1 < sizes[column]
         i, c = place[inner], column[inner]
-        tree[leaves + i, c] = leaf(i, i + 1, c)
+        tree[(leaves + i) * n + c] = leaf(i, i + 1, c)
+        levels = tree.reshape(2 * leaves, n)
         for level in range(bits - 1, -1, -1):
             a = 1 << level
-            tree[a : 2 * a] = np.minimum(tree[2 * a : 4 * a : 2], tree[2 * a + 1 : 4 * a : 2])
-        c = np.flatnonzero(tree[1] < _BIG)
+            levels[a : 2 * a] = np.minimum(levels[2 * a : 4 * a : 2], levels[2 * a + 1 : 4 * a : 2])
+        c = np.flatnonzero(levels[1] < none)
         while len(c):
-            top = tree[1, c]
-            i = top & (leaves - 1)
-            j = after[i, c]
-            k = np.minimum(after[j, c], leaves)
-            p = before[i, c]
-            ids[i, c] = self.result[top >> bits]
-            ids[j, c] = -1
-            live[j, c] = False
-            after[i, c] = k
-            before[k, c] = i
-            tree[leaves + j, c] = _BIG
-            tree[leaves + i, c] = leaf(i, k, c)
-            has = p >= 0
-            tree[leaves + p[has], c[has]] = leaf(p[has], i[has], c[has])
-            for at in (j, i, np.maximum(p, 0)):
-                node = leaves + at
-                for _ in range(bits):
-                    node = node >> 1
-                    tree[node, c] = np.minimum(tree[2 * node, c], tree[2 * node + 1, c])
-            c = c[tree[1, c] < _BIG]
-        flat = ids[:leaves].T[live[:leaves].T]
-        return np.split(flat, np.cumsum(live[:leaves].sum(axis=0))[:-1])
-
-    def merge(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of every distinct piece as little-endian 32-bit numbers."""
-        out = {p: self.byte_id[p[0]].astype("<u4").tobytes() for p in pieces if len(p) == 1}
-        groups: dict[int, list[bytes]] = {}
-        for p in pieces:
-            if len(p) > 1:
-                groups.setdefault((len(p) - 1).bit_length(), []).append(p)
+            top = levels[1, c]
+            i = (top & (leaves - 1)).astype(np.int64)
+            own, j = i * n + c, after[i * n + c]
+            k = np.minimum(after[j * n + c], leaves)
+            p = before[own]
+            ids[own] = self.result[top >> bits]
+            ids[j * n + c] = -1
+            live[j * n + c] = False
+            after[own] = k
+            before[k * n + c] = i
+            has = np.flatnonzero(p >= 0)
+            at = np.concatenate([j, i, p[has]])
+            cs = np.concatenate([c, c, c[has]])
+            values = np.concatenate([np.full(len(c), none, kind), leaf(np.concatenate([i, p[has]]), np.concatenate([k, i[has]]), np.concatenate([c, c[has]]))])
+            node = at + leaves
+            tree[node * n + cs] = values
+            for _ in range(bits):
+                node >>= 1
+                child = 2 * n * node + cs
+                tree[node * n + cs] = np.minimum(tree[child], tree[child + n])
+            c = c[levels[1, c] < none]
+        ids, live = ids.reshape(leaves + 1, n), live.reshape(leaves + 1, n)
+        flat = ids[:leaves].T[live[:leaves].T].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(live[:leaves].sum(axis=0))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every piece as little-endian 32-bit numbers."""
+        out: list[bytes] = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for at, p in enumerate(pieces):
+            groups.setdefault((len(p) - 1).bit_length(), []).append(at)
         for bits, group in groups.items():
-            step = max(1, (1 << 19) >> bits)
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
-                ids = map(self.merge_one, part) if len(part) < 16 else self.merge_many(part)
-                out |= {p: np.array(x, "<u4").tobytes() for p, x in zip(part, ids, strict=True)}
+            step = max(1, BLOCK >> bits)
+            for first in range(0, len(group), step):
+                places = group[first : first + step]
+                part = [pieces[i] for i in places]
+                if bits == 0 or len(part) < 16:
+                    ids = [np.array(self.merge_one(p), "<u4").tobytes() for p in part]
+                else:
+                    ids = self.merge_many(part)
+                for i, x in zip(places, ids, strict=True):
+                    out[i] = x
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         cache, chunked, missing = self._cache, [], set()
+        if len(cache) > CACHE:
+            cache.clear()
         special = {t: int(i).to_bytes(4, "little") for t, i in self.specials.items()}
         for text in texts:
             chunks: list[str] = []
@@ -190,24 +229,29 @@ class BytePairs:
             chunked.append(chunks)
             missing.update(c for c in chunks if c not in cache)
         missing -= special.keys()
-        pieces = {c: [p.encode() for p in _pieces(c)] for c in missing}
-        done = self.merge(list({p for ps in pieces.values() for p in ps}))
-        if len(cache) + len(missing) > CACHE:
-            used = {c for chunks in chunked for c in chunks}
-            for c in [c for c in cache if c not in used]:
-                del cache[c]
-        cache.update((c, b"".join([done[p] for p in ps])) for c, ps in pieces.items())
+        new, pieces = set(), {}
+        for c in missing:
+            if (c[0] == " " or c[0].isalpha()) and c[1:].isalpha():  # one piece, as most chunks are
+                new.add(c)
+            else:
+                pieces[c] = own = _ascii_pieces(c) if c.isascii() else _pieces(c)
+                new.update(own)
+        new -= cache.keys()
+        order = list(new)
+        cache.update(zip(order, self.merge([p.encode() for p in order]), strict=True))
+        for c, own in pieces.items():
+            if len(own) > 1:
+                cache[c] = b"".join([cache[p] for p in own])
         cache.update(special)
-        out = [b"".join([cache[c] for c in chunks]) for chunks in chunked]
-        if len(cache) > CACHE:
-            cache.clear()
-        return out
+        return [b"".join([cache[c] for c in chunks]) for chunks in chunked]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _pieces = regex.compile(PIECES).findall
+#: The same for ASCII alone, in the faster library.
+_ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
 
 
 def _digests(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

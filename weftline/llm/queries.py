@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, multi_index, order_minhash, quality
+from . import bpe, kneser_ney, language_mixture, licences, mixing, multi_index, order_minhash, quality, repeats, secrets
 from .common import table
 
+#: The vocabulary file of the encoding query.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
@@ -23,13 +32,41 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_texts(table(spark, sf_dir, "documents"), language_mixture.held_out(7))
+
+
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_matches(table(spark, sf_dir, "documents"))
+
+
+def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_quality_forest, op3_multi_index, op7_order_minhash)}
+    import corpus_pipeline
+
+    own = (op1_mix_sources, op2_quality_forest, op3_multi_index, op4_language_mixture, op5_kneser_ney, op6_bpe_tree, op7_order_minhash, op8_guess_cost, op9_licence_dice, op10_maximal_repeats)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Of the queries that SQL can express."""
     return {"op1_mix_sources": mixing.MIX_SQL}
