@@ -38,7 +38,7 @@ from .textops import _P, _P_INV, U64, keys, mix64, powers, text_bytes
 
 LENGTH, GRAM = 400, 50
 BEFORE = LENGTH - GRAM
-GROUP = 2000
+GROUP = 100_000
 #: Bytes that one vectorised step takes on; a longer document is taken in overlapping pieces.
 STEP = 1 << 19
 _TABLES = [keys(256, 21), keys(256, 22)]
