@@ -6,8 +6,7 @@ a and b bigrams, so that each template has a range of sizes, and units outside o
 that reaches the threshold also shares dice / (2 - dice) of a template's bigrams at least, so it holds one of any set of
 words that touches more than the others of them: a unit without such an anchor word is left out before it is cut up.
 
-The templates are a table of a fixed number of rows (TEMPLATES, or the caller's, of MAX_TEMPLATES at most), so it is
-broadcast by its bound. Defined results: null and empty texts and texts without a match have n_matches 0 and null licence;
+The templates (TEMPLATES, or the caller's, MAX_TEMPLATES at most) are a literal of the plan: nothing is joined or shuffled. Defined results: null and empty texts and texts without a match have n_matches 0 and null licence;
 ties go to the template first in order; repeated rows give repeated results; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -15,6 +14,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 
@@ -95,7 +95,7 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     """doc_id, n_units compared, n_matches, licence and dice of the best match, for every document."""
     ship(docs.sparkSession)
     table = template_table(docs, templates, dice)
-    known = table.select("t_grams", "low", "high").collect()  # the templates
+    known = table.orderBy("place").collect()  # the templates, MAX_TEMPLATES at most
     anchors = anchor_words([list(r["t_grams"]) for r in known], dice)
     low, high = F.lit(min(int(r["low"]) for r in known)), F.lit(max(int(r["high"]) for r in known))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -105,14 +105,15 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     units = F.filter(units, lambda u: holds_any(F.lower(u), anchors))
     grams = F.filter(F.transform(F.transform(units, normal_words), bigrams), lambda g: F.size(g).between(low, high))
     grams = F.when(holds_any(F.lower(text), anchors), grams).otherwise(F.array().cast("array<array<string>>"))
-    rows = table.orderBy("place").select(F.struct("place", "licence", "t_grams", "t_size", "low", "high").alias("t")).agg(F.sort_array(F.collect_list("t")).alias("all_t"))
-    units = docs.select("doc_id", grams.alias("grams")).crossJoin(F.broadcast(rows))  # one row of MAX_TEMPLATES templates at most
+    fields = ("place", "licence", "t_grams", "t_size", "low", "high")
+    literal = F.from_json(F.lit(json.dumps([{f: r[f] for f in fields} for r in known])), "array<struct<place:int,licence:string,t_grams:array<string>,t_size:int,low:long,high:long>>")
+    units = docs.select("doc_id", grams.alias("grams"))
 
     def score(g: Column, t: Column) -> Column:
         return F.size(F.array_intersect(g, t["t_grams"])) * 2.0 / (F.size(g) + t["t_size"])
 
     def best(g: Column) -> Column:
-        fitting = F.filter("all_t", lambda t: F.size(g).between(t["low"], t["high"]))
+        fitting = F.filter(literal, lambda t: F.size(g).between(t["low"], t["high"]))
         return F.transform(fitting, lambda t: F.struct(score(g, t).alias("dice"), (-t["place"]).alias("place"), t["licence"].alias("licence")))
 
     found = units.select("doc_id", F.size("grams").cast("long").alias("n_units"), F.filter(F.flatten(F.transform("grams", best)), lambda m: m["dice"] >= dice).alias("m"))
