@@ -14,9 +14,13 @@ from ..operators.sheet import resize_to
 from ..operators.stencil import remove_aa
 
 
-def run_pipeline(pixels: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """Grid, blends, blocks, palette, background, size; stages that are switched off leave no node in the plan."""
-    grid = None if config.grid.skip else detect_grid(pixels, config.grid)
+def run_pipeline(pixels: DataFrame, config: PipelineConfig = PipelineConfig(), grid: DataFrame | None = None) -> DataFrame:
+    """Grid, blends, blocks, palette, background, size; stages that are switched off leave no node in the plan.
+
+    A ``grid`` found elsewhere takes the place of detection.
+    """
+    if grid is None and not config.grid.skip:
+        grid = detect_grid(pixels, config.grid)
     out = pixels if config.aa.skip else remove_aa(pixels, config.aa.threshold)
     if grid is not None:
         out = downscale(out, grid.filter("grid_size > 1"), config.mode)

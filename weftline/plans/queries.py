@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.color import LAB, LMS, channel, distance, oklab_struct
 from ..model import BackgroundConfig, GridConfig, Mode, PipelineConfig, QuantizeConfig
 from ..operators import background, blocks, grid, histogram, palette, sheet, stencil
-from ..sources import corpus, palettes
+from ..sources import corpus, palettes, sinks
 from .pipeline import run_pipeline
+from .sheets import process_sheet
 
 PX, FR = corpus.sprites_sql(), corpus.sprites_sql("px", 2)
 _CENTROIDS = [(0.3, 0.0, 0.0), (0.6, 0.1, 0.1), (0.8, -0.1, 0.1), (0.6, 0.2, -0.2)]
@@ -104,6 +105,8 @@ def noisy(pixels: DataFrame) -> DataFrame:
 
 
 NOISY = PX.replace("px AS (", "clean AS (", 1) + ", px AS (SELECT image_id, x, y, CASE WHEN (x * 5 + y * 3 + image_id) % 7 = 0 THEN 4278190335::BIGINT ELSE c END AS c FROM clean)"
+NOISY_SHEETS = f"""{corpus.sheets_sql()}, noise AS (SELECT image_id, x, y, CASE WHEN (x * 5 + y * 3 + image_id) % 7 = 0 THEN 4278190335::BIGINT ELSE c END AS c FROM sh),
+placed AS (SELECT *, 4 AS g, x // 4 AS bx, y // 4 AS "by", x % 4 AS dx, y % 4 AS dy FROM noise)"""
 _VOTE = {
     Mode.MAJORITY: ("count(*)", "max(CASE WHEN dx = g // 2 AND dy = g // 2 THEN 1 ELSE 0 END) DESC, min(dy * 65536 + dx)"),
     Mode.CENTER_WEIGHTED: (f"sum({WEIGHT})", "min(dy * 65536 + dx)"),
@@ -121,6 +124,15 @@ def _both(spark, sf_dir, f) -> DataFrame:
     return f(p, "y").withColumn("axis", F.lit("y")).unionByName(f(p, "x").withColumn("axis", F.lit("x")))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of outputs for made-up paths with an extension, with two dots and without any."""
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"))
+    i = F.col("id").cast("string")
+    path = F.concat(F.lit("file:/in.d/"), i, F.element_at(F.array(F.lit(""), F.lit(".gif"), F.lit(".a.PNG")), (F.col("id") % 3 + 1).cast("int")))
+    row, col = F.floor(F.col("id") / 8).cast("int"), (F.col("id") % 8).cast("int")
+    return t.select("id", sinks.normalized_name(path).alias("output"), sinks.sprite_name(row, col).alias("sprite"), sinks.tile_name(row, col).alias("tile"))
+
+
 def lineitem_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position-free colours from quantities, discounts and taxes."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -235,6 +247,16 @@ snapped0 AS (SELECT p.image_id, p.x, p.y, CASE WHEN bx < bw AND "by" < bh THEN (
 {_palette_sql("pico-8")}, {labs("lab", "snapped0")}, {snapped}
 SELECT image_id, x, y, won AS c FROM snapped0 JOIN snapped USING (c)""",
         ),
+        "sheet_process": (
+            lambda s, d: process_sheet(noisy(corpus.sheets(s, d)), 12, 12, config=PipelineConfig(grid=GridConfig(size=4, phase=(0, 0)), quantize=QuantizeConfig(skip=True))),
+            f'WITH {NOISY_SHEETS}, {_vote_sql(Mode.SNAP)} SELECT p.image_id, p.x, p.y, w.c FROM placed p JOIN won w USING (image_id, bx, "by")',
+        ),
+        "output_names": (
+            lambda s, d: _names(s, d),
+            "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || '_normalized.png' WHEN p_partkey % 3 = 1 THEN p_partkey || '_normalized.gif' ELSE p_partkey || '.a_normalized.PNG' END AS output, printf('sprite_%02d_%02d.png', CAST(p_partkey // 8 AS INTEGER), CAST(p_partkey % 8 AS INTEGER)) AS sprite, 'tile_' || p_partkey // 8 || '_' || p_partkey % 8 || '.png' AS tile FROM part",
+        ),
+        "png_encode": (lambda s, d: sinks.encode_images(px(s, d)), None),
+        "gif_encode": (lambda s, d: sinks.encode_animation(sheet.split(px(s, d), 5, 4), 12), None),
         "kmeans_palette": (lambda s, d: palettes.from_colours(s, palette.kmeans_palette(px(s, d), 8)), None),
     }
     for mode, name in ((Mode.MAJORITY, "block_majority"), (Mode.CENTER_WEIGHTED, "block_center_weighted")):
