@@ -71,21 +71,22 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, document numbers, their starts in the bytes, the place in its document that each begins with)."""
+def _pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(bytes, document numbers, their starts in the bytes, the place in its document that each begins with, and the
+    range of the bytes whose anchors are this piece's: each place belongs to one piece, which holds all its context)."""
     at = 0
     while at < len(off) - 1:
         size = off[at + 1] - off[at]
         if size > 2 * STEP:
             for a in range(0, int(size), STEP):
                 low, high = max(0, a - BEFORE), min(int(size), a + STEP + 2 * LENGTH)
-                yield data[off[at] + low : off[at] + high], np.array([at]), np.array([0, high - low]), np.array([low])
+                yield data[off[at] + low : off[at] + high], np.array([at]), np.array([0, high - low]), np.array([low]), a - low, (high if high == size else a + STEP) - low
                 if high == size:
                     break
             at += 1
             continue
         to = max(at + 1, int(np.searchsorted(off, off[at] + STEP, "right")) - 1)
-        yield data[off[at] : off[to]], np.arange(at, to), off[at : to + 1] - off[at], np.zeros(to - at, np.int64)
+        yield data[off[at] : off[to]], np.arange(at, to), off[at : to + 1] - off[at], np.zeros(to - at, np.int64), 0, int(off[to] - off[at])
         at = to
 
 
@@ -94,7 +95,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> Iterator[dict[str, np.ndarray]
 
     ``at`` and ``bytes`` tell where the context stands.
     """
-    for part, docs, starts, shift in _pieces(data, off):
+    for part, docs, starts, shift, first, last in _pieces(data, off):
         if len(part) < LENGTH:
             continue
         gram = _Hashes(part, _TABLES[0])
@@ -104,18 +105,14 @@ def anchors(data: np.ndarray, off: np.ndarray) -> Iterator[dict[str, np.ndarray]
         owner = np.searchsorted(starts, np.arange(len(least)), "right") - 1
         inside = np.arange(len(least)) + LENGTH <= starts[owner + 1]
         pos = np.unique((least[inside] & _PLACE).astype(np.int64))
+        pos = pos[(pos >= first) & (pos < last)]
         if not len(pos):
             continue
         own = np.searchsorted(starts, pos, "right") - 1
         left = np.minimum(pos - starts[own], BEFORE)
         right = np.minimum(starts[own + 1] - pos, LENGTH)
         context = _Hashes(part, _TABLES[1])(pos - left, pos + right) + mix64(left.astype(U64))
-        # in a piece of a long document only anchors with all their context count; the next piece has the others
-        whole = np.ones(len(pos), bool)
-        if len(docs) == 1 and len(part) < off[docs[0] + 1] - off[docs[0]]:
-            size = off[docs[0] + 1] - off[docs[0]]
-            whole = (left == np.minimum(pos + shift[0], BEFORE)) & (right == np.minimum(size - pos - shift[0], LENGTH))
-        yield {"doc": docs[own][whole], "pos": (pos - starts[own] + shift[own])[whole], "h": h[pos][whole], "c": context[whole], "left": left[whole], "right": right[whole], "at": pos[whole], "bytes": part}
+        yield {"doc": docs[own], "pos": pos - starts[own] + shift[own], "h": h[pos], "c": context, "left": left, "right": right, "at": pos, "bytes": part}
 
 
 def document_keys(column: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
