@@ -4,7 +4,7 @@ The base patterns find assignments, access keys and long hexadecimal runs. The m
 stands in a credential context (a wider set of names, and separators such as "is" or "=>") and computes what guessing
 it would cost: a dynamic programme over all segmentations into common words, dates, repeats, keyboard walks and
 brute-force spans takes the least sum of log10 guesses. Values that cost at least MIN_GUESSES are spans of kind guess,
-unless a base span covers them.
+unless base spans cover them wholly; a value that a base span covers in part is a span as a whole.
 
 Defined results: null and empty texts have no spans; positions are code points of the whole text; repeated rows give
 repeated results; an empty table gives an empty result; extra columns are ignored, or passed through by ``redact``.
@@ -112,6 +112,15 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     return best[n][0], tuple(reversed(spans))
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, taken together, hold all of start to end."""
+    for s, _, e in sorted(x for x in spans if x[0] < end and start < x[2]):
+        if s > start:
+            return False
+        start = max(start, e)
+    return start >= end
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """(kind's place in KINDS, start, end, kind) as (start, end, kind), sorted by start, then kind."""
     if not text:
@@ -129,7 +138,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         for m in _CONTEXT.finditer(text):
             group = m.lastindex
             start, end = m.span(group)
-            if not any(s < end and start < e for s, _, e in base) and guess_cost(m[group][:LONGEST])[0] >= MIN_GUESSES:
+            if not _covered(start, end, base) and guess_cost(m[group][:LONGEST])[0] >= MIN_GUESSES:
                 out.append((start, 3, end))
     return [(s, e, KINDS[k]) for s, k, e in sorted(out)]
 
