@@ -3,7 +3,9 @@
 The base patterns find assignments, access keys and long hexadecimal runs. The method then looks at every value that
 stands in a credential context (a wider set of names, and separators such as "is" or "=>") and computes what guessing
 it would cost: a dynamic programme over all segmentations into common words, dates, repeats, keyboard walks and
-brute-force spans takes the least sum of log10 guesses. Values that cost at least MIN_GUESSES are spans of kind guess,
+brute-force spans takes the least sum of log10 guesses. Values run to their real end: the closing quote of the same line,
+with spaces and escaped characters, or, unquoted or where the quote isn't closed, the next space, quote or one of <>;,.
+The programme stops as soon as no continuation can cost less than MIN_GUESSES, which is exact. Values that cost at least MIN_GUESSES are spans of kind guess,
 unless base spans cover them wholly; a value that a base span covers in part is a span as a whole.
 
 Defined results: null and empty texts have no spans; positions are code points of the whole text; repeated rows give
@@ -24,14 +26,16 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 KINDS = ("assign", "access", "hex", "guess")
-#: log10 of the guesses from which a value is a secret; longest value that is looked at as a password.
-MIN_GUESSES, LONGEST = 10.0, 128
+#: log10 of the guesses from which a value is a secret.
+MIN_GUESSES = 10.0
+#: Longest unit of a repeat.
+UNIT = 16
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CONTEXT = re.compile(
     r"(?<![a-z])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[\"']?"
-    r"[\x20\t]*(?::=|=>|[:=]|\x20is\x20)[\x20\t]*(?:\"([^\"\s]{6,128})\"|'([^'\s]{6,128})'|([^\s\"'<>;,]{6,128}))",
+    r"[\x20\t]*(?::=|=>|[:=]|\x20is\x20)[\x20\t]*(?:\"((?:[^\"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|[\"']?([^\s\"'<>;,]{6,}))",
     re.IGNORECASE | re.ASCII,
 )
 #: What a text must hold, in lower case, for either pattern of assignments to match.
@@ -49,6 +53,7 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFTED = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./", strict=True))
 _KEY = {c: (x + y / 2, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)?\d\d)")
+_LONGEST_DATE = 10
 _LEET = str.maketrans("@4301!$5+7", "aaeoiisstt")
 
 
@@ -63,8 +68,11 @@ def _cardinality(part: str) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
-    """log10 of the guesses of the cheapest segmentation, and its spans (kind, start, end)."""
+def guess_cost(value: str, enough: float = math.inf) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+    """log10 of the guesses of the cheapest segmentation, and its spans (kind, start, end).
+
+    Where the cost reaches ``enough`` whatever follows, a bound of at least that and no spans.
+    """
     n = len(value)
     lower = value.lower()
     plain = lower.translate(_LEET)
@@ -77,6 +85,7 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     for i in range(n):
         if m := _DATE.match(value, i):
             dates.setdefault(m.end(), []).append(i)
+    runs = [0] * (UNIT + 1)  # for each unit, how many characters before ``end`` equal the one a unit before them
     for end in range(1, n + 1):
         # brute force: one character more on any segmentation, a little more where a span begins
         before = best[end - 1]
@@ -92,15 +101,19 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
         if end - walk[end - 1] >= 3:
             start = walk[end - 1]
             options.append((best[start][0] + math.log10(94 * (end - start) * 4), start, "walk"))
-        for unit in range(1, min(16, end // 2) + 1):
-            piece, times = value[end - unit : end], 1
-            while end - (times + 1) * unit >= 0 and value[end - (times + 1) * unit : end - times * unit] == piece:
-                times += 1
+        for unit in range(1, min(UNIT, end - 1) + 1):
+            runs[unit] = runs[unit] + 1 if value[end - 1] == value[end - 1 - unit] else 0
+            times = runs[unit] // unit + 1
             if times >= 2 and times * unit >= 3:
-                start = end - times * unit
+                start, piece = end - times * unit, value[end - unit : end]
                 inner = min(unit * math.log10(_cardinality(piece)), math.log10(_RANK[piece.lower()] + 1) if piece.lower() in _RANK else math.inf)
                 options.append((best[start][0] + inner + math.log10(times), start, "repeat"))
         best[end] = min(options)
+        if best[end][0] >= enough:
+            # any segmentation goes on from a place that a word, date, walk or repeat over ``end`` can begin at
+            back = max(_LONGEST_WORD, _LONGEST_DATE, UNIT, end - walk[end - 1], *(r + u for u, r in enumerate(runs)))
+            if back < 4096 and (least := min(x[0] for x in best[max(0, end - back) : end + 1])) >= enough:
+                return least, ()
     spans, end = [], n
     while end > 0:
         _, start, kind = best[end]
@@ -138,7 +151,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         for m in _CONTEXT.finditer(text):
             group = m.lastindex
             start, end = m.span(group)
-            if not _covered(start, end, base) and guess_cost(m[group][:LONGEST])[0] >= MIN_GUESSES:
+            if not _covered(start, end, base) and guess_cost(m[group], MIN_GUESSES)[0] >= MIN_GUESSES:
                 out.append((start, 3, end))
     return [(s, e, KINDS[k]) for s, k, e in sorted(out)]
 
