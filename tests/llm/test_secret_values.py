@@ -33,3 +33,10 @@ def test_early_end_is_exact():
     for _ in range(3000):
         value = "".join(gen.choices(parts, k=gen.randint(1, 8)))
         assert (secrets.guess_cost(value)[0] >= 10) == (secrets.guess_cost(value, 10.0)[0] >= 10), value
+
+
+def test_clean_sentences():
+    for text in ["password is required", "the token is invalid.", "the secret is patience", "your password is incorrect", "auth: disabled", "credentials: optional", "The secret is \"out of the bag\" now"]:
+        assert secrets.find_spans(text) == [] and secrets.redacted(text) == text, text
+    for value in ["kqzvxwjp", "Tr0ub4dor&3xQz!", "correcthorsebatterystaple"]:
+        assert [k for _, _, k in secrets.find_spans(f"the passphrase is {value}")] == ["guess"], value

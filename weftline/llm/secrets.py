@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship
+from .wordlist import RANKED
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which a value is a secret.
@@ -40,15 +41,18 @@ _CONTEXT = re.compile(
 )
 #: What a text must hold, in lower case, for either pattern of assignments to match.
 _NAMES = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access", "private", "credential", "auth")
-#: Frequent words of passwords, most frequent first; the place is the number of guesses.
+#: Frequent words of passwords, most frequent first, before those of wordlist.py; the place is the number of guesses.
 WORDS = (
     "password 123456 qwerty letmein welcome admin login abc iloveyou monkey dragon master sunshine princess football baseball shadow "
     "superman batman trustno hello freedom whatever secret test user root default changeme guest example sample pass word token key api "
     "the and for you with that this from have not love computer internet server system summer winter spring autumn january february march "
     "april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST_WORD = max(map(len, WORDS))
+_SHORT = "of to in is it on be as at by he we or an my so do if me up no us go am".split()
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *_SHORT, *RANKED]))}
+_LONGEST_WORD = max(map(len, _RANK))
+#: log10 of the guesses of a space between parts of a value.
+_SPACE = 0.3
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _SHIFTED = dict(zip('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./", strict=True))
 _KEY = {c: (x + y / 2, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
@@ -90,12 +94,14 @@ def guess_cost(value: str, enough: float = math.inf) -> tuple[float, tuple[tuple
         # brute force: one character more on any segmentation, a little more where a span begins
         before = best[end - 1]
         options = [(before[0] + brute + (0.0 if before[2] == "brute" else 0.3), end - 1, "brute")]
-        for start in range(max(0, end - _LONGEST_WORD), end - 2):
+        for start in range(max(0, end - _LONGEST_WORD), end - 1):
             rank = _RANK.get(lower[start:end])
             turned = 0.0 if rank else 0.6
             if rank := rank or _RANK.get(plain[start:end]):
                 case = 0.0 if value[start:end] == lower[start:end] else 0.3 if value[start + 1 : end] == lower[start + 1 : end] else 1.0
                 options.append((best[start][0] + math.log10(rank + 1) + turned + case, start, "word"))
+        if value[end - 1] == " ":
+            options.append((before[0] + _SPACE, end - 1, "space"))
         for start in dates.get(end, ()):
             options.append((best[start][0] + math.log10(365 * (130 if end - start > 4 else 1)), start, "date"))
         if end - walk[end - 1] >= 3:
