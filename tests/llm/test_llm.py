@@ -148,6 +148,12 @@ def test_bpe(docs, empty):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
+    long = " ".join(texts[i] or "" for i in rng.choices(range(1500), k=16000)) + "é" * 999 + prose(60_000)
+    assert len(long) > 2 * bpe.STEP
+    want = np.array(library.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+    assert b"".join(own.encode_parts(long)) == want
+    assert bpe._digest(own, own.encode_parts(long)) == bpe._digest(own, [want])
+    assert len(own._cache) <= bpe.CACHE
     for piece in (b"hello", b"antidisestablishmentarianism", b"zzzzzzzzz"):
         assert own.merge_many([piece] * 2)[0] == np.array(own.merge_one(piece), "<u4").tobytes()
     for r in bpe.token_digests(docs, path).join(docs.dropDuplicates(["doc_id"]), "doc_id").collect():

@@ -11,6 +11,7 @@ their ids; decoding replaces bytes that are no UTF-8; repeated rows give repeate
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -18,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import ship
 
-#: Text that is encoded together, in characters, and pieces that a worker remembers at most.
-STEP, CACHE = 1 << 20, 500_000
+#: Text that is encoded together, in characters; pieces that a worker remembers at most, and their longest.
+STEP, CACHE, SHORT = 1 << 18, 100_000, 32
+#: Bits of the hash table from pair to rank.
+SLOTS = 20
 #: Leaves of the trees that are worked on together; they should fit in a processor's cache.
 BLOCK = 1 << 17
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # Unicode white space
@@ -32,7 +36,6 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Where a piece always ends: before a single space between characters that aren't white space.
 _CHUNK = re.compile(r"(?<=\S)(?= \S)")
-_BIG = np.int64(1 << 62)
 
 
 def byte_characters() -> dict[str, int]:
@@ -68,34 +71,30 @@ class BytePairs:
         return self.__dict__ | {"_cache": {}}
 
     def _hash(self, key: np.ndarray) -> None:
-        """Two hash tables from pair to rank: a sparse one, then one without collisions for what collided in it."""
+        """A sparse hash table from pair to rank, and the pairs that collide in it as a short sorted list."""
+        at, every = self._slot(key), np.arange(len(key), dtype=np.int32)
         self.keys = np.append(key, -1)
-        self.slots = np.full(1 << 20, len(key), np.int32)
-        self.slots[self._slot(key, 20, 0)] = np.arange(len(key))
-        rest = np.flatnonzero(self.slots[self._slot(key, 20, 0)] != np.arange(len(key)))
-        for self.salt in range(1, 1000):
-            at = self._slot(key[rest], 24, self.salt)
-            if len(np.unique(at)) == len(rest):
-                break
-        else:
-            raise ValueError("no collision-free table found for this vocabulary")
-        self.more = np.full(1 << 24, len(key), np.int32) if len(rest) else self.slots
-        self.more_bits = 24 if len(rest) else 20
-        if len(rest):
-            self.more[at] = rest
+        self.slots = np.full(1 << SLOTS, len(key), np.int32)
+        self.slots[at] = every
+        rest = every[self.slots[at] != every]
+        self.rest_ranks = rest[np.argsort(key[rest])]
+        self.rest_keys = key[self.rest_ranks]
 
     @staticmethod
-    def _slot(key: np.ndarray, bits: int, salt: int) -> np.ndarray:
-        x = (key.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+    def _slot(key: np.ndarray) -> np.ndarray:
+        x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it can't be merged."""
         key = left << 32 | right
-        rank = self.slots[self._slot(key, 20, 0)]
-        odd = np.flatnonzero(self.keys[rank] != key)
-        again = self.more[self._slot(key[odd], self.more_bits, self.salt)]
-        rank[odd] = np.where(self.keys[again] == key[odd], again, -1)
+        rank = self.slots[self._slot(key)]
+        found = self.keys[rank]
+        odd = np.flatnonzero((found != key) & (found >= 0))  # an empty slot has no pair that collided in it
+        rank[found != key] = -1
+        if len(odd) and len(self.rest_keys):
+            at = np.minimum(np.searchsorted(self.rest_keys, key[odd]), len(self.rest_keys) - 1)
+            rank[odd] = np.where(self.rest_keys[at] == key[odd], self.rest_ranks[at], -1)
         return rank
 
     def merge_one(self, piece: bytes) -> list[int]:
@@ -212,23 +211,25 @@ class BytePairs:
                     out[i] = x
         return out
 
+    def _parts(self, text: str) -> list[str]:
+        """The text cut at the special tokens, which are parts of their own."""
+        if not self.specials or not any(map(text.__contains__, self.specials)):
+            return [text]
+        return re.split("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")", text)
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        cache, chunked, missing = self._cache, [], set()
-        if len(cache) > CACHE:
-            cache.clear()
-        special = {t: int(i).to_bytes(4, "little") for t, i in self.specials.items()}
+        chunked, cache = [], self._cache
         for text in texts:
             chunks: list[str] = []
-            for part in cut.split(text or "") if cut else [text or ""]:
-                if part in special:
+            for part in self._parts(text or ""):
+                if part in self.specials:
                     chunks.append(part)
                 elif part:
                     chunks += _CHUNK.split(part)
             chunked.append(chunks)
-            missing.update(c for c in chunks if c not in cache)
-        missing -= special.keys()
+        missing = {c for chunks in chunked for c in chunks if c not in cache and c not in self.specials}
+        known = {t: int(i).to_bytes(4, "little") for t, i in self.specials.items()}
         new, pieces = set(), {}
         for c in missing:
             if (c[0] == " " or c[0].isalpha()) and c[1:].isalpha():  # one piece, as most chunks are
@@ -236,17 +237,37 @@ class BytePairs:
             else:
                 pieces[c] = own = _ascii_pieces(c) if c.isascii() else _pieces(c)
                 new.update(own)
-        new -= cache.keys()
-        order = list(new)
-        cache.update(zip(order, self.merge([p.encode() for p in order]), strict=True))
+        order = [p for p in new if p not in cache]
+        known.update(zip(order, self.merge([p.encode() for p in order]), strict=True))
         for c, own in pieces.items():
             if len(own) > 1:
-                cache[c] = b"".join([cache[p] for p in own])
-        cache.update(special)
-        return [b"".join([cache[c] for c in chunks]) for chunks in chunked]
+                known[c] = b"".join([known[p] if p in known else cache[p] for p in own])
+        out = [b"".join([known[c] if c in known else cache[c] for c in chunks]) for chunks in chunked]
+        kept = {c: x for c, x in known.items() if len(c) <= SHORT and c not in self.specials}
+        if len(cache) + len(kept) > CACHE:
+            cache.clear()
+        if len(kept) <= CACHE:
+            cache.update(kept)
+        return out
+
+    def encode_parts(self, text: str) -> Iterator[bytes]:
+        """The ids of one text, a stretch of about STEP characters at a time; stretches end where a piece always ends."""
+        for part in self._parts(text):
+            if part in self.specials:
+                yield int(self.specials[part]).to_bytes(4, "little")
+                continue
+            at = 0
+            while at < len(part):
+                cut = _CHUNK.search(part, at + STEP)
+                to = cut.start() if cut else len(part)
+                yield self.encode_batch([part[at:to]])[0]
+                at = to
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 _pieces = regex.compile(PIECES).findall
@@ -254,23 +275,40 @@ _pieces = regex.compile(PIECES).findall
 _ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
 
 
+def _digest(pairs: BytePairs, parts) -> tuple[int, str, str]:
+    """Number of ids and the digests of ids and decoded text; bytes of a character may be in two parts."""
+    ids_sha, text_sha, n = hashlib.sha256(), hashlib.sha256(), 0
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for ids in parts:
+        ids_sha.update(ids)
+        n += len(ids) // 4
+        text_sha.update(decoder.decode(pairs.decode_bytes(ids)).encode())
+    text_sha.update(decoder.decode(b"", True).encode())
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
+
 def _digests(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     pairs: BytePairs = model.value
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        size = np.cumsum([len(t or "") for t in texts])
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP)))
-            ids = pairs.encode_batch(texts[at:to])
-            columns = {
-                "doc_id": batch.column("doc_id").slice(at, to - at),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                "decoded_sha256": pa.array([hashlib.sha256(pairs.decode(x).encode()).hexdigest() for x in ids]),
-            }
-            yield pa.RecordBatch.from_pydict(columns)
-            at = to
+        texts = batch.column("text")
+        for first, last in _steps(texts):
+            part = texts.slice(first, last - first).to_pylist()
+            if last - first == 1 and len(part[0] or "") > STEP:
+                rows = [_digest(pairs, pairs.encode_parts(part[0]))]
+            else:
+                rows = [_digest(pairs, [ids]) for ids in pairs.encode_batch(part)]
+            n, ids_sha, text_sha = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, last - first), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(text_sha)})
+
+
+def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about STEP bytes of text; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP, "right")))
+        yield at, to
+        at = to
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -284,11 +322,11 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _token_lists(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            ids = model.value.encode_batch(part.column("text").to_pylist())
+        texts = batch.column("text")
+        for first, last in _steps(texts):
+            ids = model.value.encode_batch(texts.slice(first, last - first).to_pylist())
             off = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": pa.ListArray.from_arrays(off, np.frombuffer(b"".join(ids), "<u4").astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, last - first), "ids": pa.ListArray.from_arrays(off, np.frombuffer(b"".join(ids), "<u4").astype(np.int32))})
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
