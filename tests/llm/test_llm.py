@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import bpe, kneser_ney, language_mixture, licences, mixing, multi_index, order_minhash, quality, repeats, secrets
@@ -194,10 +195,39 @@ def test_near_duplicates(spark, docs, empty):
     assert all(got[i].class_id == 0 for i in range(12, 313)) and [got[i].class_id for i in range(313, 320)] == list(range(1, 8))
     assert got[320].class_id == 9 and all(got[i].kept for i in (*range(12), 321, 322))
     kept = order_minhash.drop_near_duplicates(docs)
+    assert sum(r.doc_id == 0 for r in kept.collect()) == 1  # of two rows with this id
     assert kept.columns == docs.columns and {0, None} <= {r.doc_id for r in kept.collect()} and not {44, 45} & {r.doc_id for r in kept.collect()}
     assert order_minhash.near_duplicates(empty).count() == 0
 
 
+def similar(a, b):
+    s, t = (order_minhash.short_shingles(w) for w in order_minhash.doc_words(pa.array([a, b])))
+    m = lcs(s.tolist(), t.tolist())
+    return m > 0 and m / (len(s) + len(t) - m) >= 0.8 - 1e-9
+
+
+def test_near_duplicate_classes_are_those_of_all_pairs(spark):
+    """Near copies around the threshold and short texts, against the alignment of every pair."""
+    own = random.Random(8)
+    data = []
+    for _ in range(40):
+        words = own.choices(VOCAB, k=own.choice([5, 6, 8, 9, 10, 11, 12, 13, 14, 40, 90, 200]))
+        data.append(" ".join(words))
+        for _ in range(own.randint(0, 4)):
+            copy = list(words)
+            for _ in range(own.randint(0, max(1, len(words) // 60))):
+                at = own.randrange(len(copy))
+                copy[at : at + own.randint(0, 1)] = own.choices(VOCAB, k=own.randint(0, 1))
+            data.append(" ".join(copy if own.random() < 0.7 else [*copy, own.choice(VOCAB)]))
+    up = list(range(len(data)))
+    links = [(i, j) for i in range(len(data)) for j in range(i) if similar(data[i], data[j])]
+    for _ in data:
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(data))] == up and len(set(up)) < len(data) - 20
+
+
 def test_blocks_find_what_stars_miss():
     gen = np.random.default_rng(5)
     a = gen.integers(0, 2**32, 100).astype(np.uint32)

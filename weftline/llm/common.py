@@ -41,26 +41,40 @@ def word_count(text: Column) -> Column:
 def shared_root(spark: SparkSession) -> str:
     """A fresh folder under the cluster's checkpoint folder, which the driver and all executors see.
 
-    The folder is read from ``spark.checkpoint.dir``; a temporary one is set only where the session names none.
+    The folder is read from ``spark.checkpoint.dir``; a temporary one is set only where
+    the session names none and driver and executors are one process (as in tests); a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="weftline-checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+#: Rows of a few numbers that one file of an intermediate table should hold.
+ROWS_A_FILE = 1 << 20
+
+
+def few_files(spark: SparkSession, rows: int) -> int:
+    """Files for a table of about ``rows`` narrow rows: one a core where the rows are few, more with the rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+
+
+def write_table(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
-    A written table is columnar and compressed, and it survives the loss of any executor.
+    A written table is columnar and compressed, and it survives the loss of any executor. Where a bound on the number
+    of narrow rows is known, few rows don't become a file for each of many partitions.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df if rows is None else df.coalesce(few_files(spark, rows))
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

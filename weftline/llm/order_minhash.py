@@ -5,7 +5,9 @@ For each of 24 hash functions a sketch entry keeps the four smallest labelled sh
 documents share an entry only if they have these shingles in the same order. Documents that share an entry are
 candidates. The similarity of two documents is M / (n1 + n2 - M), M being the length of the longest common subsequence
 of their shingles: an order-respecting Jaccard index, computed by an alignment in the band that 0.8 allows. At a
-similarity of 0.8 a pair shares no entry with a chance of about 3 in a million; no candidate is dropped otherwise.
+similarity of 0.8 a pair of long texts shares no entry with a chance of about 3 in a million. Short texts have few
+shingles to draw from, so those of up to 11 also have a key for each way to leave out a fifth of their shingles, which
+finds every pair with a text of up to 9 shingles. No candidate is dropped otherwise.
 
 Work never grows with the square of a hot group where it needn't: texts with equal words are one class before anything
 else; then each document is aligned with the smallest one of each of its buckets; only buckets whose documents are still
@@ -20,17 +22,20 @@ table gives an empty result; extra columns are ignored, or passed through by ``d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, write_table
+from .common import few_files, ship, write_table
 from .components import connected_components
 from .textops import U64, keys, mix64, shingles, text_bytes, word_hashes
 
 SHINGLE, ENTRIES, ORDER, SIMILARITY = 5, 24, 4, 0.8
+#: Shingles up to which a text also finds its partners without chance.
+SHORT = 9
 #: Documents on either side of one block of comparisons.
 BLOCK = 256
 
@@ -83,6 +88,24 @@ def sketch(words: np.ndarray, k: int = SHINGLE, entries: int = ENTRIES, order: i
     return out.view(np.int64)
 
 
+def subsequence_keys(words: np.ndarray, k: int = SHINGLE, similarity: float = SIMILARITY) -> np.ndarray:
+    """For a text of few shingles a key for each way to leave out so many of them as a similar text may lack.
+
+    Two texts of which one has at most SHORT shingles share a key if their similarity is reached, whatever the sketch
+    has found. None for longer texts.
+    """
+    n = max(len(words) - k + 1, min(len(words), 1))
+    if not n or n > int(SHORT / similarity + 1e-9):
+        return np.zeros(0, np.int64)
+    s, salt = shingles(words, k), keys(n, 12)
+    out = []
+    for left_out in range(int((1 - similarity) * n + 1e-9) + 1):
+        for some in combinations(range(n), left_out):
+            rest = np.delete(s, some)
+            out.append(int(np.sum(mix64(rest ^ salt[: len(rest)]), dtype=U64)) ^ len(rest))
+    return np.unique(np.array(out, U64)).view(np.int64)
+
+
 def short_shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Shingles as 32-bit numbers, for alignment: a chance match moves a similarity by one shingle at most."""
     return (shingles(words, k) >> U64(32)).astype(np.uint32)
@@ -138,7 +161,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             place = np.arange(len(words), dtype=U64)
             both = [int(np.sum(mix64((words ^ s) + place * U64(0x2545F4914F6CDD1D)), dtype=U64)) for s in salt]
             key.append(both[0].to_bytes(8, "big") + both[1].to_bytes(8, "big") if len(words) else None)
-            entries.append(sketch(words))
+            entries.append(np.concatenate([sketch(words), subsequence_keys(words)]))
         flat = np.concatenate(entries) if entries else np.zeros(0, np.int64)
         off = np.cumsum([0, *map(len, entries)]).astype(np.int32)
         yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "words_key": pa.array(key, pa.binary()), "sketch": pa.ListArray.from_arrays(off, flat)})
@@ -234,27 +257,28 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """(id, class_id) of every document that has words: the smallest doc_id linked with it directly or over others."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     sketches = write_table(text.mapInArrow(_sketch_batches, "id long, words_key binary, sketch array<long>").filter("words_key is not null"), "sketches")
+    most = ENTRIES * sketches.count()  # narrow rows in any of the tables below
     classes = sketches.groupBy("words_key").agg(F.min("id").alias("rep"))
-    member = write_table(sketches.select("id", "words_key").join(classes, "words_key").select("id", "rep"), "members")
     reps = sketches.join(classes, "words_key").filter("id = rep").select("id", "sketch")
-    entries = reps.select("id", F.posexplode("sketch").alias("t", "value")).select("id", F.xxhash64("t", "value").alias("bucket"))
-    entries = write_table(entries, "entries")
+    entries = reps.select("id", F.posexplode("sketch").alias("t", "value")).select("id", F.xxhash64(F.least("t", F.lit(ENTRIES)), "value").alias("bucket"))
+    entries = write_table(entries, "entries", most)
     hubs = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last")
-    shared = write_table(entries.join(hubs.select("bucket", "hub"), "bucket"), "shared")  # buckets with several documents
+    shared = write_table(entries.join(hubs.select("bucket", "hub"), "bucket"), "shared", most)  # buckets with several documents
 
     wanted = shared.select(F.col("id").alias("want")).distinct()
     seqs = text.join(wanted, text.doc_id == wanted.want).select("doc_id", "text").mapInArrow(_shingle_batches, "id long, seq binary").dropDuplicates(["id"])
     seqs = write_table(seqs, "shingles")
     pairs = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     one, two = (seqs.select(F.col("id").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
-    star = write_table(pairs.join(two, "b").join(one, "a").select("a", "b", "seq_a", "seq_b").mapInArrow(_verified, "a long, b long"), "star")
+    star = pairs.join(two, "b").join(one, "a").select("a", "b", "seq_a", "seq_b").mapInArrow(_verified, "a long, b long")
+    star = write_table(star.repartition(few_files(spark, most)), "star")
 
-    comps = write_table(connected_components(star), "components")
-    placed = shared.select("bucket", "id").join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    placed = write_table(placed, "placed")
+    placed = shared.select("bucket", "id").join(connected_components(star, most), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    placed = write_table(placed, "placed", most)
     split = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1")
     parts = split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = placed.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
@@ -262,8 +286,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     blocks = blocks.select("bucket", "id", "comp", "own", other).select("bucket", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     blocks = blocks.join(seqs, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = blocks.mapInArrow(_block_batches, "a long, b long")
-    links = write_table(star.unionByName(more), "links")
-    comps = connected_components(links)
+    comps = connected_components(star.unionByName(more.repartition(few_files(spark, most))), most)
+    member = sketches.select("id", "words_key").join(classes, "words_key").select("id", "rep")
     return member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
 
 
@@ -276,6 +300,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class."""
+    """``docs`` with one document of each class; rows that repeat a doc_id become one, the least by text and the rest.
+
+    Rows with a null doc_id stay.
+    """
     gone = near_duplicate_classes(docs).filter("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = write_table(repeated, "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct("text", *rest)).alias("__least")  # combined before the shuffle
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "__least.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
