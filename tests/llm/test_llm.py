@@ -257,6 +257,36 @@ def test_licences(spark, docs, empty):
     assert licences.licence_matches(docs).count() == docs.count() and licences.licence_matches(empty).count() == 0
 
 
+def removal(data):
+    """(doc_id, bytes, removed, spans, digest, words of passages too) of each document, by all pairs of places."""
+    raws = [(t or "").encode() for _, t in data]
+    seen = Counter(b[s : s + 400] for b in raws for s in range(len(b) - 399))
+    passages = []
+    for b in raws:
+        ends = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        own, first = [], 0
+        for s in range(len(b) - 249):
+            while first < len(ends) and ends[first][0] < s:
+                first += 1
+            if first + 50 < len(ends):
+                own.append((s, max(s + 250, ends[first + 50][1])))
+        passages.append([(s, e) for s, e in own if e <= len(b)])
+    heads = defaultdict(list)
+    for i, b in enumerate(raws):
+        for s in range(len(b) - 249):
+            heads[b[s : s + 250]].append((i, s))
+    for k, ((i, _), b) in enumerate(zip(data, raws)):
+        mask, wide = np.zeros(len(b) + 1, np.int8), np.zeros(len(b) + 1, np.int8)
+        for s in range(len(b) - 399):
+            if seen[b[s : s + 400]] > 1:
+                mask[s : s + 400] = 1
+        for s, e in passages[k]:
+            if any((k, s) != (j, t) and raws[j][t : t + e - s] == b[s:e] for j, t in heads[b[s : s + 250]][:200]):
+                wide[s:e] = 1
+        kept = np.frombuffer(b, np.uint8)[mask[:-1] == 0].tobytes()
+        yield i, len(b), int(mask.sum()), int((np.diff(mask) == -1).sum()), hashlib.sha256(kept).hexdigest(), sum((mask | wide)[slice(*m.span())].all() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b))
+
+
 @pytest.mark.parametrize("group", [repeats.GROUP, 5])
 def test_repeats(spark, empty, group):
     gen = random.Random(4)
@@ -264,23 +294,59 @@ def test_repeats(spark, empty, group):
     shared = text(900)
     data = [text(500) + shared + text(300), shared[100:700] + text(50), text(200) + shared[50:449] + text(100), "a" * 2000, None, "", text(399), shared, shared, text(1500) + shared[:420] + text(10) + shared[380:], "ab" * 700 + text(30) + "ab" * 300]
     data += [text(gen.randint(0, 300)) + shared[300 : 300 + gen.choice([390, 400, 401, 450])] + text(gen.randint(0, 300)) for _ in range(25)]
+    short = ["".join(gen.choices("abcdefgh", k=gen.randint(2, 8))) for _ in range(300)]
+    some = lambda n: " ".join(gen.choices(short, k=n))
+    passage = some(90)
+    words = passage.split()
+    data += [some(gen.randint(1, 40)) + " " + " ".join(words[(f := gen.randint(0, 30)) : f + gen.choice([45, 50, 51, 52, 55, 60])]) + " " + some(gen.randint(1, 60)) for _ in range(30)]
+    data += [" ".join(words[:51]), " ".join(words[-52:]), " ".join(words[5:54])] + [x := some(52), x, y := some(48), y]
     data = [(i, t) for i, t in enumerate(data)] + [(7, shared)]
-    seen = Counter(b[s : s + 400] for _, t in data for b in [(t or "").encode()] for s in range(len(b) - 399))
-    want = []
-    for i, t in data:
-        raw = (t or "").encode()
-        mask, end = bytearray(len(raw)), 0
-        for s in range(len(raw) - 399):
-            if seen[raw[s : s + 400]] > 1:
-                mask[max(s, end) : s + 400] = b"\1" * (s + 400 - max(s, end))
-                end = s + 400
-        runs = sum(m and (j == 0 or not mask[j - 1]) for j, m in enumerate(mask))
-        want.append((i, len(raw), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(raw, mask) if not m)).hexdigest()))
+    want = sorted(removal(data))
+    assert sum(r[5] > 0 and r[2] == 0 for r in want) > 10
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(map(tuple, repeats.remove_repeats(df, group).collect())) == sorted(want)
+    assert sorted(map(tuple, repeats.remove_repeats(df, group).collect())) == want
+    left = {r.doc_id: r.kept for r in repeats.remaining(df, group).collect()}
+    assert all(hashlib.sha256(left[r[0]]).hexdigest() == r[4] for r in want)
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_maximal_repeats():
+    gen = random.Random(9)
+    for _ in range(60):
+        pairs = list({(bytes(gen.choices(b"ab", k=gen.randint(0, 6))), bytes(gen.choices(b"ab", k=gen.randint(1, 6)))) for _ in range(gen.randint(2, 12))})
+        have = lambda e, d: [i for i, (x, y) in enumerate(pairs) if len(x) >= e and len(y) >= d]
+        groups = defaultdict(list)
+        for e in range(7):
+            for d in range(1, 7):
+                for i in have(e, d):
+                    groups[e, d, pairs[i][0][:e], pairs[i][1][:d]].append(i)
+        want = set()
+        for (e, d, x, y), own in groups.items():
+            wider = any(len(groups.get((e + u, d + v, pairs[own[0]][0][: e + u], pairs[own[0]][1][: d + v]), ())) == len(own) and len(pairs[own[0]][u == 0]) >= (e, d)[u == 0] + 1 for u, v in ((1, 0), (0, 1)))
+            if len(own) > 1 and not wider and e + d >= 3:
+                want.add((e, d, tuple(own)))
+        assert {(e, d, tuple(sorted(m))) for e, d, m in repeats.maximal_repeats(pairs, 3)} == want
+        found = repeats.repeated_extents(pairs, 3)
+        for i in range(len(pairs)):
+            assert max((e + d for e, d in found[i]), default=0) == max((e + d for e, d, m in want if i in m), default=0)
+
+
+def test_repeat_groups(spark):
+    gen = random.Random(5)
+    text = lambda n: "".join(gen.choices("abcdefgh ", k=n))
+    shared = text(420)
+    data = [(0, text(300) + shared + text(300)), (1, text(50) + shared + text(10)), (2, text(700)), (3, shared[:410] + "#" + text(300))]
+    rows = repeats.repeat_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r.repeat_id, r.length].add((r.doc_id, r.start))
+    raw = dict(data)
+    for (_, n), places in groups.items():
+        assert n >= 400 and len(places) > 1 and len({raw[i][s : s + n] for i, s in places}) == 1
+    assert {(0, 300), (1, 50)} in groups.values() or {(0, 300), (1, 50), (3, 0)} in groups.values()
+    assert {i for p in groups.values() for i, _ in p} == {0, 1, 3}
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 

@@ -37,4 +37,4 @@ def test_long_documents(spark):
         pos = np.concatenate([a["pos"] for a in repeats.anchors(raw, np.array([0, len(raw)]))])
         assert len(pos) == len(np.unique(pos)) and pos.max() + L > len(raw) - L
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(map(tuple, repeats.remove_repeats(df).collect())) == sorted(brute_force(data))
+    assert sorted(tuple(r)[:5] for r in repeats.remove_repeats(df).collect()) == sorted(brute_force(data))
