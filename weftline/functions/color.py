@@ -57,14 +57,19 @@ def distance(x: Column, y: Column) -> Column:
     return F.sqrt(distance_sq(x, y))
 
 
-def near_colours(pixels: DataFrame, other: Column, tolerance: float, *columns: str) -> DataFrame:
-    """The distinct colours c (with ``columns`` that ``other`` needs) within the tolerance of another colour.
+def units(value: Column) -> Column:
+    """A number rounded to whole billionths, as a long; rounding to decimal places is many times as slow."""
+    return F.floor(value * 1e9 + 0.5)
 
-    Conversions are done once for each colour instead of each pixel.
+
+def close_to(pixels: DataFrame, bg: Column, tolerance: float, name: str) -> DataFrame:
+    """``pixels`` with a column ``name``: whether the colour c is within the tolerance of the OKLAB struct ``bg``.
+
+    The colour's own OKLAB is a column first: it is computed once a row, not once for each use.
     """
-    rows = pixels.select("c", *columns).distinct().filter(other.isNotNull())
-    rows = rows.select("c", *columns, oklab_struct(F.col("c")).alias("__one"), oklab_struct(other).alias("__two"))
-    return rows.filter(F.round(distance(F.col("__one"), F.col("__two")), 9) <= tolerance).select("c", *columns, F.lit(True).alias("__near"))
+    p = pixels.withColumn("__lab", oklab_struct(F.col("c")))
+    near = units(distance(F.col("__lab"), bg)) <= round(tolerance * 1e9)
+    return p.withColumn(name, F.coalesce(near, F.lit(False))).drop("__lab")
 
 
 def srgb(lab: Column) -> tuple[Column, Column, Column]:

@@ -50,6 +50,17 @@ class BackgroundConfig:
     flood: bool = True
 
 
+@dataclass(frozen=True)
+class AutoSplitConfig:
+    """Of sheets without a fixed grid; without a colour the background is found for each sheet."""
+
+    color: tuple[int, int, int] | None = None
+    tolerance: float = 0.05
+    separator_threshold: float = 0.9
+    min_sprite_size: int = 8
+    pad: int = 0
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     grid: GridConfig = field(default_factory=GridConfig)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import channel, near_colours, packed
+from ..functions.color import channel, close_to, oklab_struct, packed
 from ..model import BackgroundConfig
 
 
@@ -29,14 +29,24 @@ def border_color(pixels: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 
 def marked(pixels: DataFrame, config: BackgroundConfig) -> DataFrame:
-    """Pixels with hit: whether they have the background's colour, within the tolerance."""
+    """Pixels with hit: whether they have the background's colour, within the tolerance.
+
+    The test is arithmetic on the row; a pixel is joined with its image's background colour alone.
+    """
     if config.color is not None:
-        bg = pixels.select("image_id").distinct().withColumn("bg", packed(*[F.lit(v) for v in config.color], F.lit(255)))
+        p, bg = pixels, oklab_struct(packed(*[F.lit(v) for v in config.color], F.lit(255)))
     else:
-        bg = border_color(pixels, config.border_threshold).select("image_id", F.col("c").alias("bg"))
-    p = pixels.join(bg, "image_id", "left")
-    p = p.join(near_colours(p, F.col("bg"), config.tolerance, "bg"), ["c", "bg"], "left")
-    return p.select("image_id", "x", "y", "c", F.coalesce((channel(F.col("c"), 3) != 0) & F.col("__near"), F.lit(False)).alias("hit"))
+        border = border_color(pixels, config.border_threshold).select("image_id", oklab_struct(F.col("c")).alias("bg"))
+        p, bg = pixels.join(border, "image_id", "left"), F.col("bg")
+    p = close_to(p, bg, config.tolerance, "near")
+    return p.select("image_id", "x", "y", "c", ((channel(F.col("c"), 3) != 0) & F.col("near")).alias("hit"))
+
+
+def removed_counts(pixels: DataFrame, result: DataFrame) -> DataFrame:
+    """image_id, n_removed: opaque pixels that a removal has made transparent."""
+    before = pixels.select("image_id", F.when(channel(F.col("c"), 3) > 0, 1).otherwise(0).alias("n"))
+    after = result.select("image_id", F.when(channel(F.col("c"), 3) > 0, -1).otherwise(0).alias("n"))
+    return before.unionByName(after).groupBy("image_id").agg(F.sum("n").alias("n_removed"))
 
 
 def flooded(hit: np.ndarray) -> np.ndarray:

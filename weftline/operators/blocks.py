@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import channel
+from ..functions.color import channel, units
 from ..model import Mode
 
 
-def placed(pixels: DataFrame, grid: DataFrame) -> DataFrame:
-    """Pixels of whole blocks with block (bx, by), place in it (dx, dy) and the grid's columns."""
+def _positions(pixels: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pixels with block (bx, by), place in it (dx, dy), the grid's columns and inside: whether the block is whole.
+
+    Where there is no whole block, bx and by are -1 - x and -1 - y, so that such pixels make no large group.
+    """
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    p = pixels.join(grid.join(size, "image_id"), "image_id")
+    p = pixels.join(grid.select("image_id", "grid_size", "phase_x", "phase_y").join(size, "image_id"), "image_id", "left")
+    inside = F.col("grid_size").isNotNull()
     for axis, extent in (("x", "w"), ("y", "h")):
         shifted = F.col(axis) - F.col(f"phase_{axis}")
-        p = p.withColumn(f"b{axis}", F.floor(shifted / F.col("grid_size")).cast("int")).withColumn(f"d{axis}", F.pmod(shifted, F.col("grid_size")).cast("int"))
-        p = p.filter((shifted >= 0) & (F.col(f"b{axis}") < F.floor((F.col(extent) - F.col(f"phase_{axis}")) / F.col("grid_size"))))
-    return p
+        p = p.withColumns({f"b{axis}": F.floor(shifted / F.col("grid_size")).cast("int"), f"d{axis}": F.pmod(shifted, F.col("grid_size")).cast("int")})
+        inside = inside & (shifted >= 0) & (F.col(f"b{axis}") < F.floor((F.col(extent) - F.col(f"phase_{axis}")) / F.col("grid_size")))
+    p = p.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    return p.withColumns({f"b{a}": F.when(F.col("inside"), F.col(f"b{a}")).otherwise(-1 - F.col(a)) for a in "xy"})
+
+
+def placed(pixels: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pixels of whole blocks with block (bx, by), place in it (dx, dy) and the grid's columns."""
+    return _positions(pixels, grid).filter("inside").drop("inside")
 
 
 def centre_weight() -> Column:
@@ -25,7 +35,7 @@ def centre_weight() -> Column:
     half = F.col("grid_size") / 2.0
     d = F.sqrt(F.pow(F.col("dx") - half + 0.5, F.lit(2.0)) + F.pow(F.col("dy") - half + 0.5, F.lit(2.0)))
     inside = F.least(F.greatest(d / (half * 2.0**0.5), F.lit(0.0)), F.lit(1.0))
-    return F.round(F.pow(1 - inside, F.lit(2.0)) * 1_000_000_000).cast("long")
+    return units((1 - inside) * (1 - inside))
 
 
 def vote(pixels: DataFrame, grid: DataFrame, mode: Mode) -> DataFrame:
@@ -52,12 +62,17 @@ def vote(pixels: DataFrame, grid: DataFrame, mode: Mode) -> DataFrame:
 
 
 def snap(pixels: DataFrame, grid: DataFrame) -> DataFrame:
-    """Every whole block in its colour; a pixel keeps its own alpha, and those outside of blocks stay as they are."""
-    won = vote(pixels, grid, Mode.SNAP).select("image_id", "bx", "by", F.col("c").alias("won"))
-    where = placed(pixels, grid).select("image_id", "x", "y", "bx", "by").join(won, ["image_id", "bx", "by"]).select("image_id", "x", "y", "won")
-    p = pixels.join(where, ["image_id", "x", "y"], "left")
+    """Every whole block in its colour; a pixel keeps its own alpha, and those outside of blocks stay as they are.
+
+    The vote is a window over the block, so that pixels are shuffled once and joined with nothing but their grid.
+    """
+    block = Window.partitionBy("image_id", "bx", "by")
+    colour = Window.partitionBy("image_id", "bx", "by", "c")
+    p = _positions(pixels, grid)
+    p = p.withColumns({"v": F.sum(centre_weight()).over(colour), "first": F.min(F.col("dy") * 65536 + F.col("dx")).over(colour)})
+    p = p.withColumn("won", F.max(F.struct("v", F.col("first").alias("k"), "c")).over(block)["c"])
     own = F.col("won") - channel(F.col("won"), 3) + channel(F.col("c"), 3)
-    return p.select("image_id", "x", "y", F.coalesce(own, F.col("c")).alias("c"))
+    return p.select("image_id", "x", "y", F.when(F.col("inside"), own).otherwise(F.col("c")).alias("c"))
 
 
 def downscale(pixels: DataFrame, grid: DataFrame, mode: Mode) -> DataFrame:

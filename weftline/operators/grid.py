@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import distance_sq, oklab_struct
+from ..functions.color import distance_sq, oklab_struct, units
 from ..model import GridConfig
+from .stencil import along, banded
 
 UNIT = 1_000_000_000
 FINE, TOP, MAX_PHASE = 8, 5, 12
@@ -19,18 +20,16 @@ FINE, TOP, MAX_PHASE = 8, 5, 12
 def edge_profile(pixels: DataFrame) -> DataFrame:
     """image_id, axis, pos, s (summed differences to the line before) and n, for every line but the first.
 
-    One shuffle by image: both windows and the sums are by keys that contain it.
+    One shuffle of the pixels, by image and band of lines, which both axes share.
     """
-    lab = pixels.select("c").distinct().select("c", oklab_struct(F.col("c")).alias("lab"))
-    p = pixels.join(lab, "c").repartition("image_id")
-    p = p.withColumn("up", F.lag("lab").over(Window.partitionBy("image_id", "x").orderBy("y")))
-    p = p.withColumn("back", F.lag("lab").over(Window.partitionBy("image_id", "y").orderBy("x")))
+    p = banded(pixels).withColumn("lab", oklab_struct(F.col("c")))
 
-    def lines(axis: str, pos: str, before: str) -> DataFrame:
-        d = F.round(distance_sq(F.col("lab"), F.col(before)) * UNIT).cast("long")
-        return p.filter(F.col(before).isNotNull()).groupBy("image_id", F.col(pos).alias("pos")).agg(F.sum(d).alias("s"), F.count("*").alias("n")).withColumn("axis", F.lit(axis))
+    def lines(axis: str) -> DataFrame:
+        before = p.withColumn("before", F.lag("lab").over(along(axis))).filter("own and before is not null")
+        d = units(distance_sq(F.col("lab"), F.col("before")))
+        return before.groupBy("image_id", F.col(axis).alias("pos")).agg(F.sum(d).alias("s"), F.count("*").alias("n")).withColumn("axis", F.lit(axis))
 
-    return lines("y", "y", "up").unionByName(lines("x", "x", "back")).select("image_id", "axis", "pos", "s", "n")
+    return lines("y").unionByName(lines("x")).select("image_id", "axis", "pos", "s", "n")
 
 
 def phase_scores(profile: DataFrame, max_candidate: int = 32, max_phase: int = FINE) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import channel, distance_sq, oklab, oklab_struct, packed, srgb
+from ..functions.color import channel, distance_sq, oklab, oklab_struct, packed, srgb, units
 from ..model import QuantizeConfig
 from ..sources.palettes import find_palette, from_colours
 
@@ -27,7 +27,7 @@ def nearest(colours: DataFrame, palette: DataFrame) -> DataFrame:
         raise ValueError(f"a palette has at most {MAX_COLOURS} colours")
     every = F.array(*[F.struct(F.lit(r["idx"]).alias("idx"), F.lit(r["r"]).alias("r"), F.lit(r["g"]).alias("g"), F.lit(r["b"]).alias("b"), F.struct(*[F.lit(r["plab"][n]).alias(n) for n in "lab"]).alias("lab")) for r in rows])
     lab = colours.select("c").distinct().withColumn("lab", oklab_struct(F.col("c")))
-    best = F.array_min(F.transform(every, lambda p: F.struct(F.round(distance_sq(F.col("lab"), p["lab"]), 9).alias("d"), p["idx"].alias("idx"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"))))
+    best = F.array_min(F.transform(every, lambda p: F.struct(units(distance_sq(F.col("lab"), p["lab"])).alias("d"), p["idx"].alias("idx"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"))))
     return lab.select("c", best.alias("p")).select("c", "p.idx", "p.r", "p.g", "p.b")
 
 
@@ -46,7 +46,7 @@ def weighted_colours(pixels: DataFrame) -> DataFrame:
 def lloyd_step(colours: DataFrame, centroids: list[tuple[float, float, float]]) -> DataFrame:
     """cluster, n and the mean l, a, b of the colours nearest to each centroid (the first of equal ones)."""
     every = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for v, n in zip(c, "lab", strict=True)]) for i, c in enumerate(centroids)])
-    best = F.array_min(F.transform(every, lambda k: F.struct(F.round(distance_sq(F.col("lab"), k), 9).alias("d"), k["i"].alias("i"))))
+    best = F.array_min(F.transform(every, lambda k: F.struct(units(distance_sq(F.col("lab"), k)).alias("d"), k["i"].alias("i"))))
     rows = colours.withColumn("cluster", best["i"])
     return rows.groupBy("cluster").agg(F.sum("n").alias("n"), *[(F.sum(F.col("lab")[v] * F.col("n")) / F.sum("n")).alias(v) for v in "lab"])
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import channel, near_colours, packed
+from ..functions.color import channel, close_to, oklab_struct, packed
+from ..model import AutoSplitConfig
+from .background import border_color, flooded
 
 
 def resize_to(pixels: DataFrame, target: DataFrame) -> DataFrame:
@@ -35,24 +39,49 @@ def split(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0
     return p.select("image_id", "row", "col", F.col("tx").alias("x"), F.col("ty").alias("y"), "c")
 
 
-def assemble(tiles: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0) -> DataFrame:
-    """Sheets of tiles (image_id, row, col, x, y, c); what no tile covers is transparent."""
-    size = tiles.groupBy("image_id").agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"))
-    w = F.lit(2 * margin) + F.col("cols") * tw + (F.col("cols") - 1) * spacing
-    h = F.lit(2 * margin) + F.col("rows") * th + (F.col("rows") - 1) * spacing
+def assemble(tiles: DataFrame, tw: int | None = None, th: int | None = None, spacing: int = 0, margin: int = 0) -> DataFrame:
+    """Sheets of tiles (image_id, row, col, x, y, c); what no tile covers is transparent.
+
+    Without a size, the cells of a sheet are as large as its largest tile.
+    """
+    size = tiles.groupBy("image_id").agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"), (F.max("x") + 1).alias("tw"), (F.max("y") + 1).alias("th"))
+    size = size.withColumns({"tw": F.col("tw") if tw is None else F.lit(tw), "th": F.col("th") if th is None else F.lit(th)})
+    w = F.lit(2 * margin) + F.col("cols") * F.col("tw") + (F.col("cols") - 1) * spacing
+    h = F.lit(2 * margin) + F.col("rows") * F.col("th") + (F.col("rows") - 1) * spacing
     canvas = size.withColumn("x", F.explode(F.sequence(F.lit(0), w - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), h - 1))).select("image_id", "x", "y")
-    own = tiles.filter((F.col("x") < tw) & (F.col("y") < th))
-    own = own.select("image_id", (margin + F.col("col") * (tw + spacing) + F.col("x")).alias("x"), (margin + F.col("row") * (th + spacing) + F.col("y")).alias("y"), "c")
+    own = tiles.join(size, "image_id").filter((F.col("x") < F.col("tw")) & (F.col("y") < F.col("th")))
+    own = own.select("image_id", (margin + F.col("col") * (F.col("tw") + spacing) + F.col("x")).alias("x"), (margin + F.col("row") * (F.col("th") + spacing) + F.col("y")).alias("y"), "c")
     return canvas.join(own, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
 
 
-def marked(pixels: DataFrame, background: tuple[int, int, int] | None, tolerance: float = 0.05) -> DataFrame:
-    """Pixels with bg: transparent enough, or (with a background colour) close to it."""
-    clear = channel(F.col("c"), 3) < 128
-    if background is None:
-        return pixels.withColumn("bg", clear)
-    near = near_colours(pixels, packed(*[F.lit(v) for v in background], F.lit(255)), tolerance)
-    return pixels.join(near, "c", "left").select(*pixels.columns, (clear | F.coalesce("__near", F.lit(False))).alias("bg"))
+WHITE = (255, 255, 255)
+#: Share of transparent pixels above which a sheet's background is transparency; of the border that a colour has to have.
+CLEAR_SHARE, BORDER_SHARE = 0.05, 0.3
+
+
+def transparent_share(pixels: DataFrame) -> DataFrame:
+    """image_id, share: of pixels with an alpha below 128."""
+    return pixels.groupBy("image_id").agg(F.avg((channel(F.col("c"), 3) < 128).cast("int")).alias("share"))
+
+
+def sheet_background(pixels: DataFrame) -> DataFrame:
+    """image_id, bg: null where the sheet has transparency, else the commonest border colour, else white."""
+    border = border_color(pixels, BORDER_SHARE).select("image_id", F.col("c").alias("border"))
+    found = transparent_share(pixels).join(border, "image_id", "left")
+    white = packed(*[F.lit(v) for v in WHITE], F.lit(255))
+    return found.select("image_id", F.when(F.col("share") <= CLEAR_SHARE, F.coalesce("border", white)).alias("bg"))
+
+
+def marked(pixels: DataFrame, background: tuple[int, int, int] | None, tolerance: float = 0.05, detect: bool = False) -> DataFrame:
+    """Pixels with bg: transparent enough, or close to the background colour, given or (``detect``) each sheet's own."""
+    if detect:
+        own = sheet_background(pixels).select("image_id", F.when(F.col("bg").isNotNull(), oklab_struct(F.col("bg"))).alias("__bg"))
+        p, bg = pixels.join(own, "image_id"), F.col("__bg")
+    elif background is None:
+        return pixels.withColumn("bg", channel(F.col("c"), 3) < 128)
+    else:
+        p, bg = pixels, oklab_struct(packed(*[F.lit(v) for v in background], F.lit(255)))
+    return close_to(p, bg, tolerance, "near").select(*pixels.columns, ((channel(F.col("c"), 3) < 128) | F.col("near")).alias("bg"))
 
 
 def separators(marked_pixels: DataFrame, axis: str, threshold: float = 0.9) -> DataFrame:
@@ -61,39 +90,110 @@ def separators(marked_pixels: DataFrame, axis: str, threshold: float = 0.9) -> D
     return marked_pixels.groupBy("image_id", F.col(axis).alias("pos")).agg((share >= threshold).alias("is_sep"))
 
 
-def bands(lines: DataFrame, least: int = 8) -> DataFrame:
+def profiles(marked_pixels: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Separators of both axes from one pass over the pixels: image_id, axis, pos and is_sep."""
+    both = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("pos")) for a in "yx"]))
+    lines = marked_pixels.select("image_id", "bg", both.alias("line")).groupBy("image_id", "line.axis", "line.pos")
+    return lines.agg((F.avg(F.col("bg").cast("int")) >= threshold).alias("is_sep"))
+
+
+def bands(lines: DataFrame, least: int = 8, *keys: str) -> DataFrame:
     """Runs of content lines of at least ``least``: image_id, idx, start and len; idx counts what is kept."""
-    own = Window.partitionBy("image_id").orderBy("pos")
+    keys = ("image_id", *keys)
+    own = Window.partitionBy(*keys).orderBy("pos")
     runs = lines.filter(~F.col("is_sep")).withColumn("island", F.col("pos") - F.row_number().over(own))
-    runs = runs.groupBy("image_id", "island").agg(F.min("pos").alias("start"), F.count("*").alias("len")).filter(F.col("len") >= least)
-    return runs.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("start")) - 1).alias("idx"), "start", "len")
+    runs = runs.groupBy(*keys, "island").agg(F.min("pos").alias("start"), F.count("*").alias("len")).filter(F.col("len") >= least)
+    return runs.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1).alias("idx"), "start", "len")
 
 
-def cells(marked_pixels: DataFrame, rows: DataFrame, cols: DataFrame, least: int = 8) -> DataFrame:
-    """The content's box in every crossing of a row band and a column band: image_id, row, col, x, y, w, h.
+def in_cells(marked_pixels: DataFrame, found: DataFrame) -> DataFrame:
+    """Pixels in crossings of a row band and a column band, with row, col and the crossing's cx, cw, cy and ch.
 
-    Bands become one row for each line first, so that pixels join them by equality.
+    A sheet's bands travel as two short arrays, one row for each sheet, so that a pixel is joined by its image alone.
     """
+    band = F.struct("start", "len", "idx")
+    own = found.groupBy("image_id").agg(*[F.collect_list(F.when(F.col("axis") == a, band)).alias(name) for a, name in (("y", "rows"), ("x", "cols"))])
+    at = lambda name, axis: F.get(F.filter(name, lambda b: (F.col(axis) >= b["start"]) & (F.col(axis) < b["start"] + b["len"])), 0)
+    p = marked_pixels.join(own, "image_id").withColumns({"r": at("rows", "y"), "k": at("cols", "x")}).filter("r is not null and k is not null")
+    place = [F.col(f"{b}.{field}").cast("int").alias(n) for b, field, n in (("r", "idx", "row"), ("k", "idx", "col"), ("k", "start", "cx"), ("k", "len", "cw"), ("r", "start", "cy"), ("r", "len", "ch"))]
+    return p.select(*marked_pixels.columns, *place)
 
-    def lines(b: DataFrame, axis: str, name: str) -> DataFrame:
-        return b.select("image_id", F.col("idx").alias(name), F.explode(F.sequence(F.col("start"), (F.col("start") + F.col("len") - 1).cast("int"))).alias(axis))
 
-    p = marked_pixels.filter(~F.col("bg")).join(lines(rows, "y", "row"), ["image_id", "y"]).join(lines(cols, "x", "col"), ["image_id", "x"])
-    box = p.groupBy("image_id", "row", "col").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    return box.filter((F.col("w") >= least) & (F.col("h") >= least))
+def cells(placed: DataFrame, least: int = 8) -> DataFrame:
+    """The content's box in every crossing (pixels by ``in_cells``): image_id, row, col, x, y, w, h and the crossing's."""
+    x, y = (F.when(~F.col("bg"), F.col(a)) for a in "xy")
+    ends = placed.groupBy("image_id", "row", "col", "cx", "cw", "cy", "ch").agg(F.min(x).alias("x"), F.min(y).alias("y"), (F.max(x) - F.min(x) + 1).alias("w"), (F.max(y) - F.min(y) + 1).alias("h"))
+    return ends.filter((F.col("w") >= least) & (F.col("h") >= least))
 
 
-def auto_split(pixels: DataFrame, background=(255, 255, 255), tolerance: float = 0.05, threshold: float = 0.9, least: int = 8) -> DataFrame:
-    p = marked(pixels, background, tolerance)
-    return cells(p, bands(separators(p, "y", threshold), least), bands(separators(p, "x", threshold), least), least)
+def auto_split(pixels: DataFrame, background=WHITE, tolerance: float = 0.05, threshold: float = 0.9, least: int = 8, detect: bool = False) -> DataFrame:
+    """Boxes of the sprites of every sheet, by bands between separators: image_id, row, col, x, y, w, h."""
+    p = marked(pixels, background, tolerance, detect)
+    return cells(in_cells(p, bands(profiles(p, threshold), least, "axis")), least).select("image_id", "row", "col", "x", "y", "w", "h")
 
 
-def envelopes(boxes: DataFrame, cell: int) -> DataFrame:
-    """Extent of the sprites of each row around the middle of their cells, for cells of a fixed width."""
-    left = F.col("x") - (F.col("col") * cell + cell // 2)
+def envelopes(boxes: DataFrame) -> DataFrame:
+    """Extent of the sprites of each row around the middle of their crossings' columns: boxes with cx and cw."""
+    left = F.col("x") - (F.col("cx") + F.floor(F.col("cw") / 2).cast("int"))
     return boxes.groupBy("image_id", "row").agg(F.min(left).alias("min_left"), F.max(left + F.col("w")).alias("max_right"), F.max("h").alias("max_h"))
 
 
+def tile_sizes(envelopes_: DataFrame, pad: int = 0) -> DataFrame:
+    """image_id, tw, th: the one size of all of a sheet's tiles, and content, their height without padding."""
+    size = envelopes_.groupBy("image_id").agg(F.max(F.col("max_right") - F.col("min_left")).alias("w"), F.max("max_h").alias("content"))
+    return size.select("image_id", (F.col("w") + 2 * pad).alias("tw"), (F.col("content") + 2 * pad).alias("th"), "content")
+
+
+def placements(boxes: DataFrame, pad: int = 0) -> DataFrame:
+    """Boxes with their tile's size (tw, th) and place in it (ox, oy): frames of a row keep their distances from the
+    middles of their columns, and stand on the tile's bottom."""
+    rows = envelopes(boxes)
+    left = F.col("x") - (F.col("cx") + F.floor(F.col("cw") / 2).cast("int"))
+    b = boxes.join(rows.select("image_id", "row", "min_left"), ["image_id", "row"]).join(tile_sizes(rows, pad), "image_id")
+    return b.select("image_id", "row", "col", "x", "y", "w", "h", "tw", "th", (pad + left - F.col("min_left")).alias("ox"), (pad + F.col("content") - F.col("h")).alias("oy"))
+
+
+def _flooded_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A whole tile; background that is connected with its border, and what no sprite covers, is transparent."""
+    tw, th = int(pdf["tw"].iloc[0]), int(pdf["th"].iloc[0])
+    x, y = pdf["tx"].to_numpy(), pdf["ty"].to_numpy()
+    c, bg = np.zeros((th, tw), np.int64), np.ones((th, tw), bool)
+    c[y, x], bg[y, x] = pdf["c"], pdf["bg"]
+    c[flooded(bg)] = 0
+    ys, xs = np.indices((th, tw), np.int32)
+    return pd.DataFrame({"image_id": key[0], "row": key[1], "col": key[2], "x": xs.ravel(), "y": ys.ravel(), "c": c.ravel()})
+
+
+def auto_tiles(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> DataFrame:
+    """Equal tiles of the sprites of every sheet: image_id, row, col, x, y, c; the background is flooded from the tile's
+    border, a tile at a time. Sheets without sprites have no rows; ``auto_split_errors`` says why."""
+    p = marked(pixels, config.color, config.tolerance, config.color is None)
+    found = in_cells(p, bands(profiles(p, config.separator_threshold), config.min_sprite_size, "axis"))
+    place = placements(cells(found, config.min_sprite_size), config.pad).select("image_id", "row", "col", *[F.col(n).alias(f"b_{n}") for n in ("x", "y", "w", "h")], "tw", "th", "ox", "oy")
+    own = found.select("image_id", "row", "col", "x", "y", "c", "bg").join(place, ["image_id", "row", "col"])
+    for a, extent in (("x", "w"), ("y", "h")):
+        own = own.filter((F.col(a) >= F.col(f"b_{a}")) & (F.col(a) < F.col(f"b_{a}") + F.col(f"b_{extent}")))
+    own = own.select("image_id", "row", "col", "tw", "th", "c", "bg", *[(F.col(f"o{a}") + F.col(a) - F.col(f"b_{a}")).cast("int").alias(f"t{a}") for a in "xy"])
+    return own.groupBy("image_id", "row", "col").applyInPandas(_flooded_tile, "image_id long, row int, col int, x int, y int, c long")
+
+
+def auto_split_errors(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> DataFrame:
+    """image_id, error of the sheets in which no sprite is found."""
+    p = marked(pixels, config.color, config.tolerance, config.color is None)
+    found = bands(profiles(p, config.separator_threshold), config.min_sprite_size, "axis")
+    axes = found.groupBy("image_id").agg(F.count_if(F.col("axis") == "y").alias("n_rows"), F.count_if(F.col("axis") == "x").alias("n_cols"))
+    tiles = cells(in_cells(p, found), config.min_sprite_size).groupBy("image_id").agg(F.count("*").alias("n"))
+    every = pixels.select("image_id").distinct().join(axes, "image_id", "left").join(tiles, "image_id", "left").filter("n is null")
+    empty = (F.coalesce("n_rows", F.lit(0)) == 0) | (F.coalesce("n_cols", F.lit(0)) == 0)
+    return every.select("image_id", F.when(empty, "no sprite regions").otherwise("all cells are empty or too small").alias("error"))
+
+
+def tile_summary(tiles: DataFrame) -> DataFrame:
+    """What a preview shows of each sheet's tiles: image_id, tile_count, tile_width, tile_height, cols, rows."""
+    each = tiles.groupBy("image_id", "row", "col").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return each.groupBy("image_id").agg(F.count("*").alias("tile_count"), F.max("w").alias("tile_width"), F.max("h").alias("tile_height"), (F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"))
+
+
 def frames(tiles: DataFrame, fps: int, row: int | None = None) -> DataFrame:
     """Frames of an animation, in order: image_id, frame, row, col, delay_ms."""
     if not 1 <= fps <= 100:

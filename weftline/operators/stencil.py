@@ -1,51 +1,91 @@
-"""Eight-neighbour operators: neighbours by lag and lead over one partitioning by image."""
+"""Neighbour operators: lag and lead within bands of lines, so that a large image is many tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.color import channel, distance, oklab_struct
+from ..functions.color import channel, distance, oklab_struct, units
 
 # The order in which neighbours are seen, which decides ties.
 OFFSETS = ((-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1))
+#: Lines of an image that one group holds, beside the line before and after them.
+BAND = 256
 
 
-def neighbour_counts(pixels: DataFrame) -> DataFrame:
-    """image_id, x, y, own colour, neighbour colour n, cnt and the place of its first neighbour."""
-    p = pixels.repartition("image_id")
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    p = p.withColumns({"w": F.lag("c").over(row), "e": F.lead("c").over(row)})
-    line = Window.partitionBy("image_id", "x").orderBy("y")
-    p = p.withColumn("tri", F.struct("w", "c", "e")).withColumns({"n": F.lag("tri").over(line), "s": F.lead("tri").over(line)})
-    seen = {(-1, 0): F.col("w"), (1, 0): F.col("e")} | {(dx, dy): F.col(side)[name] for side, dy in (("n", -1), ("s", 1)) for dx, name in ((-1, "w"), (0, "c"), (1, "e"))}
-    around = F.array(*[F.struct(seen[o].alias("n"), F.lit(i).alias("place")) for i, o in enumerate(OFFSETS)])
-    p = p.select("image_id", "x", "y", "c", F.explode(around).alias("o")).filter("o.n is not null")
-    return p.groupBy("image_id", "x", "y", "c", F.col("o.n").alias("n")).agg(F.count("*").alias("cnt"), F.min("o.place").alias("place"))
+def banded(pixels: DataFrame) -> DataFrame:
+    """Pixels dealt out by image and band; own is false for those that only border on a band.
+
+    The one shuffle that neighbour operators need: windows along x and y within a band need no other.
+    """
+    home, place = F.floor(F.col("y") / BAND).cast("int"), F.pmod(F.col("y"), F.lit(BAND))
+    bands = F.when((place == 0) & (F.col("y") > 0), F.array(home, home - 1)).when(place == BAND - 1, F.array(home, home + 1)).otherwise(F.array(home))
+    # a fixed number: pixels compress so well that adaptive execution would merge them into few tasks by size
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = pixels.select("image_id", "x", "y", "c", F.explode(bands).alias("band")).repartition(tasks, "image_id", "band")
+    return p.withColumn("own", F.col("band") == F.floor(F.col("y") / BAND))
+
+
+def along(axis: str) -> Window:
+    """Pixels of one line (x) or column (y) of a band, in order."""
+    other = "y" if axis == "x" else "x"
+    return Window.partitionBy("image_id", "band", other).orderBy(axis)
+
+
+def neighbours(pixels: DataFrame, *values: Column) -> DataFrame:
+    """Pixels with own and n0 to n7, their own colour and those of their neighbours in the order of OFFSETS, as structs of
+    c and ``values``; null beyond the image."""
+    row, line = along("x"), along("y")
+    p = banded(pixels).withColumn("me", F.struct("c", *values))
+    p = p.withColumns({"w": F.lag("me").over(row), "e": F.lead("me").over(row)})
+    p = p.withColumn("tri", F.struct("w", "me", "e")).withColumns({"n": F.lag("tri").over(line), "s": F.lead("tri").over(line)})
+    seen = {(-1, 0): F.col("w"), (1, 0): F.col("e")} | {(dx, dy): F.col(side)[name] for side, dy in (("n", -1), ("s", 1)) for dx, name in ((-1, "w"), (0, "me"), (1, "e"))}
+    return p.filter("own").select("image_id", "x", "y", "me", *[seen[o].alias(f"n{i}") for i, o in enumerate(OFFSETS)])
+
+
+#: Above any neighbour's key.
+NONE = 99
+
+
+def _two(pixels: DataFrame, *values: Column) -> DataFrame:
+    """Pixels with their neighbours' colours (ks, -1 beyond the image) and the structs of the two most frequent, null
+    where there are none.
+
+    A neighbour's key is its colour's number and its place, the least key wins. These are functions of an array of eight:
+    written out as comparisons they make methods too large to be compiled.
+    """
+    every = [f"n{i}" for i in range(8)]
+    p = neighbours(pixels, *values).withColumn("ks", F.array(*[F.coalesce(F.col(f"{n}.c"), F.lit(-1).cast("long")) for n in every]))
+    ks = F.col("ks")
+    key = lambda k, i: F.when(k < 0, NONE).otherwise((8 - F.size(F.filter(ks, lambda m: m == k))) * 8 + i)
+    p = p.withColumn("keys", F.transform(ks, key)).withColumn("first", F.array_min("keys"))
+    p = p.withColumn("one", F.when(F.col("first") < NONE, F.get(F.array(*every), F.col("first") % 8)))
+    p = p.withColumn("second", F.array_min(F.transform(ks, lambda k, i: F.when(k == F.col("one.c"), NONE).otherwise(F.get("keys", i)))))
+    return p.withColumn("two", F.when(F.col("second") < NONE, F.get(F.array(*every), F.col("second") % 8)))
 
 
 def top_two(pixels: DataFrame) -> DataFrame:
     """image_id, x, y, c, the two most frequent neighbour colours (c2 null if there is one) and how many there are."""
-    pairs = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("k"), "place", "n")))  # eight at most
-    p = neighbour_counts(pixels).groupBy("image_id", "x", "y", "c").agg(pairs.alias("a"))
-    return p.select("image_id", "x", "y", "c", F.col("a")[0]["n"].alias("c1"), F.get("a", F.lit(1))["n"].alias("c2"), F.size("a").alias("n_unique"))
+    kinds = F.size(F.array_distinct(F.filter("ks", lambda k: k >= 0)))
+    return _two(pixels).filter("one is not null").select("image_id", "x", "y", F.col("me.c").alias("c"), F.col("one.c").alias("c1"), F.col("two.c").alias("c2"), kinds.alias("n_unique"))
 
 
-def is_between(p, a, b, threshold: float):
-    """Whether a colour is a blend of two others."""
-    whole, first, second = distance(a, b), distance(a, p), distance(p, b)
-    ratio = F.round(first / whole, 9)
-    return (whole >= 0.02) & (F.round((first + second) / whole - 1, 9) < threshold * 0.3) & (ratio > 0.1) & (ratio < 0.9)
+def is_between(whole: Column, first: Column, second: Column, threshold: float) -> Column:
+    """Whether a colour is a blend of two others, by their distance and its distances from them."""
+    safe = F.greatest(whole, F.lit(0.001))  # less than 0.02 is no blend whatever the quotients are
+    ratio = units(first / safe)
+    return (whole >= 0.02) & (units((first + second) / safe - 1) < round(threshold * 0.3 * 1e9)) & (ratio > 100_000_000) & (ratio < 900_000_000)
 
 
 def remove_aa(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Blend pixels take the nearer one of their two most frequent neighbour colours, with their own alpha."""
-    t = top_two(pixels).filter((channel(F.col("c"), 3) > 0) & (F.col("n_unique") >= 2) & (F.col("c") != F.col("c1")) & (F.col("c") != F.col("c2")))
-    lab = pixels.select("c").distinct().select(F.col("c").alias("k"), oklab_struct(F.col("c")).alias("lab"))
-    for name in ("c", "c1", "c2"):
-        t = t.join(lab.select(F.col("k").alias(name), F.col("lab").alias(f"l{name}")), name)
-    t = t.filter(is_between(F.col("lc"), F.col("lc1"), F.col("lc2"), threshold))
-    near = F.round(distance(F.col("lc"), F.col("lc1")), 9) <= F.round(distance(F.col("lc"), F.col("lc2")), 9)
-    won = F.when(near, F.col("c1")).otherwise(F.col("c2"))
-    fixed = t.select("image_id", "x", "y", (won - channel(won, 3) + channel(F.col("c"), 3)).alias("fixed"))
-    return pixels.join(fixed, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("fixed", "c").alias("c"))
+    """Blend pixels take the nearer one of their two most frequent neighbour colours, with their own alpha.
+
+    Written in place: the pixels are shuffled once and joined with nothing.
+    """
+    t = _two(pixels, oklab_struct(F.col("c")).alias("lab"))
+    c, lab = F.col("me.c"), [F.col(f"{name}.lab") for name in ("me", "one", "two")]
+    candidate = F.coalesce((channel(c, 3) > 0) & (c != F.col("one.c")) & (c != F.col("two.c")), F.lit(False))
+    t = t.select("image_id", "x", "y", c.alias("c"), F.col("one.c").alias("c1"), F.col("two.c").alias("c2"), candidate.alias("candidate"), distance(lab[1], lab[2]).alias("whole"), distance(lab[1], lab[0]).alias("d1"), distance(lab[0], lab[2]).alias("d2"))
+    won = F.when(units(F.col("d1")) <= units(F.col("d2")), F.col("c1")).otherwise(F.col("c2"))
+    blend = F.col("candidate") & is_between(F.col("whole"), F.col("d1"), F.col("d2"), threshold)
+    return t.select("image_id", "x", "y", F.when(blend, won - channel(won, 3) + channel(F.col("c"), 3)).otherwise(F.col("c")).alias("c"))

@@ -86,7 +86,7 @@ isles AS (SELECT *, pos - row_number() OVER (PARTITION BY image_id, axis ORDER B
 runs AS (SELECT image_id, axis, CAST(min(pos) AS INTEGER) AS start, count(*) AS len FROM isles GROUP BY image_id, axis, isle HAVING count(*) >= 8),
 bands AS (SELECT image_id, axis, CAST(row_number() OVER (PARTITION BY image_id, axis ORDER BY start) - 1 AS INTEGER) AS idx, start, len FROM runs)"""
 CELLS = f"""{BANDS},
-boxes AS (SELECT s.image_id, r.idx AS "row", k.idx AS col, min(s.x) AS x, min(s.y) AS y, max(s.x) - min(s.x) + 1 AS w, max(s.y) - min(s.y) + 1 AS h
+boxes AS (SELECT s.image_id, r.idx AS "row", k.idx AS col, min(s.x) AS x, min(s.y) AS y, max(s.x) - min(s.x) + 1 AS w, max(s.y) - min(s.y) + 1 AS h, k.start AS cx, k.len AS cw
   FROM sh s JOIN bands r ON r.axis = 'y' AND r.image_id = s.image_id AND s.y >= r.start AND s.y < r.start + r.len JOIN bands k ON k.axis = 'x' AND k.image_id = s.image_id AND s.x >= k.start AND s.x < k.start + k.len
   WHERE s.c <> {corpus.WHITE}::BIGINT GROUP BY ALL)"""
 
@@ -119,6 +119,11 @@ def _vote_sql(mode: Mode) -> str:
     return f'''won AS (SELECT image_id, CAST(bx AS INTEGER) AS bx, CAST("by" AS INTEGER) AS "by", c FROM (SELECT image_id, bx, "by", c, row_number() OVER (PARTITION BY image_id, bx, "by" ORDER BY {value} DESC, {ties}) AS r FROM placed GROUP BY image_id, bx, "by", c) WHERE r = 1)'''
 
 
+def _boxes(sheets: DataFrame) -> DataFrame:
+    p = sheet.marked(sheets, sheet.WHITE)
+    return sheet.cells(sheet.in_cells(p, sheet.bands(sheet.profiles(p), 8, "axis")))
+
+
 def _both(spark, sf_dir, f) -> DataFrame:
     p = sheet.marked(corpus.sheets(spark, sf_dir), (255, 255, 255))
     return f(p, "y").withColumn("axis", F.lit("y")).unionByName(f(p, "x").withColumn("axis", F.lit("x")))
@@ -229,10 +234,10 @@ SELECT h.image_id, h.x, h.y, CASE WHEN w.x IS NOT NULL THEN 0 ELSE h.c END AS c
         ),
         "sheet_separators": (lambda s, d: _both(s, d, sheet.separators), f"WITH {SEPARATORS} SELECT image_id, axis, pos, is_sep FROM lines"),
         "sheet_bands": (lambda s, d: _both(s, d, lambda p, a: sheet.bands(sheet.separators(p, a))), f"WITH {BANDS} SELECT image_id, axis, idx, start, len FROM bands"),
-        "auto_split": (lambda s, d: sheet.auto_split(corpus.sheets(s, d)), f"WITH {CELLS} SELECT * FROM boxes WHERE w >= 8 AND h >= 8"),
+        "auto_split": (lambda s, d: sheet.auto_split(corpus.sheets(s, d)), f"WITH {CELLS} SELECT image_id, \"row\", col, x, y, w, h FROM boxes WHERE w >= 8 AND h >= 8"),
         "cell_envelope": (
-            lambda s, d: sheet.envelopes(sheet.auto_split(corpus.sheets(s, d)), 48),
-            f'WITH {CELLS} SELECT image_id, "row", min(x - (col * 48 + 24)) AS min_left, max(x - (col * 48 + 24) + w) AS max_right, max(h) AS max_h FROM boxes WHERE w >= 8 AND h >= 8 GROUP BY ALL',
+            lambda s, d: sheet.envelopes(_boxes(corpus.sheets(s, d))),
+            f'WITH {CELLS} SELECT image_id, "row", min(x - (cx + cw // 2)) AS min_left, max(x - (cx + cw // 2) + w) AS max_right, max(h) AS max_h FROM boxes WHERE w >= 8 AND h >= 8 GROUP BY ALL',
         ),
         "gif_frames_all": (lambda s, d: sheet.frames(sheet.auto_split(corpus.sheets(s, d)), 12), f'WITH {CELLS} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY "row", col) - 1 AS INTEGER) AS frame, "row", col, 83 AS delay_ms FROM boxes WHERE w >= 8 AND h >= 8'),
         "gif_frames_row": (lambda s, d: sheet.frames(sheet.auto_split(corpus.sheets(s, d)), 12, 1), f'WITH {CELLS} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY col) - 1 AS INTEGER) AS frame, "row", col, 83 AS delay_ms FROM boxes WHERE w >= 8 AND h >= 8 AND "row" = 1'),

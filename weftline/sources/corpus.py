@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Red, green, blue, yellow, magenta, cyan, grey, orange.
@@ -15,18 +15,30 @@ def _packed(rgb) -> int:
     return rgb[0] << 24 | rgb[1] << 16 | rgb[2] << 8 | 255
 
 
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, scale and off of each sprite: one for each supplier."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"))
+    return s.withColumns({"scale": (F.col("image_id") % 4 + 2).cast("int"), "off": (F.floor(F.col("image_id") / 4) % 2).cast("int")})
+
+
+def _dealt(images: DataFrame) -> DataFrame:
+    """One row an image is little to read and much to work on: deal images out by id before they become pixels."""
+    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+
+
+def _colour(sprite: Column, x: Column, y: Column) -> Column:
+    """Of a place relative to the sprite's first logical pixel; columns scale and off are its own."""
+    sx, sy = F.floor(x / F.col("scale")), F.floor(y / F.col("scale"))
+    index = (sy * 3 + sx * 7 + sy * sx + sprite) % 8
+    colour = F.element_at(F.array(*[F.lit(_packed(c)) for c in COLOURS]), (index + 1).cast("int"))
+    return F.when((x >= 0) & (y >= 0) & (sx < 8) & (sy < 8), colour).otherwise(F.lit(GREY)).cast("long")
+
+
 def sprites(spark: SparkSession, sf_dir: str, frame: int = 0) -> DataFrame:
     """One image for each supplier: 8 by 8 logical pixels, enlarged 2 to 5 times, shifted by 0 or 1, framed in grey."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"))
-    s = s.withColumns({"scale": (F.col("image_id") % 4 + 2).cast("int"), "off": (F.floor(F.col("image_id") / 4) % 2).cast("int")})
-    s = s.withColumn("w", F.col("off") + 8 * F.col("scale") + 2 * frame)
+    s = _dealt(_images(spark, sf_dir)).withColumn("w", F.col("off") + 8 * F.col("scale") + 2 * frame)
     p = s.withColumn("x", F.explode(F.expr("sequence(0, w - 1)"))).withColumn("y", F.explode(F.expr("sequence(0, w - 1)")))
-    ix, iy = F.col("x") - frame - F.col("off"), F.col("y") - frame - F.col("off")
-    sx, sy = F.floor(ix / F.col("scale")), F.floor(iy / F.col("scale"))
-    index = (sy * 3 + sx * 7 + sy * sx + F.col("image_id")) % 8
-    inside = (ix >= 0) & (iy >= 0) & (sx < 8) & (sy < 8)
-    colour = F.element_at(F.array(*[F.lit(_packed(c)) for c in COLOURS]), (index + 1).cast("int"))
-    return p.select("image_id", "x", "y", F.when(inside, colour).otherwise(F.lit(GREY)).cast("long").alias("c"))
+    return p.select("image_id", "x", "y", _colour(F.col("image_id"), F.col("x") - frame - F.col("off"), F.col("y") - frame - F.col("off")).alias("c"))
 
 
 def sprites_sql(name: str = "px", frame: int = 0) -> str:
@@ -42,18 +54,19 @@ def sprites_sql(name: str = "px", frame: int = 0) -> str:
           LATERAL (SELECT unnest(range(0, off + 8 * scale + {2 * frame})) AS x) u, LATERAL (SELECT unnest(range(0, off + 8 * scale + {2 * frame})) AS y) v)))"""
 
 
-def sheet_of(pixels: DataFrame, columns: int = 4) -> DataFrame:
-    """Sheets of ``columns`` sprites in a row on white, with cells of 48 by 48 pixels: ids, four by four."""
-    sheet = F.floor(F.col("image_id") / (columns * columns)).cast("long")
-    place = (F.col("image_id") % (columns * columns)).cast("int")
-    return pixels.select(sheet.alias("image_id"), ((place % columns) * 48 + 2 + F.col("x")).cast("int").alias("x"), (F.floor(place / columns) * 48 + 2 + F.col("y")).cast("int").alias("y"), "c")
-
-
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = sheet_of(sprites(spark, sf_dir))
-    ids = content.select("image_id").distinct()
-    canvas = ids.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(191)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(191))))
-    return canvas.join(content, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("c", F.lit(WHITE).cast("long")).alias("c"))
+    """Sheets of 4 by 4 sprites on white, with cells of 48 by 48 pixels; a cell without a sprite is white."""
+    images = _images(spark, sf_dir).withColumn("sprite", F.col("image_id").cast("long")).drop("image_id")
+    ids = images.select(F.floor(F.col("sprite") / 16).cast("long").alias("image_id")).distinct()
+    side = F.sequence(F.lit(0), F.lit(3))
+    cells = _dealt(ids).withColumn("col", F.explode(side)).withColumn("row", F.explode(side))
+    cells = cells.withColumn("sprite", F.col("image_id") * 16 + F.col("row") * 4 + F.col("col")).join(images, "sprite", "left")
+    inner = F.sequence(F.lit(0), F.lit(47))
+    p = cells.withColumn("cx", F.explode(inner)).withColumn("cy", F.explode(inner))
+    x, y, extent = F.col("cx") - 2, F.col("cy") - 2, F.col("off") + 8 * F.col("scale")
+    own = (x >= 0) & (y >= 0) & (x < extent) & (y < extent)
+    c = F.when(own, _colour(F.col("sprite"), x - F.col("off"), y - F.col("off"))).otherwise(F.lit(WHITE).cast("long"))
+    return p.select("image_id", (F.col("col") * 48 + F.col("cx")).alias("x"), (F.col("row") * 48 + F.col("cy")).alias("y"), c.alias("c"))
 
 
 def sheets_sql() -> str:
