@@ -70,6 +70,8 @@ class PipelineConfig:
     background: BackgroundConfig = field(default_factory=BackgroundConfig)
     width: int | None = None
     height: int | None = None
+    #: Times the first size, where neither width nor height is given.
+    scale: int | None = None
 
 
 def parse_phase(text: str) -> tuple[int, int]:
@@ -80,21 +82,7 @@ def parse_phase(text: str) -> tuple[int, int]:
 
 
 def load_config(path: str | None) -> PipelineConfig:
-    """Settings from a TOML file; a missing file gives the defaults, unknown keys are ignored."""
-    import os
-    import tomllib
-
-    if path is None or not os.path.exists(path):
-        return PipelineConfig()
-    with open(path, "rb") as file:
-        raw = tomllib.load(file)
-    grid, aa, quant, back, out = (raw.get(k, {}) for k in ("grid", "aa", "quantize", "background", "output"))
-    return PipelineConfig(
-        GridConfig(size=grid.get("override_size"), max_candidate=grid.get("max_candidate", 32)),
-        AaConfig(threshold=aa.get("threshold", 0.5), skip=aa.get("skip", "threshold" not in aa)),
-        Mode.parse(raw.get("downscale", {}).get("mode", "snap")),
-        QuantizeConfig(palette_name=quant.get("palette"), num_colors=quant.get("num_colors"), skip=quant.get("skip", False)),
-        BackgroundConfig(enabled=back.get("enabled", False), border_threshold=back.get("border_threshold", 0.4), tolerance=back.get("color_tolerance", 0.05), flood=back.get("flood_fill", True)),
-        out.get("width"),
-        out.get("height"),
-    )
+    """Settings from a TOML file alone; a missing file gives the defaults, unknown keys are ignored."""
+    from .settings import Flags, merge, read_settings
+
+    return merge(Flags(), read_settings(path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +86,93 @@ def kmeans_palette(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1) -
     return [tuple(r) for r in out]
 
 
+def image_colours(pixels: DataFrame) -> DataFrame:
+    """Opaque colours of each image with their number and OKLAB."""
+    own = pixels.filter(channel(F.col("c"), 3) > 0).groupBy("image_id", "c").agg(F.count("*").alias("n"))
+    return own.withColumn("lab", oklab_struct(F.col("c")))
+
+
+def mean_and_variance(pixels: DataFrame) -> DataFrame:
+    """image_id, the mean l, a, b of its opaque pixels and the mean squared distance from it."""
+    own = image_colours(pixels).withColumn("q", sum((F.col("lab")[v] * F.col("lab")[v] for v in "lab"), F.lit(0.0)))
+    total = F.sum("n")
+    means = own.groupBy("image_id").agg(*[(F.sum(F.col("lab")[v] * F.col("n")) / total).alias(v) for v in "lab"], (F.sum(F.col("q") * F.col("n")) / total).alias("q"))
+    return means.select("image_id", "l", "a", "b", F.greatest(F.col("q") - F.col("l") * F.col("l") - F.col("a") * F.col("a") - F.col("b") * F.col("b"), F.lit(0.0)).alias("variance"))
+
+
+def opaque_colour_counts(pixels: DataFrame) -> DataFrame:
+    """image_id, n_colours: different colours of pixels that aren't wholly transparent."""
+    return pixels.filter(channel(F.col("c"), 3) > 0).groupBy("image_id").agg(F.count_distinct("c").alias("n_colours"))
+
+
+def weighted_kmeans(lab: np.ndarray, weight: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """At most k centres: seeded draws by weight and squared distance, then Lloyd's rounds until nothing changes."""
+    draw = np.random.default_rng(seed)
+    pick = lambda w: int(min(np.searchsorted(np.cumsum(w), draw.random() * w.sum()), len(w) - 1))
+    centres = lab[[pick(weight.astype(float))]]
+    gap = ((lab - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < min(k, weight.sum()) and (gap * weight).sum() > 0:
+        centres = np.concatenate([centres, lab[[pick(gap * weight)]]])
+        gap = np.minimum(gap, ((lab - centres[-1]) ** 2).sum(axis=1))
+    own = np.zeros(len(lab), int)
+    for _ in range(rounds):
+        near = np.concatenate([((part[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) for part in np.array_split(lab, len(lab) // 4096 + 1)])
+        if (near == own).all():
+            break
+        own = near
+        n = np.bincount(own, weight, len(centres))
+        for v in range(3):
+            sums = np.bincount(own, lab[:, v] * weight, len(centres))
+            centres[:, v] = np.where(n > 0, sums / np.maximum(n, 1), centres[:, v])
+    return centres
+
+
+def image_palettes(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1) -> DataFrame:
+    """image_id, idx, lab, r, g, b: a palette of at most k colours for each image, from its own opaque colours alone.
+
+    The distinct colours of one image with their numbers come together in a task; all pixels count, none is sampled. An
+    image without opaque pixels has no palette.
+    """
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        centres = weighted_kmeans(pdf[["l", "a", "b"]].to_numpy().copy(), pdf["n"].to_numpy(), k, rounds, seed)
+        return pd.DataFrame({"image_id": key[0], "idx": np.arange(len(centres), dtype=np.int32), "l": centres[:, 0], "a": centres[:, 1], "b": centres[:, 2]})
+
+    own = image_colours(pixels).select("image_id", "c", "n", "lab.*")
+    found = own.groupBy("image_id").applyInPandas(one, "image_id long, idx int, l double, a double, b double")
+    return with_srgb(found.select("image_id", "idx", F.struct("l", "a", "b").alias("lab")))
+
+
+def with_srgb(centres: DataFrame) -> DataFrame:
+    return centres.select("image_id", "idx", "lab", *[v.alias(n) for v, n in zip(srgb(F.col("lab")), "rgb", strict=True)])
+
+
+def lloyd_by_image(pixels: DataFrame, seeds: list[tuple[float, float, float]]) -> DataFrame:
+    """One round from fixed centres, each image for itself: image_id, idx, lab, r, g, b; a centre without colours stays."""
+    every = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for v, n in zip(c, "lab", strict=True)]) for i, c in enumerate(seeds)])
+    best = F.array_min(F.transform(every, lambda k: F.struct(units(distance_sq(F.col("lab"), k)).alias("d"), k["i"].alias("i"))))
+    near = image_colours(pixels).withColumn("idx", best["i"])
+    means = near.groupBy("image_id", "idx").agg(*[(F.sum(F.col("lab")[v] * F.col("n")) / F.sum("n")).alias(v) for v in "lab"])
+    seeded = near.select("image_id").distinct().withColumn("s", F.explode(every)).select("image_id", F.col("s.i").alias("idx"), F.struct("s.l", "s.a", "s.b").alias("seed"))
+    found = seeded.join(means, ["image_id", "idx"], "left")
+    return with_srgb(found.select("image_id", "idx", F.struct(*[F.coalesce(F.col(v), F.col("seed")[v]).alias(v) for v in "lab"]).alias("lab")))
+
+
+def snap_to_image_palettes(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
+    """Every pixel in the nearest colour of its image's palette, the first of equal ones; alpha stays, and transparent
+    pixels stay as they are, as do images without a palette. Distances are taken once for each colour of an image."""
+    own = palettes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", "lab", "r", "g", "b"))).alias("pal"))  # of one image
+    colours = pixels.select("image_id", "c").distinct().join(own, "image_id").withColumn("lab", oklab_struct(F.col("c")))
+    best = F.array_min(F.transform("pal", lambda p: F.struct(units(distance_sq(F.col("lab"), p["lab"])).alias("d"), p["idx"].alias("idx"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"))))
+    near = colours.withColumn("p", best).select("image_id", "c", packed(F.col("p.r"), F.col("p.g"), F.col("p.b"), channel(F.col("c"), 3)).alias("won"))
+    c = F.when(channel(F.col("c"), 3) == 0, F.col("c")).otherwise(F.coalesce("won", "c"))
+    return pixels.join(near, ["image_id", "c"], "left").select("image_id", "x", "y", c.alias("c"))
+
+
 def quantize(pixels: DataFrame, config: QuantizeConfig) -> DataFrame:
-    """A named palette comes before a custom one, that before a number of colours; without any nothing changes."""
+    """A named palette comes before a custom one, that before a number of colours, for which each image gets a palette of
+    its own; without any nothing changes."""
     spark = pixels.sparkSession
     if config.skip:
         return pixels
@@ -96,5 +183,5 @@ def quantize(pixels: DataFrame, config: QuantizeConfig) -> DataFrame:
     if config.num_colors is not None:
         if config.num_colors < 2:
             raise ValueError("at least two colours")
-        return snap_to_palette(pixels, from_colours(spark, kmeans_palette(pixels, config.num_colors)))
+        return snap_to_image_palettes(pixels, image_palettes(pixels, config.num_colors))
     return pixels

@@ -25,9 +25,10 @@ def run_pipeline(pixels: DataFrame, config: PipelineConfig = PipelineConfig(), g
     if grid is not None:
         out = downscale(out, grid.filter("grid_size > 1"), config.mode)
     out = remove_background(quantize(out, config.quantize), config.background)
-    if config.width or config.height or (grid is not None and config.mode is not Mode.SNAP):
+    if config.width or config.height or config.scale or (grid is not None and config.mode is not Mode.SNAP):
         # other modes than snap leave a small raster, which goes back to its first size unless one is asked for
         first = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-        wanted = [F.lit(v) if v else F.col(n) for v, n in ((config.width, "w"), (config.height, "h"))]
+        scale = 1 if config.width or config.height else config.scale or 1
+        wanted = [F.lit(v) if v else F.col(n) * scale for v, n in ((config.width, "w"), (config.height, "h"))]
         out = resize_to(out, first.select("image_id", wanted[0].alias("tw"), wanted[1].alias("th")))
     return out

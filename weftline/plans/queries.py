@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.color import LAB, LMS, channel, distance, oklab_struct
-from ..model import BackgroundConfig, GridConfig, Mode, PipelineConfig, QuantizeConfig
+from ..functions.color import LAB, LAB_LMS, LMS, LMS_RGB, channel, distance, oklab_struct
+from ..model import AutoSplitConfig, BackgroundConfig, GridConfig, Mode, PipelineConfig, QuantizeConfig
 from ..operators import background, blocks, grid, histogram, palette, sheet, stencil
 from ..sources import corpus, palettes, sinks
 from .pipeline import run_pipeline
-from .sheets import process_sheet
+from .sheets import process_sheet, process_sheet_auto, sheet_summary, sprite_tiles
 
 PX, FR = corpus.sprites_sql(), corpus.sprites_sql("px", 2)
 _CENTROIDS = [(0.3, 0.0, 0.0), (0.6, 0.1, 0.1), (0.8, -0.1, 0.1), (0.6, 0.2, -0.2)]
@@ -68,6 +68,10 @@ sums AS (
   FROM (SELECT t.*, p.s, p.n, CASE WHEN p.axis = 'x' THEN p.pos >= t.px AND (p.pos - t.px) % t.size = 0 ELSE p.pos >= t.py AND (p.pos - t.py) % t.size = 0 END AS h FROM tries t JOIN profile p USING (image_id)) t
   GROUP BY ALL),
 scores AS (SELECT image_id, size, px, py, CASE WHEN n1 > 0 THEN (CAST(s1 AS DOUBLE) / CAST(n1 AS DOUBLE)) / (CASE WHEN n0 > 0 THEN CAST(s0 AS DOUBLE) / CAST(n0 AS DOUBLE) ELSE 0.0::DOUBLE END + 0.1::DOUBLE) ELSE 0.0::DOUBLE END AS score FROM sums)"""
+BEST = """coarse AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, size) AS r FROM scores WHERE px = 0 AND py = 0),
+jobs AS (SELECT image_id, size, px, py, score, 0 AS job FROM coarse WHERE r = 1
+         UNION ALL SELECT s.image_id, s.size, s.px, s.py, s.score, CASE WHEN s.size <= 8 THEN s.size * 1000 ELSE 100000 + c.r * 1000 END + s.px * 20 + s.py FROM scores s JOIN coarse c USING (image_id, size) WHERE s.px + s.py > 0 AND (s.size <= 8 OR c.r <= 5)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, job) AS r FROM jobs) WHERE r = 1)"""
 BORDER = """size AS (SELECT image_id, max(x) AS mx, max(y) AS my FROM px GROUP BY image_id),
 seen AS (SELECT image_id, c, CASE WHEN y = 0 OR y = my THEN x * 2 + CASE WHEN y = 0 THEN 0 ELSE 1 END ELSE 1000000 + y * 2 + CASE WHEN x = 0 THEN 0 ELSE 1 END END AS place
          FROM px JOIN size USING (image_id) WHERE (x = 0 OR y = 0 OR x = mx OR y = my) AND (c & 255) > 0),
@@ -91,6 +95,38 @@ boxes AS (SELECT s.image_id, r.idx AS "row", k.idx AS col, min(s.x) AS x, min(s.
   WHERE s.c <> {corpus.WHITE}::BIGINT GROUP BY ALL)"""
 
 
+_SPOT = "(x * 5 + y * 3) % 11 = 0"
+SPOTTED_CELLS = CELLS.replace("sh AS (", "clean AS (", 1).replace("lines AS (", f"sh AS (SELECT image_id, x, y, CASE WHEN {_SPOT} THEN {corpus.WHITE}::BIGINT ELSE c END AS c FROM clean), lines AS (", 1)
+_PAD = 2
+PLACES = f"""{SPOTTED_CELLS},
+keep AS (SELECT * FROM boxes WHERE w >= 8 AND h >= 8),
+env AS (SELECT image_id, "row", min(x - (cx + cw // 2)) AS ml, max(x - (cx + cw // 2) + w) AS mr, max(h) AS mh FROM keep GROUP BY ALL),
+dims AS (SELECT image_id, max(mr - ml) + {2 * _PAD} AS tw, max(mh) + {2 * _PAD} AS th, max(mh) AS content FROM env GROUP BY image_id),
+place AS (SELECT k.*, tw, th, {_PAD} + k.x - (cx + cw // 2) - ml AS ox, {_PAD} + content - k.h AS oy FROM keep k JOIN env USING (image_id, "row") JOIN dims USING (image_id))"""
+TILES = f"""{PLACES},
+grounds AS (SELECT image_id, "row", col, tw, th, p.x AS px0, p.y AS py0, p.w, p.h, ox, oy, u.gx, v.gy FROM place p, LATERAL (SELECT unnest(range(0, tw)) AS gx) u, LATERAL (SELECT unnest(range(0, th)) AS gy) v),
+raw AS (SELECT g.image_id, g."row", g.col, g.gx AS x, g.gy AS y, tw, th, coalesce(s.c, 0) AS c, s.c IS NULL OR s.c = {corpus.WHITE}::BIGINT AS bg
+  FROM grounds g LEFT JOIN sh s ON s.image_id = g.image_id AND s.x = px0 + gx - ox AND s.y = py0 + gy - oy AND gx >= ox AND gx < ox + g.w AND gy >= oy AND gy < oy + g.h),
+wet AS (SELECT image_id, "row", col, x, y FROM raw WHERE bg AND (x = 0 OR y = 0 OR x = tw - 1 OR y = th - 1)
+  UNION SELECT r.image_id, r."row", r.col, r.x, r.y FROM wet w JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) ON true JOIN raw r ON r.image_id = w.image_id AND r."row" = w."row" AND r.col = w.col AND r.x = w.x + dx AND r.y = w.y + dy AND r.bg),
+tiles AS (SELECT r.image_id, r."row", r.col, CAST(r.x AS INTEGER) AS x, CAST(r.y AS INTEGER) AS y, tw, th, CASE WHEN w.x IS NOT NULL THEN 0 ELSE r.c END AS c
+  FROM raw r LEFT JOIN wet w ON w.image_id = r.image_id AND w."row" = r."row" AND w.col = r.col AND w.x = r.x AND w.y = r.y)"""
+_AUTO = AutoSplitConfig(pad=_PAD)
+MIXED = corpus.sprites_sql("fr", 2) + ", px AS (SELECT image_id, x, y, CASE WHEN image_id % 3 = 1 AND (x + y) % 10 = 0 THEN c - 255 WHEN image_id % 3 = 2 THEN ((x * 7 + y * 31) % 251)::BIGINT * 16777216 + (x * 5 % 256)::BIGINT * 65536 + 255 ELSE c END AS c FROM fr)"
+
+
+def spotted(sheets: DataFrame) -> DataFrame:
+    """Sheets with white spots, within sprites and on their edges."""
+    return sheets.withColumn("c", F.when(F.expr(_SPOT), F.lit(corpus.WHITE).cast("long")).otherwise(F.col("c")))
+
+
+def mixed_backgrounds(pixels: DataFrame) -> DataFrame:
+    """A third of the images with transparent pixels, a third without any common border colour."""
+    x, y, i = F.col("x"), F.col("y"), F.col("image_id")
+    motley = ((x * 7 + y * 31) % 251).cast("long") * 16777216 + (x * 5 % 256).cast("long") * 65536 + 255
+    return pixels.withColumn("c", F.when((i % 3 == 1) & ((x + y) % 10 == 0), F.col("c") - 255).when(i % 3 == 2, motley).otherwise(F.col("c")))
+
+
 def known_grid(pixels: DataFrame) -> DataFrame:
     """The grid that the sprite corpus is made with."""
     i = F.col("image_id")
@@ -187,11 +223,7 @@ hit AS (SELECT p.image_id, p.x, p.y, p.c, coalesce((p.c & 255) <> 0 AND {near(0.
         ),
         "grid_detect": (
             lambda s, d: grid.detect_grid(px(s, d)).withColumn("confidence", F.round("confidence", 6)),
-            f"""WITH {PX}, {SCORES},
-coarse AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, size) AS r FROM scores WHERE px = 0 AND py = 0),
-jobs AS (SELECT image_id, size, px, py, score, 0 AS job FROM coarse WHERE r = 1
-         UNION ALL SELECT s.image_id, s.size, s.px, s.py, s.score, CASE WHEN s.size <= 8 THEN s.size * 1000 ELSE 100000 + c.r * 1000 END + s.px * 20 + s.py FROM scores s JOIN coarse c USING (image_id, size) WHERE s.px + s.py > 0 AND (s.size <= 8 OR c.r <= 5)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, job) AS r FROM jobs) WHERE r = 1),
+            f"""WITH {PX}, {SCORES}, {BEST},
 runner AS (SELECT b.image_id, max(c.score) AS runner FROM best b JOIN coarse c ON c.image_id = b.image_id AND c.size <> b.size GROUP BY b.image_id)
 SELECT image_id, size AS grid_size, px AS phase_x, py AS phase_y, round(CASE WHEN score > 0 AND runner IS NOT NULL THEN least(greatest(1 - runner / score, 0), 1) ELSE 1 END, 6) AS confidence FROM best LEFT JOIN runner USING (image_id)""",
         ),
@@ -251,6 +283,13 @@ SELECT h.image_id, h.x, h.y, CASE WHEN w.x IS NOT NULL THEN 0 ELSE h.c END AS c
 snapped0 AS (SELECT p.image_id, p.x, p.y, CASE WHEN bx < bw AND "by" < bh THEN (SELECT c FROM won w WHERE w.image_id = p.image_id AND w.bx = p.bx AND w."by" = p."by") ELSE p.c END AS c FROM placed p JOIN size USING (image_id)),
 {_palette_sql("pico-8")}, {labs("lab", "snapped0")}, {snapped}
 SELECT image_id, x, y, won AS c FROM snapped0 JOIN snapped USING (c)""",
+        ),
+        "pipeline_default": (
+            lambda s, d: run_pipeline(noisy(px(s, d))),
+            f"""WITH {NOISY}, {SCORES}, {BEST}, size AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY image_id),
+placed AS (SELECT p.image_id, p.x, p.y, p.c, g, (p.x - f.px) // g AS bx, (p.y - f.py) // g AS "by", (p.x - f.px) % g AS dx, (p.y - f.py) % g AS dy
+  FROM px p JOIN (SELECT image_id, size AS g, px, py FROM best) f USING (image_id) JOIN size USING (image_id) WHERE p.x >= f.px AND p.y >= f.py AND (p.x - f.px) // g < (w - f.px) // g AND (p.y - f.py) // g < (h - f.py) // g), {_vote_sql(Mode.SNAP)}
+SELECT p.image_id, p.x, p.y, coalesce(w.c - (w.c & 255) + (p.c & 255), p.c) AS c FROM px p LEFT JOIN placed q ON q.image_id = p.image_id AND q.x = p.x AND q.y = p.y LEFT JOIN won w ON w.image_id = q.image_id AND w.bx = q.bx AND w."by" = q."by\"""",
         ),
         "sheet_process": (
             lambda s, d: process_sheet(noisy(corpus.sheets(s, d)), 12, 12, config=PipelineConfig(grid=GridConfig(size=4, phase=(0, 0)), quantize=QuantizeConfig(skip=True))),
@@ -260,6 +299,51 @@ SELECT image_id, x, y, won AS c FROM snapped0 JOIN snapped USING (c)""",
             lambda s, d: _names(s, d),
             "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || '_normalized.png' WHEN p_partkey % 3 = 1 THEN p_partkey || '_normalized.gif' ELSE p_partkey || '.a_normalized.PNG' END AS output, printf('sprite_%02d_%02d.png', CAST(p_partkey // 8 AS INTEGER), CAST(p_partkey % 8 AS INTEGER)) AS sprite, 'tile_' || p_partkey // 8 || '_' || p_partkey % 8 || '.png' AS tile FROM part",
         ),
+        "auto_tiles": (lambda s, d: sheet.auto_tiles(spotted(corpus.sheets(s, d)), _AUTO), f"WITH RECURSIVE {TILES} SELECT image_id, \"row\", col, x, y, c FROM tiles"),
+        "sheet_auto": (
+            lambda s, d: process_sheet_auto(spotted(corpus.sheets(s, d)), _AUTO),
+            f"""WITH RECURSIVE {TILES}, canvas AS (SELECT image_id, u.x, v.y FROM (SELECT image_id, max(tw) AS tw, max(th) AS th, max(col) + 1 AS cols, max("row") + 1 AS rows FROM tiles GROUP BY image_id), LATERAL (SELECT unnest(range(0, cols * tw)) AS x) u, LATERAL (SELECT unnest(range(0, rows * th)) AS y) v)
+SELECT k.image_id, CAST(k.x AS INTEGER) AS x, CAST(k.y AS INTEGER) AS y, coalesce(t.c, 0) AS c FROM canvas k LEFT JOIN tiles t ON t.image_id = k.image_id AND t.col * t.tw + t.x = k.x AND t."row" * t.th + t.y = k.y""",
+        ),
+        "sheet_auto_process": (
+            lambda s, d: sprite_tiles(spotted(corpus.sheets(s, d)), _AUTO, PipelineConfig(grid=GridConfig(skip=True), quantize=QuantizeConfig(palette_name="pico-8"))),
+            f"""WITH RECURSIVE {TILES}, {_palette_sql("pico-8")}, tc AS (SELECT DISTINCT c FROM tiles WHERE c <> 0), {labs("lab", "tc")}, {snapped}
+SELECT image_id, "row", col, x, y, CASE WHEN c = 0 THEN 0 ELSE won END AS c FROM tiles LEFT JOIN snapped USING (c)""",
+        ),
+        "sheet_preview": (
+            lambda s, d: sheet_summary(sprite_tiles(spotted(corpus.sheets(s, d)), _AUTO)),
+            f"""WITH {PLACES} SELECT image_id, count(*) AS tile_count, CAST(max(tw) AS INTEGER) AS tile_width, CAST(max(th) AS INTEGER) AS tile_height, max(col) + 1 AS cols, max("row") + 1 AS rows, CAST((max(col) + 1) * max(tw) AS INTEGER) AS output_width, CAST((max("row") + 1) * max(th) AS INTEGER) AS output_height FROM place GROUP BY image_id""",
+        ),
+        "sheet_background": (
+            lambda s, d: sheet.sheet_background(mixed_backgrounds(framed(s, d))),
+            f"""WITH {MIXED}, {BORDER.replace("share >= 0.4", "share >= 0.3")}, clear AS (SELECT image_id, avg(CASE WHEN (c & 255) < 128 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share FROM px GROUP BY image_id)
+SELECT image_id, CASE WHEN clear.share <= 0.05 THEN coalesce(border.c, {corpus.WHITE}::BIGINT) END AS bg FROM clear LEFT JOIN border USING (image_id)""",
+        ),
+        "quantize_by_image": (
+            lambda s, d: palette.snap_to_image_palettes(noisy(px(s, d)), palette.lloyd_by_image(noisy(px(s, d)), _CENTROIDS)),
+            f"""WITH {NOISY}, {labs("lab", "px")}, k AS (SELECT * FROM (VALUES {", ".join(f"({i}, {l}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for i, (l, a, b) in enumerate(_CENTROIDS))}) t(i, l, a, b)),
+near AS (SELECT lab.c AS c, arg_min(k.i, struct_pack(d := round({_d2("lab", "k")}, 9), i := k.i)) AS i FROM lab, k GROUP BY lab.c),
+means AS (SELECT image_id, i, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM px JOIN near USING (c) JOIN lab USING (c) GROUP BY image_id, i),
+own AS (SELECT j.image_id, k.i, coalesce(m.l, k.l) AS l, coalesce(m.a, k.a) AS a, coalesce(m.b, k.b) AS b FROM (SELECT DISTINCT image_id FROM px) j JOIN k ON true LEFT JOIN means m ON m.image_id = j.image_id AND m.i = k.i),
+cubes AS (SELECT *, {", ".join(f"pow({' + '.join(f'{w}::DOUBLE * {n}' for w, n in zip(row, 'lab', strict=True))}, 3) AS q{j}" for j, row in enumerate(LAB_LMS))} FROM own),
+lights AS (SELECT *, {", ".join(f"{' + '.join(f'{w}::DOUBLE * q{i}' for i, w in enumerate(row))} AS v{j}" for j, row in enumerate(LMS_RGB))} FROM cubes),
+rgb AS (SELECT *, {", ".join(f"CAST(round(least(greatest(CASE WHEN v{j} <= 0.0031308 THEN v{j} * 12.92 ELSE 1.055::DOUBLE * pow(greatest(v{j}, 0), 1 / 2.4::DOUBLE) - 0.055::DOUBLE END, 0), 1) * 255) AS BIGINT) AS s{j}" for j in range(3))} FROM lights),
+best AS (SELECT p.image_id, p.c, arg_min(s0 * 16777216 + s1 * 65536 + s2 * 256, struct_pack(d := round({_d2("lab", "rgb")}, 9), i := rgb.i)) + (p.c & 255) AS won FROM (SELECT DISTINCT image_id, c FROM px) p JOIN lab USING (c) JOIN rgb ON rgb.image_id = p.image_id GROUP BY p.image_id, p.c)
+SELECT image_id, x, y, won AS c FROM px JOIN best USING (image_id, c)""",
+        ),
+        "oklab_mean_variance": (
+            lambda s, d: palette.mean_and_variance(px(s, d)).select("image_id", *[F.round(v, 6).alias(v) for v in ("l", "a", "b", "variance")]),
+            f"WITH {PX}, {labs('lab', 'px')}, m AS (SELECT image_id, avg(l) AS ml, avg(a) AS ma, avg(b) AS mb FROM px JOIN lab USING (c) GROUP BY image_id) SELECT image_id, round(ml, 6) AS l, round(ma, 6) AS a, round(mb, 6) AS b, round(avg((l - ml) * (l - ml) + (a - ma) * (a - ma) + (b - mb) * (b - mb)), 6) AS variance FROM px JOIN lab USING (c) JOIN m USING (image_id) GROUP BY image_id, ml, ma, mb",
+        ),
+        "opaque_colours": (lambda s, d: palette.opaque_colour_counts(mixed_backgrounds(framed(s, d))), f"WITH {MIXED} SELECT image_id, count(DISTINCT c) AS n_colours FROM px WHERE (c & 255) > 0 GROUP BY image_id"),
+        "transparent_share": (
+            lambda s, d: sheet.transparent_share(mixed_backgrounds(framed(s, d))).withColumn("share", F.round("share", 6)),
+            f"WITH {MIXED} SELECT image_id, round(avg(CASE WHEN (c & 255) < 128 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM px GROUP BY image_id",
+        ),
+        "bg_removed_counts": (
+            lambda s, d: background.removed_counts(framed(s, d), background.remove_background(framed(s, d), BackgroundConfig(True, flood=False))),
+            f"WITH {marked} SELECT image_id, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS n_removed FROM hit GROUP BY image_id",
+        ),
         "png_encode": (lambda s, d: sinks.encode_images(px(s, d)), None),
         "gif_encode": (lambda s, d: sinks.encode_animation(sheet.split(px(s, d), 5, 4), 12), None),
         "kmeans_palette": (lambda s, d: palettes.from_colours(s, palette.kmeans_palette(px(s, d), 8)), None),

@@ -7,23 +7,52 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import PipelineConfig
+from ..model import AutoSplitConfig, PipelineConfig
 from ..operators.grid import detect_grid
-from ..operators.sheet import assemble, split
+from ..operators.sheet import assemble, auto_tiles, split, tile_summary
 from .pipeline import run_pipeline
 
 
-def process_sheet(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0, config: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """Sheets of tiles of a fixed size, each tile taken through the pipeline as an image of its own.
+def _normalised(pixels: DataFrame, tiles: DataFrame, config: PipelineConfig) -> DataFrame:
+    """Each tile taken through the pipeline as an image of its own; tiles keep their size.
 
     Without a size in the settings the grid is found once, on the whole sheet; with a size and no phase, each tile has its
-    own phase. Tiles keep their size: an output size is ignored. A sheet without a whole tile has no rows.
+    own phase. An output size is ignored.
     """
-    tiles = split(pixels, tw, th, spacing, margin).withColumn("tile", F.xxhash64("image_id", "row", "col"))
+    tiles = tiles.withColumn("tile", F.xxhash64("image_id", "row", "col"))
     places = tiles.select("tile", "image_id", "row", "col").distinct()
     grid = None
     if not config.grid.skip and not config.grid.size:
         grid = places.join(detect_grid(pixels, config.grid), "image_id").drop("image_id", "row", "col").withColumnRenamed("tile", "image_id")
     images = tiles.select(F.col("tile").alias("image_id"), "x", "y", "c")
-    done = run_pipeline(images, replace(config, width=None, height=None), grid).withColumnRenamed("image_id", "tile")
-    return assemble(done.join(places, "tile").select("image_id", "row", "col", "x", "y", "c"), tw, th, spacing, margin)
+    done = run_pipeline(images, replace(config, width=None, height=None, scale=None), grid).withColumnRenamed("image_id", "tile")
+    return done.join(places, "tile").select("image_id", "row", "col", "x", "y", "c")
+
+
+def fixed_tiles(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0, config: PipelineConfig | None = PipelineConfig()) -> DataFrame:
+    """Tiles of a fixed size, processed; as they are without settings. A sheet without a whole tile has no rows."""
+    tiles = split(pixels, tw, th, spacing, margin)
+    return tiles if config is None else _normalised(pixels, tiles, config)
+
+
+def process_sheet(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0, config: PipelineConfig | None = PipelineConfig()) -> DataFrame:
+    """Sheets of tiles of a fixed size: split, processed, put together again."""
+    return assemble(fixed_tiles(pixels, tw, th, spacing, margin, config), tw, th, spacing, margin)
+
+
+def sprite_tiles(pixels: DataFrame, auto: AutoSplitConfig = AutoSplitConfig(), config: PipelineConfig | None = None) -> DataFrame:
+    """Tiles of the sprites that are found on sheets without a fixed grid, processed if there are settings for it."""
+    tiles = auto_tiles(pixels, auto)
+    return tiles if config is None else _normalised(pixels, tiles, config)
+
+
+def process_sheet_auto(pixels: DataFrame, auto: AutoSplitConfig = AutoSplitConfig(), config: PipelineConfig | None = None) -> DataFrame:
+    """Sheets of equal tiles, one for each sprite that is found, side by side."""
+    return assemble(sprite_tiles(pixels, auto, config))
+
+
+def sheet_summary(tiles: DataFrame, spacing: int = 0, margin: int = 0) -> DataFrame:
+    """What a preview or a processed sheet reports: number and size of tiles, columns and rows, size of the new sheet."""
+    extent = lambda n, size: (2 * margin + F.col(n) * F.col(size) + (F.col(n) - 1) * spacing).cast("int")
+    found = tile_summary(tiles)
+    return found.select("*", extent("cols", "tile_width").alias("output_width"), extent("rows", "tile_height").alias("output_height"))
