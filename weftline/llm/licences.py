@@ -1,6 +1,7 @@
 """Licence texts in documents, by Dice coefficient over word bigrams, with DataFrame functions only.
 
-A document's units are its lines, its paragraphs (parted by blank lines, and also by lines without letters and digits) and its whole text, normalised to lower-case words. A unit is compared
+A document's units are its lines, its paragraphs (parted by lines without letters and digits, as blank ones are) and its
+whole text, normalised to lower-case words. A unit is compared
 with a template if their sizes allow the threshold: 2 * min(a, b) / (a + b) bounds the Dice coefficient of bigram sets of
 a and b bigrams, so that each template has a range of sizes, and units outside of all ranges are never compared. A unit
 that reaches the threshold also shares dice / (2 - dice) of a template's bigrams at least, so it holds one of any set of
@@ -81,30 +82,44 @@ def template_table(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     return rows.withColumn("low", F.ceil(F.col("t_size") * ratio - 1e-9)).withColumn("high", F.floor(F.col("t_size") / ratio + 1e-9))
 
 
+#: Words of nearly every English text, which are taken for anchors last.
+COMMON = frozenset("a all an and any are as at be by do for from has have if in is it its may no not of on or other so such than that the their this to use was what when which will with without you your".split())
+
+
 def anchor_words(grams: list[list[str]], dice: float) -> list[str]:
-    """Words of which any matching unit holds one: for each template its longest words, those of other templates first,
-    until they touch more bigrams than may be missing; words that hold another one of them (as a part) aren't needed."""
+    """Words of which any matching unit holds one: for each template its longest words, those of other templates first
+    and common ones last, until they touch more bigrams than may be missing; words that hold another one of them (as a
+    part) aren't needed."""
     out: set[str] = set()
     for own in grams:
         missing = len(own) - math.ceil(dice * len(own) / (2 - dice) - 1e-9)
         touched: set[str] = set()
-        for word in sorted({w for g in own for w in g.split(" ")}, key=lambda w: (w not in out, -len(w), w)):
+        for word in sorted({w for g in own for w in g.split(" ")}, key=lambda w: (w not in out, w in COMMON, w.isdigit(), -len(w), w)):
             if len(touched) > missing:
                 break
             if fresh := {g for g in own if word in g.split(" ")} - touched:
                 touched |= fresh
                 out.add(word)
-    return sorted(w for w in out if not any(x != w and x in w for x in out))
+    return sorted(w for w in out if not any(x != w and len(x) > WHOLE and x in w for x in out))
+
+
+#: Anchor words up to this length count only as whole words: as parts they are everywhere.
+WHOLE = 3
 
 
 def holds_any(text: Column, words: list[str]) -> Column:
-    if len(words) > 128:
-        return F.rlike(text, F.lit("|".join(re.escape(w) for w in words)))
-    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Whether lower-case text holds one of the words, as a part or, of short ones, as a whole."""
+    short, long = [w for w in words if len(w) <= WHOLE], [w for w in words if len(w) > WHOLE]
+    tests = [F.rlike(text, F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, short)) + r")(?![\p{L}\p{N}])"))] if short else []
+    if len(long) > 128:
+        tests.append(F.rlike(text, F.lit("|".join(map(re.escape, long)))))
+    else:
+        tests = [F.contains(text, F.lit(w)) for w in long] + tests
+    return functools.reduce(lambda a, b: a | b, tests)
 
 
 def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) -> DataFrame:
-    """doc_id, n_units compared, n_matches, licence and dice of the best match, for every document."""
+    """doc_id, n_matches (pairs of a unit and a template), licence and dice of the best match, for every document."""
     ship(docs.sparkSession)
     table = template_table(docs, templates, dice)
     known = table.orderBy("place").collect()  # the templates, MAX_TEMPLATES at most
@@ -112,11 +127,10 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     low, high = F.lit(min(int(r["low"]) for r in known)), F.lit(max(int(r["high"]) for r in known))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
-    paragraphs = F.split(text, r"\n[ \t\r]*\n")
-    # lines without a letter or digit, as between the paragraphs of a comment, part paragraphs too
-    parted = F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)")
-    paragraphs = F.when(F.size(parted) > F.size(paragraphs), F.concat(paragraphs, F.array_except(parted, paragraphs))).otherwise(paragraphs)
-    units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(F.array().cast("array<string>")), F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>")))
+    # lines without a letter or digit, blank ones or those between the paragraphs of a comment, part paragraphs
+    paragraphs = F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)")
+    none = F.array().cast("array<string>")
+    units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none), F.when(F.size(lines) > 1, F.array(text)).otherwise(none))
     units = F.filter(units, lambda u: holds_any(F.lower(u), anchors))
     grams = F.filter(F.transform(F.transform(units, normal_words), bigrams), lambda g: F.size(g).between(low, high))
     grams = F.when(holds_any(F.lower(text), anchors), grams).otherwise(F.array().cast("array<array<string>>"))
@@ -131,6 +145,30 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
         fitting = F.filter(literal, lambda t: F.size(g).between(t["low"], t["high"]))
         return F.transform(fitting, lambda t: F.struct(score(g, t).alias("dice"), (-t["place"]).alias("place"), t["licence"].alias("licence")))
 
-    found = units.select("doc_id", F.size("grams").cast("long").alias("n_units"), F.filter(F.flatten(F.transform("grams", best)), lambda m: m["dice"] >= dice).alias("m"))
+    found = units.select("doc_id", F.filter(F.flatten(F.transform("grams", best)), lambda m: m["dice"] >= dice).alias("m"))
     top = F.array_max("m")
-    return found.select("doc_id", "n_units", F.size("m").cast("long").alias("n_matches"), top["licence"].alias("licence"), F.round(top["dice"], 9).alias("dice"))
+    return found.select("doc_id", F.size("m").cast("long").alias("n_matches"), top["licence"].alias("licence"), F.round(top["dice"], 9).alias("dice"))
+
+
+def licence_sql(templates=TEMPLATES, dice: float = DICE) -> str:
+    """The same for DuckDB, comparing every unit of a fitting size without anchors."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    words = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    grams = "CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"
+    ratio = dice / (2 - dice)
+    return f"""
+WITH t AS (SELECT place, licence, {grams} AS tg FROM (SELECT place, licence, {words.format("template")} AS w FROM (VALUES {rows}) v(place, licence, template))),
+sized AS (SELECT *, len(tg) AS n, ceil(len(tg) * {ratio!r}::DOUBLE - 1e-9) AS low, floor(len(tg) / {ratio!r}::DOUBLE + 1e-9) AS high FROM t),
+split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, len(ls) AS n, u.i, ls[u.i] AS line FROM split, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) u),
+parts AS (SELECT *, i > 1 AND i < n AND NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS sep FROM lines),
+runs AS (SELECT *, sum(CASE WHEN sep THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run, bool_or(sep) OVER (PARTITION BY doc_id) AS parted FROM parts),
+units AS (SELECT doc_id, line AS u FROM lines
+  UNION ALL SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FROM runs WHERE parted AND NOT sep GROUP BY doc_id, run
+  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
+cut AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words.format("u")} AS w FROM units)),
+scored AS (SELECT doc_id, place, licence, len(list_intersect(g, tg)) * 2.0::DOUBLE / (len(g) + n) AS dice FROM cut JOIN sized ON len(g) BETWEEN low AND high),
+best AS (SELECT doc_id, count(*) AS n_matches, arg_max(struct_pack(l := licence, d := dice), struct_pack(d := dice, p := -place)) AS b FROM scored WHERE dice >= {dice!r}::DOUBLE GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, b.l AS licence, round(b.d, 9) AS dice FROM documents d LEFT JOIN best USING (doc_id)
+"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express."""
-    return {"op1_mix_sources": mixing.MIX_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op9_licence_dice": licences.licence_sql()}
