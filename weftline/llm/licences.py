@@ -110,7 +110,8 @@ WHOLE = 3
 def holds_any(text: Column, words: list[str]) -> Column:
     """Whether lower-case text holds one of the words, as a part or, of short ones, as a whole."""
     short, long = [w for w in words if len(w) <= WHOLE], [w for w in words if len(w) > WHOLE]
-    tests = [F.rlike(text, F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, short)) + r")(?![\p{L}\p{N}])"))] if short else []
+    whole = "|".join(rf"{w}(?<![\p{{L}}\p{{N}}]{w})(?![\p{{L}}\p{{N}}])" for w in map(re.escape, short))
+    tests = [F.rlike(text, F.lit(whole))] if short else []
     if len(long) > 128:
         tests.append(F.rlike(text, F.lit("|".join(map(re.escape, long)))))
     else:
@@ -124,19 +125,21 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     table = template_table(docs, templates, dice)
     known = table.orderBy("place").collect()  # the templates, MAX_TEMPLATES at most
     anchors = anchor_words([list(r["t_grams"]) for r in known], dice)
-    low, high = F.lit(min(int(r["low"]) for r in known)), F.lit(max(int(r["high"]) for r in known))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    least, most = F.lit(min(int(r["low"]) for r in known)), F.lit(max(int(r["high"]) for r in known))
+    # lower case once a text: each of the anchors looks at it
+    low = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("__lower"))
+    text = F.col("__lower")
     lines = F.split(text, "\n")
     # lines without a letter or digit, blank ones or those between the paragraphs of a comment, part paragraphs
     paragraphs = F.split(text, r"\n[^\p{L}\p{N}\n]*(?=\n)")
     none = F.array().cast("array<string>")
     units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none), F.when(F.size(lines) > 1, F.array(text)).otherwise(none))
-    units = F.filter(units, lambda u: holds_any(F.lower(u), anchors))
-    grams = F.filter(F.transform(F.transform(units, normal_words), bigrams), lambda g: F.size(g).between(low, high))
-    grams = F.when(holds_any(F.lower(text), anchors), grams).otherwise(F.array().cast("array<array<string>>"))
+    units = F.filter(units, lambda u: holds_any(u, anchors))
+    grams = F.filter(F.transform(F.transform(units, normal_words), bigrams), lambda g: F.size(g).between(least, most))
+    grams = F.when(holds_any(text, anchors), grams).otherwise(F.array().cast("array<array<string>>"))
     fields = ("place", "licence", "t_grams", "t_size", "low", "high")
     literal = F.from_json(F.lit(json.dumps([{f: r[f] for f in fields} for r in known])), "array<struct<place:int,licence:string,t_grams:array<string>,t_size:int,low:long,high:long>>")
-    units = docs.select("doc_id", grams.alias("grams"))
+    units = low.select("doc_id", grams.alias("grams"))
 
     def score(g: Column, t: Column) -> Column:
         return F.size(F.array_intersect(g, t["t_grams"])) * 2.0 / (F.size(g) + t["t_size"])
