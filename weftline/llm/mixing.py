@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every document gets a hash-random key. Within each source the keys are range-sorted: the leading digits of the key deal
-a source over 4096 buckets, sums over the buckets give each bucket's offset, and a window inside a bucket the running
-sum of words. So no task ever holds a whole source, and a source with a third of all rows is split as finely as any
-other. The running sum is cut where the source's budget ends; budgets above the source's size repeat it for whole epochs.
+a source over 4096 buckets, whose sums (combined before the shuffle) give each bucket's offset; only the bucket in which
+the source's budget ends is sorted by key, to find where. So a task holds 1 in 4096 of a source's rows at most, and a
+source with a third of all rows is split as finely as any other. Budgets above the source's size repeat it for whole
+epochs. Targets are computed from one row for each source, in one task.
 
 Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own (ordered last); a source
 without words has target 0; repeated rows (same doc_id) share one place in the order and divide the cut between them;
@@ -51,28 +52,36 @@ def source_targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
 
 
 def source_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets with the whole epochs and the place of the cut: the key it falls on, the words taken there and their sum."""
+    """Targets with the whole epochs and the place of the cut: the key it falls on, the words taken there and their sum.
+
+    Two steps: prefix sums over a source's buckets find the one that holds the cut, and prefix sums over the keys of that
+    bucket find the key. Only the rows of such buckets, one for each source, are sorted.
+    """
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs)
     targets = targets.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    places = sized.filter("size > 0").groupBy("source", "key").agg(F.sum("size").alias("words"))
-    places = places.withColumn("bucket", F.substring("key", 1, DIGITS))
-    buckets = places.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
+    some = sized.filter("size > 0").withColumn("bucket", F.substring("key", 1, DIGITS))
+    buckets = some.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
-    ahead = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    places = places.withColumn("inner", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    places = places.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    places = places.select(F.col("source").alias("p_source"), F.col("key").alias("cut_key"), (F.col("offset") + F.col("inner")).alias("start"), F.col("words").alias("cut_size"))
-    hit = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("cut_size"))
-    cuts = targets.join(places, hit, "left")
+    buckets = buckets.withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    wanted = targets.select(F.col("source").alias("t_source"), "rest")
+    held = buckets.join(wanted, F.col("source").eqNullSafe(F.col("t_source")))
+    held = held.filter((F.col("offset") <= F.col("rest")) & (F.col("rest") < F.col("offset") + F.col("words")))
+    held = write_table(held.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "offset", "rest"), "cut-buckets", 0)
+    places = some.join(held, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    places = places.groupBy("source", "key", "offset", "rest").agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("start", F.col("offset") + F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    hit = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("words"))
+    places = places.filter(hit).select(F.col("source").alias("p_source"), F.col("key").alias("cut_key"), "start", F.col("words").alias("cut_size"))
+    cuts = targets.join(places, F.col("source").eqNullSafe(F.col("p_source")), "left")
     return cuts.select("source", "source_size", "target", "epochs", "cut_key", (F.col("rest") - F.col("start")).alias("cut_words"), "cut_size")
 
 
 def mix_sizes(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """For every document the words that the mix takes of it: doc_id, size, source_size, target, taken, source."""
     sized = write_table(sizes(docs, seed), "sizes")
-    cuts = write_table(source_cuts(sized, source_targets(sized, weights, share, cap)), "cuts")
+    cuts = write_table(source_cuts(sized, source_targets(sized, weights, share, cap)), "cuts", 0)
     cuts = cuts.withColumnRenamed("source", "cut_source")
     part = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.expr("size * cut_words div cut_size")).otherwise(F.lit(0))
     joined = sized.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
@@ -86,7 +95,7 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: f
     Texts are not shuffled: whether a row is before the cut depends on its key and its source's cut alone.
     """
     sized = write_table(sizes(docs, seed), "sizes")
-    cuts = write_table(source_cuts(sized, source_targets(sized, weights, share, cap)), "cuts")
+    cuts = write_table(source_cuts(sized, source_targets(sized, weights, share, cap)), "cuts", 0)
     names = {c: f"__mix_{c}" for c in cuts.columns}
     cuts = cuts.select(*[F.col(c).alias(a) for c, a in names.items()])
     key, cut = mix_key(seed), F.col("__mix_cut_key")
