@@ -94,6 +94,27 @@ def test_multi_index(spark):
     assert multi_index.similar_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_multi_index_at_the_threshold(spark, kind):
+    """Recall of links just above the threshold, and nothing below it, against all pairs."""
+    gen = np.random.default_rng(7)
+    base = gen.standard_normal((1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = gen.standard_normal((1500, 32))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = gen.uniform(0.91, 0.95, (1500, 1))
+    x = np.concatenate([base, cosine * base + (1 - cosine**2) ** 0.5 * side]).astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame(list(enumerate(x.astype(float).tolist())), f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 as label")
+    got = {r.vec_id: r.n_links for r in multi_index.similar_vectors(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    want = link.sum(axis=1)
+    assert 500 < want.sum() < 3000 and all(got[i] <= want[i] for i in range(3000))
+    assert sum(got.values()) >= 0.95 * want.sum()
+
+
 def test_language(spark, empty):
     letters = {"aa": "abcd", "bb": "cdefg"}
     data = [(i, " ".join("".join(rng.choices(letters[k], k=5)) for _ in range(30)), k) for i, k in enumerate(["aa", "bb"] * 60)]
@@ -139,6 +160,22 @@ def test_kneser_ney(docs, empty):
     assert kneser_ney.score_texts(empty, language_mixture.held_out(7)).count() == 0
 
 
+def test_a_missing_file_is_an_error(spark, docs):
+    import os
+
+    model = kneser_ney.train(docs)
+    name = next(f"pair-{s}" for s in range(model.arrays.pair_shards) if model.arrays.files.get(f"pair-{s}"))
+    os.remove(f"{model.arrays.folder}/{name}")
+    with pytest.raises(OSError):
+        model.arrays.get(name, np.uint64)
+    found = repeats._stored(spark.range(100).selectExpr("id * 92233720368547758 as k"), lambda it, folder, n: repeats._write_shards({"x": (k := np.sort(np.concatenate([b.column("k").to_numpy() for b in it] or [np.zeros(0, np.int64)]).view(np.uint64)))}, repeats._top(k, n), folder), spark, "test", "k", 100)
+    assert sum(found.sizes.values()) == 100
+    shard = next(s for _, s in found.sizes)
+    os.truncate(f"{found.folder}/x-{shard}", 8 * (found.sizes["x", shard] - 1))
+    with pytest.raises(OSError):
+        found.get("x", shard, np.uint64)
+
+
 def test_bpe(docs, empty):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")

@@ -160,16 +160,27 @@ class Arrays:
         self.folder, self.sizes, self.pair_shards = folder, sizes, pair_shards
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.v = int(self.offsets[-1])
+        self.files: dict[str, int] | None = None  # sizes in bytes, once all is written
         self._open: dict[str, np.ndarray] = {}
 
+    def seal(self, pairs: int) -> None:
+        """Note the files that there are; from now on one that is missing or short is an error, not an empty one."""
+        self.files = {e.name: e.stat().st_size for e in os.scandir(self.folder)}
+        held = sum(self.files.get(f"pair-{s}", 0) for s in range(self.pair_shards)) // 8
+        words = sum(self.files.get(f"word-{s}", 0) for s in range(len(self.sizes))) // 8
+        if (held, words) != (pairs, self.v):
+            raise OSError(f"{self.folder} holds {words} words and {held} pairs of {self.v} and {pairs}")
+
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
     def get(self, name: str, dtype) -> np.ndarray:
         if name not in self._open:
             path = f"{self.folder}/{name}"
-            some = os.path.exists(path) and os.path.getsize(path)
-            self._open[name] = np.memmap(path, dtype, "r") if some else np.zeros(0, dtype)
+            size = self.files.get(name, 0) if self.files is not None else os.path.getsize(path)
+            if size and os.path.getsize(path) != size:
+                raise OSError(f"{path} has {os.path.getsize(path)} bytes of {size}")
+            self._open[name] = np.memmap(path, dtype, "r") if size else np.zeros(0, dtype)
         return self._open[name]
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
@@ -356,6 +367,7 @@ def train(docs: DataFrame) -> Model:
     names = [f"x{i}" for i in range(9)]
     total = stats.mapInArrow(lambda it: _write_stats(it, arrays), ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names]).first()
     ends = np.array(total, np.int64)
+    arrays.seal(int(ends[8]))
     return Model(arrays, n, 0, ends[:4], ends[4:])
 
 

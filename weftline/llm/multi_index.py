@@ -56,7 +56,7 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, excess: float) -> list[tuple[
     o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
     a, b = d1.tolist(), d2.tolist()
     limit = a[o1[0]] + b[o2[0]] + excess
-    heap, out, row_at = [(a[o1[0]] + b[o2[0]], 0, 0)], [], {0: 0}
+    heap, out = [(a[o1[0]] + b[o2[0]], 0, 0)], []
     while heap:
         s, i, j = heapq.heappop(heap)
         if s > limit:
@@ -66,7 +66,6 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, excess: float) -> list[tuple[
             heapq.heappush(heap, (a[o1[i]] + b[o2[j + 1]], i, j + 1))
         if j == 0 and i + 1 < len(o1):
             heapq.heappush(heap, (a[o1[i + 1]] + b[o2[0]], i + 1, 0))
-    del row_at
     return out
 
 
@@ -118,15 +117,15 @@ def valid(column: str = "embedding"):
     return F.col(column).isNotNull() & fine & F.exists(column, lambda v: v != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length from a list or a binary column."""
+def _matrix(column: pa.Array, kind: str = "<f8") -> np.ndarray:
+    """Vectors of one length, in double precision, from a list column or from a binary one of ``kind`` numbers."""
     if pa.types.is_binary(column.type):
         data = b"".join(column.to_pylist())
-        return np.frombuffer(data, np.float64).reshape(len(column), -1)
+        return np.frombuffer(data, kind).astype(np.float64).reshape(len(column), -1)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _visit_batches(batches: Iterator[pa.RecordBatch], indexes: dict[int, Index]) -> Iterator[pa.RecordBatch]:
+def _visit_batches(batches: Iterator[pa.RecordBatch], indexes: dict[int, Index], kind: str) -> Iterator[pa.RecordBatch]:
     """Each vector to every cell that it visits, as a query, and to its own cell as a member."""
     for batch in batches:
         for at in range(0, len(batch), 1000):
@@ -137,7 +136,7 @@ def _visit_batches(batches: Iterator[pa.RecordBatch], indexes: dict[int, Index])
                 x = _matrix(own.column("embedding"))
                 visits = indexes[int(dim)].visits(unit(x))
                 n = np.array([len(v) for v in visits])
-                vectors = pa.array([r.tobytes() for r in x], pa.binary())
+                vectors = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                 take = pa.array(np.repeat(np.arange(len(own)), n))
                 cells = np.array([c for v in visits for c in v], np.int64)
                 home = np.repeat([v[0] for v in visits], n).astype(np.int64)
@@ -170,7 +169,7 @@ def block_counts(index: Index, cosine: float, q: dict[str, np.ndarray], m: dict[
     return counts, [(int(names[a]), int(names[b])) for a, b in pairs if union.join(a, b)]
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch], indexes: dict[int, Index], cosine: float) -> Iterator[pa.RecordBatch]:
+def _block_batches(batches: Iterator[pa.RecordBatch], indexes: dict[int, Index], cosine: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Blocks come sorted by their key; one is held at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
     held: list[pa.RecordBatch] = []
@@ -183,7 +182,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch], indexes: dict[int, Index],
             own = block.filter(pa.array(side == is_member))
             if not len(own):
                 return
-            parts.append({"id": own.column("id").to_numpy(), "size": own.column("size").to_numpy(), "home": own.column("home").to_numpy(), "x": _matrix(own.column("vector"))})
+            parts.append({"id": own.column("id").to_numpy(), "size": own.column("size").to_numpy(), "home": own.column("home").to_numpy(), "x": _matrix(own.column("vector"), kind)})
         counts, links = block_counts(indexes[block.column("dim")[0].as_py()], cosine, *parts)
         if counts:
             rows = [(k, None, v) for k, v in counts.items()] + [(a, b, 0) for a, b in links]
@@ -210,6 +209,8 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RE
     """vec_id, n_links, component_id and kept of every vector."""
     spark = vectors.sparkSession
     ship(spark)
+    # floats travel as they are; comparisons are in double precision in any case
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     base = vectors.filter(valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     base = base.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "embedding")
     base = base.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.reverse("embedding"))})
@@ -225,8 +226,8 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RE
             indexes[dim] = Index(unit(np.stack(chosen.to_list())), n, cosine, recall)
     shared = spark.sparkContext.broadcast(indexes)  # two codebooks of at most 1024 codes for each length
 
-    visits = classes.select("label", "dim", "id", "size", F.col("embedding").cast("array<double>").alias("embedding"))
-    visits = visits.mapInArrow(lambda it: _visit_batches(it, shared.value), "label long, dim int, id long, size long, cell long, home long, vector binary")
+    visits = classes.select("label", "dim", "id", "size", F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
+    visits = visits.mapInArrow(lambda it: _visit_batches(it, shared.value, kind), "label long, dim int, id long, size long, cell long, home long, vector binary")
     visits = write_table(visits, "visits")
     places = ["label", "dim", "cell"]
     parts = visits.groupBy(*places).agg(F.ceil(F.count("*") / BLOCK).alias("qbs"), F.greatest(F.ceil(F.count_if(F.col("cell") == F.col("home")) / BLOCK), F.lit(1)).alias("mbs"))
@@ -235,7 +236,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = RE
     query = rows.select(*places, "id", "size", "home", "vector", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mbs") - 1)).alias("mb"), F.pmod(salt, "qbs").alias("qb"))
     member = rows.filter("cell = home").select(*places, "id", "size", "home", "vector", F.lit(True).alias("member"), F.pmod(salt, "mbs").alias("mb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qbs") - 1)).alias("qb"))
     blocks = query.unionByName(member).repartition(*places, "mb", "qb").sortWithinPartitions(*places, "mb", "qb")
-    found = write_table(blocks.mapInArrow(lambda it: _block_batches(it, shared.value, cosine), "a long, b long, n long"), "found")
+    found = write_table(blocks.mapInArrow(lambda it: _block_batches(it, shared.value, cosine, kind), "a long, b long, n long"), "found")
     comps = connected_components(found.filter("b is not null").select("a", "b")).withColumnRenamed("id", "c_id")
     partners = found.groupBy(F.col("a").alias("n_id")).agg(F.sum("n").alias("n"))
     reps = classes.join(comps, F.col("id") == F.col("c_id"), "left").join(partners, F.col("id") == F.col("n_id"), "left")
