@@ -57,7 +57,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 #: Rows of a few numbers that one file of an intermediate table should hold.
-ROWS_A_FILE = 1 << 20
+ROWS_A_FILE = 1 << 18
 
 
 def few_files(spark: SparkSession, rows: int) -> int:
