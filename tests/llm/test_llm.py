@@ -390,3 +390,44 @@ def test_pipeline(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_what_each_stage_does(spark):
+    """Each stage against what it should do to documents made for it, and its result as the next one's input."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    gen = random.Random(11)
+    english = "the of and to in is that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much before go good new write our me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always looked show large often together asked house world going want school important until form food keep children feet land side without boy once animals life enough took sometimes four head above kind began almost live page got earth need far hand high year mother light parts country father let night following picture being study second eyes soon times story boys since white days ever paper hard near sentence better best across during today others however sure means knew try told young miles sun ways thing whole hear example heard several change answer room sea against top turned learn point city play toward five using himself usually".split()
+    german = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer millionen was sagte".split()
+    text = lambda words, n: " ".join(gen.choices(words, k=n))
+    data = [(i, text(english if i % 2 else german, 80), "en" if i % 2 else "de", f"s{i % 3}", 0) for i in range(60)]
+    near = data[7][1].split()
+    near[40] = "changed"
+    data += [(100, data[7][1], "en", "s1", 0), (101, " ".join(near), "en", "s1", 0), (102, "12 34 -- 56 ##", None, "s2", 0), (103, None, None, "s2", 0)]
+    data += [(104, text(english, 60) + " password = kT9vXq2Lm8Zr " + text(english, 20), "en", "s0", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    known = stages["language_id"](spark, docs, "")
+    assert {r.doc_id for r in known.collect()} == {r[0] for r in data} - {102, 103} and known.columns == docs.columns
+    kept = stages["near_dedup"](spark, known, "")
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in data} - {100, 101, 102, 103} and kept.columns == docs.columns
+    clean = {r.doc_id: r for r in stages["secret_scan"](spark, kept, "").collect()}
+    changed = [i for i, r in clean.items() if r.text != dict((x[0], x[1]) for x in data)[i]]
+    assert changed == [104] and "kT9vXq2Lm8Zr" not in clean[104].text and clean[104].n_chars == len(clean[104].text)
+    mixed = stages["mix_sources"](spark, kept, "")
+    size, taken = Counter(), Counter()
+    for r in kept.collect():
+        size[r.source] += len(r.text.split())
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+    target = {r.source: r.target for r in mixing.mix_sizes(kept).select("source", "target").distinct().collect()}
+    assert mixed.columns == docs.columns and all(abs(taken[s] - target[s]) <= 90 for s in size)
+    coded = {r.doc_id: r for r in stages["bpe_encoding"](spark, kept, "").collect()}
+    assert all(coded[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in kept.collect())

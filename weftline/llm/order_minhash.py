@@ -262,7 +262,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     sketches = write_table(text.mapInArrow(_sketch_batches, "id long, words_key binary, sketch array<long>").filter("words_key is not null"), "sketches")
     most = ENTRIES * sketches.count()  # narrow rows in any of the tables below
-    classes = sketches.groupBy("words_key").agg(F.min("id").alias("rep"))
+    # a table of its own: Spark splits the partition of a hot key only in joins of what has been shuffled for them
+    classes = write_table(sketches.groupBy("words_key").agg(F.min("id").alias("rep")), "classes", most // ENTRIES)
     reps = sketches.join(classes, "words_key").filter("id = rep").select("id", "sketch")
     entries = reps.select("id", F.posexplode("sketch").alias("t", "value")).select("id", F.xxhash64(F.least("t", F.lit(ENTRIES)), "value").alias("bucket"))
     entries = write_table(entries, "entries", most)
