@@ -11,7 +11,7 @@ text at a time. p(w | v) = max(c(vw) - D, 0) / c(v) + g(v) * q(w), where q is th
 words, interpolated with 1 / (V + 1) for each known word and one for all unknown ones.
 
 Defined results: null and empty texts are one end token; without training texts every score is that of a uniform model
-over nothing, 0; an unknown word has the unknown word's probability, and after it the model falls back to q; repeated rows
+over nothing, 0; a text of any length is scored whole, a megabyte at a time; an unknown word has the unknown word's probability, and after it the model falls back to q; repeated rows
 give repeated results; extra columns are ignored. Up to 2**32 distinct words, which is checked.
 """
 

@@ -6,7 +6,7 @@ the shares. The set of languages is chosen by penalised likelihood among the bes
 order of their shares; the prediction is the largest share within the set, the score that share.
 
 Defined results: `und` with score 0 for null texts, texts without letters and if nothing was learned from; ties go to the
-language first in order; repeated rows give repeated results; an empty table gives an empty result; extra columns are
+language first in order; a text of any length counts whole; repeated rows give repeated results; an empty table gives an empty result; extra columns are
 ignored. The model has (languages x bins) numbers, and the bins shrink as languages grow: 4 million numbers at most.
 """
 

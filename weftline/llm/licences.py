@@ -7,7 +7,11 @@ a and b bigrams, so that each template has a range of sizes, and units outside o
 that reaches the threshold also shares dice / (2 - dice) of a template's bigrams at least, so it holds one of any set of
 words that touches more than the others of them: a unit without such an anchor word is left out before it is cut up.
 
-The templates (TEMPLATES, or the caller's, MAX_TEMPLATES at most) are a literal of the plan: nothing is joined or shuffled. Defined results: null and empty texts and texts without a match have n_matches 0 and null licence;
+The templates (TEMPLATES, or the caller's, MAX_TEMPLATES at most) are a literal of the plan: nothing is joined or
+shuffled.
+
+Defined results: null and empty texts and texts without a match have n_matches 0 and null licence; a text of any length is
+one unit too, and left out by its size;
 ties go to the template first in order; repeated rows give repeated results; an empty table gives an empty result; extra
 columns are ignored.
 """

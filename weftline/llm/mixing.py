@@ -6,8 +6,9 @@ the source's budget ends is sorted by key, to find where. So a task holds 1 in 4
 source with a third of all rows is split as finely as any other. Budgets above the source's size repeat it for whole
 epochs. Targets are computed from one row for each source, in one task.
 
-Defined results: null or empty text has size 0 and takes 0; a null source is a source of its own (ordered last); a source
-without words has target 0; repeated rows (same doc_id) share one place in the order and divide the cut between them;
+Defined results: null or empty text has size 0 and takes 0; a text of any length counts whole; a null source is a source of its own (ordered last); a source
+without words has target 0; repeated rows (same doc_id) share one place in the order and divide the cut between them, as would rows
+with equal keys;
 an empty table gives an empty result; other columns of the input are ignored or, in ``mix_documents``, passed through.
 """
 

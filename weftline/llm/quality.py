@@ -6,13 +6,14 @@ also vary in would hide the others in a common forest. The mean path length of a
 in (0, 1); for each forest the score from which a document is dropped is calibrated on the labels of that sample.
 
 Defined results: null and empty texts have all statistics 0 and fail the base rules; without labelled rows of both
-kinds the forest drops nothing; repeated rows give repeated results; extra columns are ignored.
+kinds the forest drops nothing; a score equal to its limit is kept; a text of any length is counted whole, its words as
+numbers; repeated rows give repeated results, and of rows that repeat a labelled doc_id the one with the least statistics
+is learned from; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,25 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
 
 
+def repeated_words(words: list[str]) -> int:
+    """Words in windows of three that occur twice or more, each word once; words are compared as numbers."""
+    n = len(words)
+    if n < 4:
+        return 0
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    pairs = ids[:-1] * len(number) + ids[1:]
+    pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)  # numbers of pairs, below n
+    _, place, count = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    again = count[place] > 1
+    if not again.any():
+        return 0
+    held = np.zeros(n, bool)
+    for j in range(3):
+        held[j : n - 2 + j] |= again
+    return int(held.sum())
+
+
 def text_stats(text: str | None) -> tuple[int, ...]:
     """The statistics of one whole text, in the order of STATS."""
     if not text:
@@ -42,14 +62,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
             dup += bool(_WORD.search(line))
         else:
             seen.add(line)
-    repeat = 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) < len(windows):
-        counts, until = Counter(windows), 0
-        for i, window in enumerate(windows):
-            if counts[window] > 1:
-                repeat += i + 3 - max(i, until)
-                until = i + 3
+    repeat = repeated_words(words)
     return n, sum(map(len, words)), symbols, dup, repeat, len(lines)
 
 
@@ -159,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> For
     # at most max_rows pairs of numbers: small enough to broadcast by its bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
     found = rows.mapInArrow(lambda it: _stats_batches(it, ["doc_id", "quality"]), f"doc_id long, quality int, {_STATS_DDL}")
-    found = found.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    once = found.groupBy("doc_id").agg(F.min(F.struct("quality", *STATS)).alias("least")).select("doc_id", "least.*")
+    found = once.toPandas().sort_values("doc_id")
     stats = found[list(STATS)].to_numpy(np.int64).reshape(-1, len(STATS))
     passing = ~base_failed(stats)
     x, bad = features(stats[passing]), found["quality"].to_numpy()[passing] == 0

@@ -8,7 +8,8 @@ with spaces and escaped characters, or, unquoted or where the quote isn't closed
 The programme stops as soon as no continuation can cost less than MIN_GUESSES, which is exact. Values that cost at least MIN_GUESSES are spans of kind guess,
 unless base spans cover them wholly; a value that a base span covers in part is a span as a whole.
 
-Defined results: null and empty texts have no spans; positions are code points of the whole text; repeated rows give
+Defined results: null and empty texts have no spans; positions are code points of the whole text, whatever its length;
+of segmentations with equal cost the first in order counts, spans with equal starts go by kind; repeated rows give
 repeated results; an empty table gives an empty result; extra columns are ignored, or passed through by ``redact``.
 """
 
