@@ -16,7 +16,8 @@ components and never all pairs.
 
 Defined results: null, empty and white-space texts have no shingles and are never linked; texts of fewer than five words
 are one shingle; a null doc_id links with nothing and is kept; rows that repeat a doc_id count as one document; a doc_id has to be a number or a text
-of one; a text of any length is taken whole; ties of shingle hashes go to the first in the text; an empty
+of one; a text of any length is taken whole; labelled shingles differ, so that they tie only where
+hashes collide; an empty
 table gives an empty result; extra columns are ignored, or passed through by ``drop_near_duplicates``.
 """
 

@@ -38,6 +38,8 @@ def phase_scores(profile: DataFrame, max_candidate: int = 32, max_phase: int = F
     The score is the mean difference on grid lines over that off them; 0 without lines. Lines before the phase are off.
     """
     image = Window.partitionBy("image_id")
+    # lines are few to shuffle and many to try out: a fixed number of tasks, which all that follows by image keeps
+    profile = profile.repartition(int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
     p = profile.withColumns({"all_s": F.sum("s").over(image), "all_n": F.sum("n").over(image)})
     ends = [F.coalesce(F.max(F.when(F.col("axis") == a, F.col("pos"))).over(image), F.lit(0)) for a in "xy"]
     most = F.greatest(F.lit(2), F.least(F.lit(max_candidate), *[F.floor((e + 1) / 2) for e in ends])).cast("int")
