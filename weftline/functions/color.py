@@ -67,9 +67,12 @@ def close_to(pixels: DataFrame, bg: Column, tolerance: float, name: str) -> Data
 
     The colour's own OKLAB is a column first: it is computed once a row, not once for each use.
     """
-    p = pixels.withColumn("__lab", oklab_struct(F.col("c")))
-    near = units(distance(F.col("__lab"), bg)) <= round(tolerance * 1e9)
-    return p.withColumn(name, F.coalesce(near, F.lit(False))).drop("__lab")
+    own = oklab(*(channel(F.col("c"), i) for i in range(3)))
+    p = pixels.withColumns({f"__{n}": v for n, v in zip("lab", own, strict=True)})
+    gap = [F.col(f"__{n}") - bg[n] for n in "lab"]
+    p = p.withColumns({f"__{n}": g for n, g in zip("lab", gap, strict=True)})
+    square = F.col("__l") * F.col("__l") + F.col("__a") * F.col("__a") + F.col("__b") * F.col("__b")
+    return p.withColumn(name, F.coalesce(units(F.sqrt(square)) <= round(tolerance * 1e9), F.lit(False))).drop("__l", "__a", "__b")
 
 
 def srgb(lab: Column) -> tuple[Column, Column, Column]:
