@@ -1,7 +1,10 @@
 """Licence texts in documents, by Dice coefficient over word bigrams, with DataFrame functions only.
 
-A document's units are its lines, its paragraphs (parted by lines without letters and digits, as blank ones are) and its
-whole text, normalised to lower-case words. A unit is compared
+A document's units are its lines, its paragraphs (parted by lines without letters and digits, as blank ones are), its
+whole text, and windows of words, normalised to lower-case words. Windows find a template within a larger paragraph: each
+template has seeds, pairs of neighbouring words of which about one stands in any stretch of SEED_WORDS; where the text
+has such a pair, the window that is as long as the template and holds the pair at the same place is a unit, compared with
+this template only. A unit is compared
 with a template if their sizes allow the threshold: 2 * min(a, b) / (a + b) bounds the Dice coefficient of bigram sets of
 a and b bigrams, so that each template has a range of sizes, and units outside of all ranges are never compared. A unit
 that reaches the threshold also shares dice / (2 - dice) of a template's bigrams at least, so it holds one of any set of
@@ -11,17 +14,21 @@ The templates (TEMPLATES, or the caller's, MAX_TEMPLATES at most) are a literal
 shuffled.
 
 Defined results: null and empty texts and texts without a match have n_matches 0 and null licence; a text of any length is
-one unit too, and left out by its size;
-ties go to the template first in order; repeated rows give repeated results; an empty table gives an empty result; extra
+one unit too, and left out by its size, while its windows are looked for in all of it; a window that begins before the
+text or ends after it is cut there;
+the best match is the one with the most bigrams in common (the whole of a licence before one of its paragraphs), then with the
+larger coefficient; ties go to the template first in order; repeated rows give repeated results; an empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import json
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +88,7 @@ def template_table(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates can be broadcast")
     rows = docs.sparkSession.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "place int, licence string, template string")
-    rows = rows.withColumn("t_grams", bigrams(normal_words(F.col("template")))).withColumn("t_size", F.size("t_grams"))
+    rows = rows.withColumn("t_words", normal_words(F.col("template"))).withColumn("t_grams", bigrams(F.col("t_words"))).withColumn("t_size", F.size("t_grams"))
     ratio = dice / (2 - dice)  # of the smaller to the larger size
     return rows.withColumn("low", F.ceil(F.col("t_size") * ratio - 1e-9)).withColumn("high", F.floor(F.col("t_size") / ratio + 1e-9))
 
@@ -111,6 +118,23 @@ def anchor_words(grams: list[list[str]], dice: float) -> list[str]:
 WHOLE = 3
 
 
+#: Words of a template in which one pair is a seed, about; short templates have at least four stretches.
+SEED_WORDS = 12
+
+
+def seeds(words: list[str], every: int = SEED_WORDS) -> list[tuple[int, str, str]]:
+    """(place, word, next word) of the pairs that mark a template: in each stretch the one with the fewest common words
+    and the most letters, of those that stand once in it."""
+    pairs = list(zip(words, words[1:], strict=False))
+    times = collections.Counter(pairs)
+    once = [(sum(w in COMMON or w.isdigit() for w in p), -len("".join(p)), i) for i, p in enumerate(pairs) if times[p] == 1]
+    step = max(1, min(every, len(pairs) // 4))
+    best: dict[int, tuple] = {}
+    for mark in once:
+        best[mark[2] // step] = min(mark, best.get(mark[2] // step, mark))
+    return [(i, *pairs[i]) for _, _, i in best.values()]
+
+
 def holds_any(text: Column, words: list[str]) -> Column:
     """Whether lower-case text holds one of the words, as a part or, of short ones, as a whole."""
     short, long = [w for w in words if len(w) <= WHOLE], [w for w in words if len(w) > WHOLE]
@@ -124,7 +148,7 @@ def holds_any(text: Column, words: list[str]) -> Column:
 
 
 def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) -> DataFrame:
-    """doc_id, n_matches (pairs of a unit and a template), licence and dice of the best match, for every document."""
+    """doc_id, n_matches (templates that a unit matches), licence and dice of the best match, for every document."""
     ship(docs.sparkSession)
     table = template_table(docs, templates, dice)
     known = table.orderBy("place").collect()  # the templates, MAX_TEMPLATES at most
@@ -140,27 +164,53 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     units = F.concat(lines, F.when(F.size(paragraphs) > 1, paragraphs).otherwise(none), F.when(F.size(lines) > 1, F.array(text)).otherwise(none))
     units = F.filter(units, lambda u: holds_any(u, anchors))
     grams = F.filter(F.transform(F.transform(units, normal_words), bigrams), lambda g: F.size(g).between(least, most))
-    grams = F.when(holds_any(text, anchors), grams).otherwise(F.array().cast("array<array<string>>"))
     fields = ("place", "licence", "t_grams", "t_size", "low", "high")
     literal = F.from_json(F.lit(json.dumps([{f: r[f] for f in fields} for r in known])), "array<struct<place:int,licence:string,t_grams:array<string>,t_size:int,low:long,high:long>>")
-    units = low.select("doc_id", grams.alias("grams"))
+    marks = [{"place": i, "at": at, "pair": f"{x} {y}", "n": len(r["t_words"])} for i, r in enumerate(known) for at, x, y in seeds(list(r["t_words"]))]
+    mark_literal = F.from_json(F.lit(json.dumps(marks)), "array<struct<place:int,at:int,pair:string,n:int>>")
+    held = holds_any(text, anchors)
+    units = low.select(
+        "doc_id",
+        F.when(held, grams).otherwise(F.array().cast("array<array<string>>")).alias("grams"),
+        F.when(held, normal_words(text)).otherwise(none).alias("words"),
+    )
+
+    # where a seed's first word stands, then where the pair does: only these few places are looked at closely
+    first, pair = sorted({m["pair"].split(" ")[0] for m in marks}), sorted({m["pair"] for m in marks})
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(first), i)), lambda i: i.isNotNull())
 
-    def score(g: Column, t: Column) -> Column:
-        return F.size(F.array_intersect(g, t["t_grams"])) * 2.0 / (F.size(g) + t["t_size"])
+    def pair_at(i: Column) -> Column:
+        return F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))
+
+    def windows(i: Column) -> Column:
+        return F.transform(F.filter(mark_literal, lambda m: m["pair"] == pair_at(i)), lambda m: F.struct(m["place"].alias("place"), (i - m["at"]).alias("start"), m["n"].alias("n")))
+
+    def window_match(m: Column) -> Column:
+        begin = F.greatest(m["start"], F.lit(0))
+        return F.transform(F.array(bigrams(F.slice("words", begin + 1, m["start"] + m["n"] - begin))), lambda g: match(g, F.get(literal, m["place"])))
+
+    def match(g: Column, t: Column) -> Column:
+        shared = F.size(F.array_intersect(g, t["t_grams"])).alias("shared")
+        return F.struct(shared, (shared * 2.0 / (F.size(g) + t["t_size"])).alias("dice"), (-t["place"]).alias("place"), t["licence"].alias("licence"))
 
     def best(g: Column) -> Column:
-        fitting = F.filter(literal, lambda t: F.size(g).between(t["low"], t["high"]))
-        return F.transform(fitting, lambda t: F.struct(score(g, t).alias("dice"), (-t["place"]).alias("place"), t["licence"].alias("licence")))
+        return F.transform(F.filter(literal, lambda t: F.size(g).between(t["low"], t["high"])), lambda t: match(g, t))
 
-    found = units.select("doc_id", F.filter(F.flatten(F.transform("grams", best)), lambda m: m["dice"] >= dice).alias("m"))
+    seen = units.select("doc_id", "grams", "words", F.filter(places, lambda i: pair_at(i).isin(pair)).alias("at"))
+    seen = seen.select("doc_id", "grams", "words", F.array_distinct(F.flatten(F.transform("at", windows))).alias("windows"))
+    all_matches = F.concat(F.flatten(F.transform("grams", best)), F.flatten(F.transform("windows", window_match)))
+    found = seen.select("doc_id", F.filter(all_matches, lambda m: m["dice"] >= dice).alias("m"))
     top = F.array_max("m")
-    return found.select("doc_id", F.size("m").cast("long").alias("n_matches"), top["licence"].alias("licence"), F.round(top["dice"], 9).alias("dice"))
+    n = F.size(F.array_distinct(F.transform("m", lambda m: m["place"])))
+    return found.select("doc_id", n.cast("long").alias("n_matches"), top["licence"].alias("licence"), F.round(top["dice"], 9).alias("dice"))
 
 
 def licence_sql(templates=TEMPLATES, dice: float = DICE) -> str:
-    """The same for DuckDB, comparing every unit of a fitting size without anchors."""
+    """The same for DuckDB, comparing every unit of a fitting size without anchors; of the seeds it takes the places."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    marks = [(i, len(w), *m) for i, (_, text) in enumerate(templates) for w in [re.findall(r"[^\W_]+", text.lower())] for m in seeds(w)]
+    mark_rows = ", ".join(f"({i}, {n}, {at}, '{x}', '{y}')" for i, n, at, x, y in marks)
     words = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     grams = "CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"
     ratio = dice / (2 - dice)
@@ -175,7 +225,19 @@ units AS (SELECT doc_id, line AS u FROM lines
   UNION ALL SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FROM runs WHERE parted AND NOT sep GROUP BY doc_id, run
   UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
 cut AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words.format("u")} AS w FROM units)),
-scored AS (SELECT doc_id, place, licence, len(list_intersect(g, tg)) * 2.0::DOUBLE / (len(g) + n) AS dice FROM cut JOIN sized ON len(g) BETWEEN low AND high),
-best AS (SELECT doc_id, count(*) AS n_matches, arg_max(struct_pack(l := licence, d := dice), struct_pack(d := dice, p := -place)) AS b FROM scored WHERE dice >= {dice!r}::DOUBLE GROUP BY doc_id)
+marks AS (SELECT * FROM (VALUES {mark_rows}) v(place, t_words, spot, x, y)),
+texts AS (SELECT doc_id, {words.format("text")} AS ws FROM documents),
+pairs AS (SELECT doc_id, u.i, ws[u.i] AS x, ws[u.i + 1] AS y FROM texts, LATERAL (SELECT unnest(range(1, len(ws))) AS i) u),
+spots AS (SELECT DISTINCT doc_id, place, t_words, i - spot AS start FROM pairs JOIN marks USING (x, y)),
+windows AS (SELECT doc_id, place, {grams} AS g FROM (SELECT doc_id, place, ws[greatest(start, 1):start + t_words - 1] AS w FROM spots JOIN texts USING (doc_id))),
+common AS (SELECT doc_id, place, licence, len(list_intersect(g, tg)) AS shared, len(g) + n AS both_sizes FROM cut JOIN sized ON len(g) BETWEEN low AND high
+  UNION ALL SELECT doc_id, place, licence, len(list_intersect(g, tg)), len(g) + n FROM windows JOIN sized USING (place)),
+scored AS (SELECT *, shared * 2.0::DOUBLE / both_sizes AS dice FROM common),
+best AS (SELECT doc_id, count(DISTINCT place) AS n_matches, arg_max(struct_pack(l := licence, d := dice), struct_pack(s := shared, d := dice, p := -place)) AS b FROM scored WHERE dice >= {dice!r}::DOUBLE GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, b.l AS licence, round(b.d, 9) AS dice FROM documents d LEFT JOIN best USING (doc_id)
 """
+
+
+def template_files(folder: str) -> tuple[tuple[str, str], ...]:
+    """(file name, text) of the licence texts in a folder on the driver, in order of their names: whole licences as templates."""
+    return tuple((p.name.removesuffix(".txt"), p.read_text(errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file())
