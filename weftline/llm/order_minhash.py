@@ -15,7 +15,8 @@ in several components are compared further, in blocks of at most 256 against 256
 components and never all pairs.
 
 Defined results: null, empty and white-space texts have no shingles and are never linked; texts of fewer than five words
-are one shingle; a null doc_id links with nothing and is kept; rows that repeat a doc_id count as one document; a doc_id has to be a number or a text
+are one shingle; a null doc_id links with nothing and is kept; rows that repeat a doc_id are one document, which is linked with
+what any of its texts is linked with; a doc_id has to be a number or a text
 of one; a text of any length is taken whole; labelled shingles differ, so that they tie only where
 hashes collide; an empty
 table gives an empty result; extra columns are ignored, or passed through by ``drop_near_duplicates``.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_files, ship, write_table
+from .common import WORD, few_files, ship, write_table
 from .components import connected_components
 from .textops import U64, keys, mix64, shingles, text_bytes, word_hashes
 
@@ -257,11 +258,27 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from flush()
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(id, class_id) of every document that has words: the smallest doc_id linked with it directly or over others."""
-    spark = docs.sparkSession
+def text_nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with __node, what is compared, and whether a doc_id repeats.
+
+    A node is a doc_id, or, where several rows have one, a hash of it and the row's text; null without a doc_id. Only ids
+    are aggregated; those that repeat are joined.
+    """
+    own = F.col("doc_id").cast("long")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__repeated"))
+    repeated = write_table(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("__node", own), False
+    marked = docs.join(repeated, F.col("doc_id") == F.col("__repeated"), "left")
+    return marked.withColumn("__node", F.when(F.col("__repeated").isNull(), own).otherwise(F.xxhash64("doc_id", "text"))).drop("__repeated"), True
+
+
+def node_classes(nodes: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """(id, class_id) of every node that has words: the smallest node linked with it directly or over others; ``same`` has
+    further links (a, b)."""
+    spark = nodes.sparkSession
     ship(spark)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    text = nodes.select(F.col("__node").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     sketches = write_table(text.mapInArrow(_sketch_batches, "id long, words_key binary, sketch array<long>").filter("words_key is not null"), "sketches")
     most = ENTRIES * sketches.count()  # narrow rows in any of the tables below
     # a table of its own: Spark splits the partition of a hot key only in joins of what has been shuffled for them
@@ -273,7 +290,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     shared = write_table(entries.join(hubs.select("bucket", "hub"), "bucket"), "shared", most)  # buckets with several documents
 
     wanted = shared.select(F.col("id").alias("want")).distinct()
-    seqs = text.join(wanted, text.doc_id == wanted.want).select("doc_id", "text").mapInArrow(_shingle_batches, "id long, seq binary").dropDuplicates(["id"])
+    seqs = text.join(wanted, text.doc_id == wanted.want).select("doc_id", "text").mapInArrow(_shingle_batches, "id long, seq binary").dropDuplicates(["id"])  # of a node, so equal texts
     seqs = write_table(seqs, "shingles")
     pairs = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     one, two = (seqs.select(F.col("id").alias(c), F.col("seq").alias(f"seq_{c}")) for c in "ab")
@@ -289,31 +306,53 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     blocks = blocks.select("bucket", "id", "comp", "own", other).select("bucket", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     blocks = blocks.join(seqs, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = blocks.mapInArrow(_block_batches, "a long, b long")
-    comps = connected_components(star.unionByName(more.repartition(few_files(spark, most))), most)
-    member = sketches.select("id", "words_key").join(classes, "words_key").select("id", "rep")
+    links = star.unionByName(more.repartition(few_files(spark, most)))
+    member = sketches.select("id", "words_key").join(classes, "words_key").select("id", "rep").distinct()
+    if same is not None:
+        rep_of = member.withColumnRenamed("id", "m")
+        for end in "ab":  # links between nodes hold for what represents them
+            same = same.join(rep_of, F.col(end) == F.col("m")).drop("m", end).withColumnRenamed("rep", end)
+        links = links.unionByName(same.select("a", "b"))
+    comps = connected_components(links, most)
     return member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and kept (doc_id = class_id) of every document; without words a document is its own class."""
-    found = near_duplicate_classes(docs).distinct().withColumnRenamed("id", "__id")
+    """doc_id, class_id and kept (doc_id = class_id), one row for each row of ``docs``; without words a document is its own class.
+
+    All texts of a repeated doc_id belong to one document, so what one of them is linked with is linked with the others.
+    """
+    nodes, repeated = text_nodes(docs.select("doc_id", "text"))
+    if not repeated:
+        found = node_classes(nodes).withColumnRenamed("id", "__id")
+    else:
+        own = write_table(nodes.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "__node", "text").filter(F.col("text").rlike(WORD)).select("doc_id", "__node").distinct(), "nodes")
+        hubs = own.groupBy("doc_id").agg(F.min("__node").alias("a"), F.max("__node").alias("b")).filter("a <> b")
+        same = own.join(hubs.select("doc_id", "a"), "doc_id").select("a", F.col("__node").alias("b")).filter("a <> b")
+        classes = own.join(node_classes(nodes, same).withColumnRenamed("id", "__node"), "__node").select("doc_id", "class_id").distinct()
+        names = classes.groupBy("class_id").agg(F.min("doc_id").alias("least"))  # nodes aren't ids
+        found = classes.join(names, "class_id").select(F.col("doc_id").alias("__id"), F.col("least").alias("class_id"))
     out = docs.select("doc_id").join(found, F.col("doc_id") == F.col("__id"), "left")
     class_id = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class; rows that repeat a doc_id become one, the least by text and the rest.
+    """``docs`` with one row of each class of texts, that of the least doc_id.
 
-    Rows with a null doc_id stay.
+    Rows that repeat a doc_id are decided by their own texts: one of equal texts stays, and a text that no other is near
+    stays whatever another of its id is near. Rows with a null doc_id stay.
     """
-    gone = near_duplicate_classes(docs).filter("id <> class_id").select(F.col("id").alias("doc_id")).distinct()
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = write_table(repeated, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return kept
+    nodes, repeated = text_nodes(docs)
+    classes = node_classes(nodes)
+    if not repeated:
+        return docs.join(classes.filter("id <> class_id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    own = nodes.filter("__node is not null").groupBy("__node").agg(F.min(F.col("doc_id").cast("long")).alias("__own"))
+    placed = write_table(classes.withColumnRenamed("id", "__node").join(own, "__node"), "placed")
+    stays = placed.groupBy("class_id").agg(F.min(F.struct("__own", "__node")).alias("stays"))
+    gone = placed.join(stays, "class_id").filter("__node <> stays.__node").select("__node")
+    kept = nodes.join(gone, "__node", "left_anti")
+    twice = write_table(kept.filter("__node is not null").groupBy("__node").count().filter("count > 1").select("__node"), "twice")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = F.min(F.struct("text", *rest)).alias("__least")  # combined before the shuffle
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "__least.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = kept.join(twice, "__node", "left_semi").groupBy("__node").agg(F.min(F.struct("doc_id", "text", *rest)).alias("__least"))  # combined before the shuffle
+    return kept.join(twice, "__node", "left_anti").select(*docs.columns).unionByName(once.select("__least.*").select(*docs.columns))
