@@ -167,11 +167,13 @@ _STATS_DDL = ", ".join(f"{c} long" for c in STATS)
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Forests | None:
     """Forests and limits from at most ``max_rows`` labelled documents, those of the smallest hashed ids."""
     ship(docs.sparkSession)
-    chosen = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    kind = dict(docs.dtypes)["doc_id"]
+    known = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality is not null and doc_id is not null")
+    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_rows)
     # at most max_rows pairs of numbers: small enough to broadcast by its bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    found = rows.mapInArrow(lambda it: _stats_batches(it, ["doc_id", "quality"]), f"doc_id long, quality int, {_STATS_DDL}")
+    found = rows.mapInArrow(lambda it: _stats_batches(it, ["doc_id", "quality"]), f"doc_id {kind}, quality int, {_STATS_DDL}")
     once = found.groupBy("doc_id").agg(F.min(F.struct("quality", *STATS)).alias("least")).select("doc_id", "least.*")
     found = once.toPandas().sort_values("doc_id")
     stats = found[list(STATS)].to_numpy(np.int64).reshape(-1, len(STATS))
