@@ -37,7 +37,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CONTEXT = re.compile(
     r"(?<![a-z])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[\"']?"
-    r"[\x20\t]*(?::=|=>|[:=]|\x20is\x20)[\x20\t]*(?:\"((?:[^\"\\\n]|\\.){6,}+)\"|'((?:[^'\\\n]|\\.){6,}+)'|[\"']?([^\s\"'<>;,]{6,}))",
+    r"[\x20\t]*(?::=|=>|[:=]|\x20is\x20)[\x20\t]*(?:\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|[\"']?([^\s\"'<>;,]+))",
     re.IGNORECASE | re.ASCII,
 )
 #: What a text must hold, in lower case, for either pattern of assignments to match.
