@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import channel, close_to, oklab_struct, packed
 from ..model import BackgroundConfig
+from ..storage import written
+from . import regions
 
 
-def border_color(pixels: DataFrame, threshold: float = 0.4) -> DataFrame:
+def extents(pixels: DataFrame) -> DataFrame:
+    """image_id, mx and my: the last column and line of each image."""
+    return pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+
+
+def border_color(pixels: DataFrame, threshold: float = 0.4, size: DataFrame | None = None) -> DataFrame:
     """image_id, c, cnt and share of the commonest opaque border colour, if its share reaches the threshold.
 
-    Ties go to the colour seen first: along x top then bottom, then along y left then right.
+    Ties go to the colour seen first: along x top then bottom, then along y left then right. ``size`` has the images' extents,
+    where they are known.
     """
-    size = pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    size = extents(pixels) if size is None else size.select("image_id", "mx", "my")
     p = pixels.join(size.filter("mx >= 1 and my >= 1"), "image_id")
     flat = F.col("y").isin(0) | (F.col("y") == F.col("my"))
     p = p.filter((flat | (F.col("x") == 0) | (F.col("x") == F.col("mx"))) & (channel(F.col("c"), 3) > 0))
-    seen = F.when(flat, F.col("x") * 2 + F.when(F.col("y") == 0, 0).otherwise(1)).otherwise(1_000_000 + F.col("y") * 2 + F.when(F.col("x") == 0, 0).otherwise(1))
+    place = lambda along, across: F.col(along).cast("long") * 2 + F.when(F.col(across) == 0, 0).otherwise(1)
+    seen = F.when(flat, place("x", "y")).otherwise(place("y", "x") + (1 << 40))  # sides after top and bottom, whatever the width
     counts = p.groupBy("image_id", "c").agg(F.count("*").alias("cnt"), F.min(seen).alias("first"))
     own = Window.partitionBy("image_id")
     counts = counts.withColumns({"total": F.sum("cnt").over(own), "rank": F.row_number().over(own.orderBy(F.desc("cnt"), "first"))})
@@ -28,18 +35,20 @@ def border_color(pixels: DataFrame, threshold: float = 0.4) -> DataFrame:
     return counts.filter((F.col("rank") == 1) & (share >= threshold)).select("image_id", "c", "cnt", share.alias("share"))
 
 
-def marked(pixels: DataFrame, config: BackgroundConfig) -> DataFrame:
-    """Pixels with hit: whether they have the background's colour, within the tolerance.
+def marked(pixels: DataFrame, config: BackgroundConfig, size: DataFrame | None = None) -> DataFrame:
+    """Pixels with hit: whether they have the background's colour, within the tolerance; with mx and my, if ``size`` has them.
 
-    The test is arithmetic on the row; a pixel is joined with its image's background colour alone.
+    The test is arithmetic on the row; a pixel is joined with its image's facts, one row, alone.
     """
+    facts, bg = size, F.col("bg")
     if config.color is not None:
-        p, bg = pixels, oklab_struct(packed(*[F.lit(v) for v in config.color], F.lit(255)))
+        bg = oklab_struct(packed(*[F.lit(v) for v in config.color], F.lit(255)))
     else:
-        border = border_color(pixels, config.border_threshold).select("image_id", oklab_struct(F.col("c")).alias("bg"))
-        p, bg = pixels.join(border, "image_id", "left"), F.col("bg")
+        border = border_color(pixels, config.border_threshold, size).select("image_id", oklab_struct(F.col("c")).alias("bg"))
+        facts = border if size is None else size.join(border, "image_id", "left")
+    p = pixels if facts is None else pixels.join(facts, "image_id", "left")
     p = close_to(p, bg, config.tolerance, "near")
-    return p.select("image_id", "x", "y", "c", ((channel(F.col("c"), 3) != 0) & F.col("near")).alias("hit"))
+    return p.select("image_id", "x", "y", "c", ((channel(F.col("c"), 3) != 0) & F.col("near")).alias("hit"), *(["mx", "my"] if size is not None else []))
 
 
 def removed_counts(pixels: DataFrame, result: DataFrame) -> DataFrame:
@@ -49,32 +58,13 @@ def removed_counts(pixels: DataFrame, result: DataFrame) -> DataFrame:
     return before.unionByName(after).groupBy("image_id").agg(F.sum("n").alias("n_removed"))
 
 
-def flooded(hit: np.ndarray) -> np.ndarray:
-    """The cells of a boolean raster that are 4-connected with its border through set cells, by spreading along lines."""
-    out = np.zeros_like(hit)
-    out[[0, -1]], out[:, [0, -1]] = hit[[0, -1]], hit[:, [0, -1]]
-    while True:
-        before = out.sum()
-        for a, h in ((out, hit), (out[::-1], hit[::-1]), (out.T, hit.T), (out.T[::-1], hit.T[::-1])):
-            for i in range(1, len(a)):
-                a[i] |= a[i - 1] & h[i]
-        if out.sum() == before:
-            return out
-
-
-def _flood(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    hit = np.zeros((y.max() + 1, x.max() + 1), bool)
-    hit[y, x] = pdf["hit"]
-    gone = flooded(hit)[y, x]
-    return pdf[["image_id", "x", "y"]].assign(c=np.where(gone, 0, pdf["c"]))
-
-
-def remove_background(pixels: DataFrame, config: BackgroundConfig) -> DataFrame:
-    """Background pixels become 0 (transparent); only the flood, one image in a task, needs Python."""
+def remove_background(pixels: DataFrame, config: BackgroundConfig, block: int = regions.BLOCK) -> DataFrame:
+    """Background pixels become 0 (transparent): everywhere, or where they are connected with the border."""
     if not config.enabled:
         return pixels
-    p = marked(pixels, config)
     if config.flood:
-        return p.groupBy("image_id").applyInPandas(_flood, "image_id long, x int, y int, c long")
+        size = written(extents(pixels), "extents", few=True)
+        wide = not size.filter((F.col("mx") >= block) | (F.col("my") >= block)).isEmpty()
+        return regions.flood(marked(pixels, config, size).withColumn("filler", F.lit(False)), "image_id", wide=wide, block=block)
+    p = marked(pixels, config)
     return p.select("image_id", "x", "y", F.when(F.col("hit"), F.lit(0).cast("long")).otherwise(F.col("c")).alias("c"))

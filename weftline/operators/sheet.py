@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import channel, close_to, oklab_struct, packed
 from ..model import AutoSplitConfig
-from .background import border_color, flooded
+from ..storage import written
+from . import regions
+from .background import border_color
 
 
 def resize_to(pixels: DataFrame, target: DataFrame) -> DataFrame:
@@ -59,24 +59,35 @@ WHITE = (255, 255, 255)
 CLEAR_SHARE, BORDER_SHARE = 0.05, 0.3
 
 
+def sheet_facts(pixels: DataFrame) -> DataFrame:
+    """image_id, mx, my and share (of pixels with an alpha below 128), from one pass."""
+    clear = F.avg((channel(F.col("c"), 3) < 128).cast("int"))
+    return pixels.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"), clear.alias("share"))
+
+
 def transparent_share(pixels: DataFrame) -> DataFrame:
     """image_id, share: of pixels with an alpha below 128."""
-    return pixels.groupBy("image_id").agg(F.avg((channel(F.col("c"), 3) < 128).cast("int")).alias("share"))
+    return sheet_facts(pixels).select("image_id", "share")
 
 
-def sheet_background(pixels: DataFrame) -> DataFrame:
+def sheet_background(pixels: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """image_id, bg: null where the sheet has transparency, else the commonest border colour, else white."""
-    border = border_color(pixels, BORDER_SHARE).select("image_id", F.col("c").alias("border"))
-    found = transparent_share(pixels).join(border, "image_id", "left")
+    facts = sheet_facts(pixels) if facts is None else facts
+    opaque = facts.filter(F.col("share") <= CLEAR_SHARE)  # the others' borders don't matter
+    border = border_color(pixels, BORDER_SHARE, opaque).select("image_id", F.col("c").alias("border"))
     white = packed(*[F.lit(v) for v in WHITE], F.lit(255))
-    return found.select("image_id", F.when(F.col("share") <= CLEAR_SHARE, F.coalesce("border", white)).alias("bg"))
+    return facts.join(border, "image_id", "left").select("image_id", F.when(F.col("share") <= CLEAR_SHARE, F.coalesce("border", white)).alias("bg"))
 
 
 def marked(pixels: DataFrame, background: tuple[int, int, int] | None, tolerance: float = 0.05, detect: bool = False) -> DataFrame:
-    """Pixels with bg: transparent enough, or close to the background colour, given or (``detect``) each sheet's own."""
+    """Pixels with bg: transparent enough, or close to the background colour, given or (``detect``) each sheet's own.
+
+    A detected background is found in two passes, whose results, a row for each sheet, are written.
+    """
     if detect:
-        own = sheet_background(pixels).select("image_id", F.when(F.col("bg").isNotNull(), oklab_struct(F.col("bg"))).alias("__bg"))
-        p, bg = pixels.join(own, "image_id"), F.col("__bg")
+        facts = written(sheet_facts(pixels), "facts", few=True)
+        own = sheet_background(pixels, facts).select("image_id", F.when(F.col("bg").isNotNull(), oklab_struct(F.col("bg"))).alias("__bg"))
+        p, bg = pixels.join(written(own, "backgrounds", few=True), "image_id"), F.col("__bg")
     elif background is None:
         return pixels.withColumn("bg", channel(F.col("c"), 3) < 128)
     else:
@@ -109,14 +120,20 @@ def bands(lines: DataFrame, least: int = 8, *keys: str) -> DataFrame:
 def in_cells(marked_pixels: DataFrame, found: DataFrame) -> DataFrame:
     """Pixels in crossings of a row band and a column band, with row, col and the crossing's cx, cw, cy and ch.
 
-    A sheet's bands travel as two short arrays, one row for each sheet, so that a pixel is joined by its image alone.
+    A sheet's bands travel in one row for each sheet: as sorted arrays, and as the band of every position up to the last, so
+    that a pixel is joined by its image alone and looks its bands up by its place, however many there are.
     """
-    band = F.struct("start", "len", "idx")
-    own = found.groupBy("image_id").agg(*[F.collect_list(F.when(F.col("axis") == a, band)).alias(name) for a, name in (("y", "rows"), ("x", "cols"))])
-    at = lambda name, axis: F.get(F.filter(name, lambda b: (F.col(axis) >= b["start"]) & (F.col(axis) < b["start"] + b["len"])), 0)
-    p = marked_pixels.join(own, "image_id").withColumns({"r": at("rows", "y"), "k": at("cols", "x")}).filter("r is not null and k is not null")
-    place = [F.col(f"{b}.{field}").cast("int").alias(n) for b, field, n in (("r", "idx", "row"), ("k", "idx", "col"), ("k", "start", "cx"), ("k", "len", "cw"), ("r", "start", "cy"), ("r", "len", "ch"))]
-    return p.select(*marked_pixels.columns, *place)
+    band = F.struct("start", "len")
+    sides = (("y", "rows"), ("x", "cols"))
+    own = found.groupBy("image_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("axis") == a, band))).alias(name) for a, name in sides])
+    for _, name in sides:
+        gap = lambda b, i, n=name: b["start"] - F.coalesce(F.get(n, i - 1)["start"] + F.get(n, i - 1)["len"], F.lit(0))
+        stretch = lambda b, i: F.concat(F.array_repeat(F.lit(-1), gap(b, i).cast("int")), F.array_repeat(i, b["len"].cast("int")))  # noqa: E731, B023
+        own = own.withColumn(f"{name}_at", F.flatten(F.transform(name, stretch)))
+    p = marked_pixels.join(own, "image_id").withColumns({"row": F.get("rows_at", F.col("y")), "col": F.get("cols_at", F.col("x"))}).filter("row >= 0 and col >= 0")
+    r, k = F.get("rows", F.col("row")), F.get("cols", F.col("col"))
+    place = [v.cast("int").alias(n) for v, n in ((k["start"], "cx"), (k["len"], "cw"), (r["start"], "cy"), (r["len"], "ch"))]
+    return p.select(*marked_pixels.columns, "row", "col", *place)
 
 
 def cells(placed: DataFrame, least: int = 8) -> DataFrame:
@@ -153,28 +170,26 @@ def placements(boxes: DataFrame, pad: int = 0) -> DataFrame:
     return b.select("image_id", "row", "col", "x", "y", "w", "h", "tw", "th", (pad + left - F.col("min_left")).alias("ox"), (pad + F.col("content") - F.col("h")).alias("oy"))
 
 
-def _flooded_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A whole tile; background that is connected with its border, and what no sprite covers, is transparent."""
-    tw, th = int(pdf["tw"].iloc[0]), int(pdf["th"].iloc[0])
-    x, y = pdf["tx"].to_numpy(), pdf["ty"].to_numpy()
-    c, bg = np.zeros((th, tw), np.int64), np.ones((th, tw), bool)
-    c[y, x], bg[y, x] = pdf["c"], pdf["bg"]
-    c[flooded(bg)] = 0
-    ys, xs = np.indices((th, tw), np.int32)
-    return pd.DataFrame({"image_id": key[0], "row": key[1], "col": key[2], "x": xs.ravel(), "y": ys.ravel(), "c": c.ravel()})
-
-
 def auto_tiles(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> DataFrame:
-    """Equal tiles of the sprites of every sheet: image_id, row, col, x, y, c; the background is flooded from the tile's
-    border, a tile at a time. Sheets without sprites have no rows; ``auto_split_errors`` says why."""
+    """Equal tiles of the sprites of every sheet: image_id, row, col, x, y, c; background that is connected with the tile's
+    border, and what no sprite covers, is transparent. Sheets without sprites have no rows; ``auto_split_errors`` says why.
+
+    Bands and the tiles' places, a few rows for each sheet, are written, so that pixels are read once for each of them and once more.
+    """
     p = marked(pixels, config.color, config.tolerance, config.color is None)
-    found = in_cells(p, bands(profiles(p, config.separator_threshold), config.min_sprite_size, "axis"))
+    lines = written(bands(profiles(p, config.separator_threshold), config.min_sprite_size, "axis"), "bands", few=True)
+    found = in_cells(p, lines)
     place = placements(cells(found, config.min_sprite_size), config.pad).select("image_id", "row", "col", *[F.col(n).alias(f"b_{n}") for n in ("x", "y", "w", "h")], "tw", "th", "ox", "oy")
+    place = written(place, "placements", few=True)
     own = found.select("image_id", "row", "col", "x", "y", "c", "bg").join(place, ["image_id", "row", "col"])
     for a, extent in (("x", "w"), ("y", "h")):
         own = own.filter((F.col(a) >= F.col(f"b_{a}")) & (F.col(a) < F.col(f"b_{a}") + F.col(f"b_{extent}")))
-    own = own.select("image_id", "row", "col", "tw", "th", "c", "bg", *[(F.col(f"o{a}") + F.col(a) - F.col(f"b_{a}")).cast("int").alias(f"t{a}") for a in "xy"])
-    return own.groupBy("image_id", "row", "col").applyInPandas(_flooded_tile, "image_id long, row int, col int, x int, y int, c long")
+    ends = [(F.col(n) - 1).cast("int").alias(m) for n, m in (("tw", "mx"), ("th", "my"))]
+    own = own.select("image_id", "row", "col", *[(F.col(f"o{a}") + F.col(a) - F.col(f"b_{a}")).cast("int").alias(a) for a in "xy"], "c", F.col("bg").alias("hit"), F.lit(False).alias("filler"), *ends)
+    ground = place.select("image_id", "row", "col", *ends, F.explode(F.expr("sequence(0, cast(tw as int) - 1)")).alias("x"))
+    ground = ground.withColumns({"y": F.explode(F.expr("sequence(0, my)")), "c": F.lit(0).cast("long"), "hit": F.lit(True), "filler": F.lit(True)})
+    wide = not place.filter((F.col("tw") > regions.BLOCK) | (F.col("th") > regions.BLOCK)).isEmpty()
+    return regions.flood(own.unionByName(ground), "image_id", "row", "col", wide=wide)
 
 
 def auto_split_errors(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> DataFrame:

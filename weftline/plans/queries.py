@@ -251,6 +251,13 @@ SELECT p.image_id, p.x, p.y, coalesce(f.c, p.c) AS c FROM px p LEFT JOIN (SELECT
 wet AS (SELECT image_id, x, y FROM hit JOIN ends ON i = image_id WHERE hit AND (x = 0 OR y = 0 OR x = ex OR y = ey)
         UNION SELECT h.image_id, h.x, h.y FROM wet w JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) ON true JOIN hit h ON h.image_id = w.image_id AND h.x = w.x + dx AND h.y = w.y + dy AND h.hit)
 SELECT h.image_id, h.x, h.y, CASE WHEN w.x IS NOT NULL THEN 0 ELSE h.c END AS c FROM hit h LEFT JOIN wet w ON w.image_id = h.image_id AND w.x = h.x AND w.y = h.y""",
+        ),
+        "bg_flood_maze": (
+            lambda s, d: background.remove_background(corpus.maze(s, d), BackgroundConfig(True, color=sheet.WHITE)),
+            f"""WITH RECURSIVE {corpus.maze_sql()}, ends AS (SELECT max(x) AS ex, max(y) AS ey FROM px),
+wet AS (SELECT image_id, x, y FROM px, ends WHERE c = {corpus.WHITE}::BIGINT AND (x = 0 OR y = 0 OR x = ex OR y = ey)
+        UNION SELECT p.image_id, p.x, p.y FROM wet w JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) ON true JOIN px p ON p.x = w.x + dx AND p.y = w.y + dy AND p.c = {corpus.WHITE}::BIGINT)
+SELECT p.image_id, p.x, p.y, CASE WHEN w.x IS NOT NULL THEN 0 ELSE p.c END AS c FROM px p LEFT JOIN wet w ON w.x = p.x AND w.y = p.y""",
         ),
         "resize_nearest": (
             lambda s, d: sheet.resize_nearest(px(s, d), 13, 10),

@@ -75,3 +75,25 @@ content AS (SELECT CAST(image_id // 16 AS BIGINT) AS image_id, CAST((image_id %
 sh AS (SELECT i.image_id, i.x, i.y, coalesce(c, {WHITE}::BIGINT) AS c
        FROM (SELECT DISTINCT image_id, CAST(u.x AS INTEGER) AS x, CAST(v.y AS INTEGER) AS y FROM (SELECT DISTINCT image_id FROM content), range(192) u(x), range(192) v(y)) i
        LEFT JOIN content USING (image_id, x, y))"""
+
+
+#: Rooms in a line of the maze, and their side.
+ROOMS, ROOM = 36, 8
+
+
+def maze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image, larger than a block: a room for each customer, with or without a wall above and on the left."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("i"))
+    side = F.sequence(F.lit(0), F.lit(ROOM - 1))
+    p = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "i").withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
+    line = F.floor(F.col("i") / ROOMS)
+    wall = ((F.col("dx") == 0) & ((F.col("i") * 7 + line * 3) % 5 < 2)) | ((F.col("dy") == 0) & ((F.col("i") * 11 + line) % 5 < 2))
+    x, y = F.col("i") % ROOMS * ROOM + F.col("dx"), line * ROOM + F.col("dy")
+    return p.select(F.lit(1).cast("long").alias("image_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), F.when(wall, F.lit(GREY)).otherwise(F.lit(WHITE)).cast("long").alias("c"))
+
+
+def maze_sql(name: str = "px") -> str:
+    return f"""{name} AS (
+  SELECT 1::BIGINT AS image_id, CAST(i % {ROOMS} * {ROOM} + dx AS INTEGER) AS x, CAST(i // {ROOMS} * {ROOM} + dy AS INTEGER) AS y,
+         CASE WHEN (dx = 0 AND (i * 7 + i // {ROOMS} * 3) % 5 < 2) OR (dy = 0 AND (i * 11 + i // {ROOMS}) % 5 < 2) THEN {GREY}::BIGINT ELSE {WHITE}::BIGINT END AS c
+  FROM (SELECT CAST(c_custkey AS BIGINT) AS i FROM customer), range({ROOM}) a(dx), range({ROOM}) b(dy))"""
