@@ -5,7 +5,7 @@ import pytest
 
 from weftline.functions.color import oklab_struct
 from weftline.model import BackgroundConfig, GridConfig, Mode, PipelineConfig, QuantizeConfig, load_config, parse_phase
-from weftline.operators import background, blocks, grid, histogram, palette, sheet, stencil
+from weftline.operators import background, blocks, grid, histogram, palette, regions, sheet, stencil
 from weftline.plans.pipeline import run_pipeline
 from weftline.sources import palettes
 
@@ -123,7 +123,10 @@ def test_flood_matches_brute_force():
                 if 0 <= a < 9 and 0 <= b < 11 and hit[a, b] and (a, b) not in seen:
                     seen.add((a, b))
                     todo.append((a, b))
-        assert {tuple(map(int, p)) for p in np.argwhere(background.flooded(hit))} == seen
+        cells = np.argwhere(hit)
+        run, root = regions.run_components(cells[:, 0], cells[:, 1])
+        wet = {root[run[i]] for i, (y, x) in enumerate(cells) if y in (0, 8) or x in (0, 10)}
+        assert {(int(y), int(x)) for i, (y, x) in enumerate(cells) if root[run[i]] in wet} == seen
 
 
 def test_sheet_round_trip(spark):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weftline.model import AutoSplitConfig, GridConfig, PipelineConfig, QuantizeConfig
+from weftline.model import AutoSplitConfig, BackgroundConfig, GridConfig, PipelineConfig, QuantizeConfig
 from weftline.operators import background, palette, sheet, stencil
 from weftline.plans import sheets
 from weftline.plans.report import image_report
@@ -108,5 +108,7 @@ def test_report(spark):
     assert got.histogram[0].rank == 1 and [s.size for s in got.grid_scores] == list(range(2, 13)) and 0 <= got.grid_confidence <= 1
     still = image_report(frame(spark, synthetic(6, 6, 4)), PipelineConfig(grid=GridConfig(skip=True))).first()
     assert still.grid_size is None and still.grid_scores is None
-    removed = background.removed_counts(frame(spark, [[RED, 0, BLUE]]), frame(spark, [[0, 0, BLUE]])).first()
-    assert removed.n_removed == 1
+    cleared = background.remove_background(frame(spark, [[RED, 0, BLUE]]), BackgroundConfig(True, color=(255, 0, 0), flood=False), flag="gone")
+    assert background.counted(cleared, "gone", "n_removed").first().n_removed == 1
+    seen_rows, seen = background.observed(cleared, "gone")
+    assert len(seen_rows.collect()) == 3 and seen.get == {"n_pixels": 3, "gone": 1}

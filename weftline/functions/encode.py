@@ -13,17 +13,55 @@ def rgba(raster: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raster.astype(">u4")).view(np.uint8).reshape(*raster.shape, 4)
 
 
-def png(raster: np.ndarray) -> bytes:
-    """An 8-bit RGBA file without interlacing; every line has filter 0."""
+#: Lines of a PNG strip.
+STRIP = 64
+ADLER = 65521
+
+
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def png_strip(raster: np.ndarray) -> tuple[bytes, int]:
+    """Some lines of an 8-bit RGBA file as deflate blocks that stand for themselves, and the checksum of what they hold.
+
+    Every line has filter 0. The blocks end at a byte and refer to nothing before them, so that strips can be compressed anywhere.
+    """
     h, w = raster.shape
     lines = np.zeros((h, 1 + 4 * w), np.uint8)
     lines[:, 1:] = rgba(raster).reshape(h, 4 * w)
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return deflate.compress(lines.tobytes()) + deflate.flush(zlib.Z_FULL_FLUSH), zlib.adler32(lines.tobytes())
+
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+def joined_checksum(first: int, second: int, size: int) -> int:
+    """The checksum of two pieces of data, the second ``size`` bytes long, from those of each."""
+    a, b = first & 65535, first >> 16
+    c, d = second & 65535, second >> 16
+    return ((b + d + size * (a - 1)) % ADLER) << 16 | (a + c - 1) % ADLER
 
-    head = struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+def png_file(width: int, height: int, strips: list[tuple[bytes, int]]) -> bytes:
+    """A file without interlacing of strips of STRIP lines, the last one of what is left; each is a chunk of its own."""
+    check, body = 1, []
+    for i, (data, own) in enumerate(strips):
+        check = joined_checksum(check, own, min(STRIP, height - i * STRIP) * (1 + 4 * width))
+        body.append(_chunk(b"IDAT", (b"\x78\x9c" if i == 0 else b"") + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+    end = _chunk(b"IDAT", b"\x03\x00" + struct.pack(">I", check))  # an empty last block
+    return b"".join([b"\x89PNG\r\n\x1a\n", _chunk(b"IHDR", head), *body, end, _chunk(b"IEND", b"")])
+
+
+def wider_strip(data: bytes, width: int, to_width: int, to_height: int) -> tuple[bytes, int]:
+    """A strip with transparent pixels on the right and below; of nothing, if there is no data."""
+    lines = np.frombuffer(zlib.decompressobj(-15).decompress(data), np.uint8).reshape(-1, 1 + 4 * width)[:, 1:] if data else np.zeros((0, 0), np.uint8)
+    raster = np.zeros((to_height, to_width), np.int64)
+    raster[: len(lines), :width] = lines.reshape(-1).view(">u4").astype(np.int64).reshape(-1, width) if len(lines) else 0
+    return png_strip(raster)
+
+
+def png(raster: np.ndarray) -> bytes:
+    return png_file(raster.shape[1], raster.shape[0], [png_strip(raster[i : i + STRIP]) for i in range(0, len(raster), STRIP)])
 
 
 def bmp(raster: np.ndarray) -> bytes:

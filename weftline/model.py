@@ -39,6 +39,8 @@ class QuantizeConfig:
     custom: tuple[tuple[int, int, int], ...] | None = None
     num_colors: int | None = None
     skip: bool = False
+    #: Pixels of an image that a palette of num_colors is taken from at most.
+    max_samples: int = 10_000
 
 
 @dataclass(frozen=True)

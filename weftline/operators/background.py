@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import channel, close_to, oklab_struct, packed
@@ -51,20 +51,30 @@ def marked(pixels: DataFrame, config: BackgroundConfig, size: DataFrame | None =
     return p.select("image_id", "x", "y", "c", ((channel(F.col("c"), 3) != 0) & F.col("near")).alias("hit"), *(["mx", "my"] if size is not None else []))
 
 
-def removed_counts(pixels: DataFrame, result: DataFrame) -> DataFrame:
-    """image_id, n_removed: opaque pixels that a removal has made transparent."""
-    before = pixels.select("image_id", F.when(channel(F.col("c"), 3) > 0, 1).otherwise(0).alias("n"))
-    after = result.select("image_id", F.when(channel(F.col("c"), 3) > 0, -1).otherwise(0).alias("n"))
-    return before.unionByName(after).groupBy("image_id").agg(F.sum("n").alias("n_removed"))
+def counted(result: DataFrame, flag: str, name: str) -> DataFrame:
+    """image_id and the number of its pixels that a stage has flagged, from the stage's own rows."""
+    return result.groupBy("image_id").agg(F.count_if(flag).alias(name))
 
 
-def remove_background(pixels: DataFrame, config: BackgroundConfig, block: int = regions.BLOCK) -> DataFrame:
-    """Background pixels become 0 (transparent): everywhere, or where they are connected with the border."""
+def observed(result: DataFrame, flag: str) -> tuple[DataFrame, Observation]:
+    """``result`` and the numbers n_pixels and ``flag`` of all its pixels, which are there when it has been written or
+    collected: they are counted in that same pass."""
+    seen = Observation()
+    return result.observe(seen, F.count("*").alias("n_pixels"), F.count_if(flag).alias(flag)), seen
+
+
+def remove_background(pixels: DataFrame, config: BackgroundConfig, block: int = regions.BLOCK, flag: str | None = None) -> DataFrame:
+    """Background pixels become 0 (transparent): everywhere, or where they are connected with the border.
+
+    A ``flag`` names a further column: whether the pixel has been removed.
+    """
+    flagged = lambda gone: [gone.alias(flag)] if flag else []
     if not config.enabled:
-        return pixels
+        return pixels.select("image_id", "x", "y", "c", *flagged(F.lit(False)))
     if config.flood:
         size = written(extents(pixels), "extents", few=True)
         wide = not size.filter((F.col("mx") >= block) | (F.col("my") >= block)).isEmpty()
-        return regions.flood(marked(pixels, config, size).withColumn("filler", F.lit(False)), "image_id", wide=wide, block=block)
+        found = regions.flood(marked(pixels, config, size).withColumn("filler", F.lit(False)), "image_id", wide=wide, block=block)
+        return found.select("image_id", "x", "y", "c", *flagged(F.col("gone")))
     p = marked(pixels, config)
-    return p.select("image_id", "x", "y", F.when(F.col("hit"), F.lit(0).cast("long")).otherwise(F.col("c")).alias("c"))
+    return p.select("image_id", "x", "y", F.when(F.col("hit"), F.lit(0).cast("long")).otherwise(F.col("c")).alias("c"), *flagged(F.col("hit")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import channel, distance_sq, oklab, oklab_struct, packed, srgb, units
@@ -24,7 +24,7 @@ def nearest(colours: DataFrame, palette: DataFrame) -> DataFrame:
 
     The palette is checked to have at most MAX_COLOURS rows and then travels as one array.
     """
-    rows = with_oklab(palette).orderBy("idx").collect()
+    rows = with_oklab(palette).orderBy("idx").limit(MAX_COLOURS + 1).collect()
     if len(rows) > MAX_COLOURS:
         raise ValueError(f"a palette has at most {MAX_COLOURS} colours")
     every = F.array(*[F.struct(F.lit(r["idx"]).alias("idx"), F.lit(r["r"]).alias("r"), F.lit(r["g"]).alias("g"), F.lit(r["b"]).alias("b"), F.struct(*[F.lit(r["plab"][n]).alias(n) for n in "lab"]).alias("lab")) for r in rows])
@@ -45,47 +45,95 @@ def weighted_colours(pixels: DataFrame) -> DataFrame:
     return own.withColumn("lab", oklab_struct(F.col("c")))
 
 
+def nearest_centre(lab: Column, centres: list[tuple[float, float, float]]) -> Column:
+    """struct<d, i>: squared distance in whole billionths and number of the nearest of ``centres``, the first of equal ones.
+
+    Centres are one constant of the plan, whose size doesn't slow its analysis.
+    """
+    flat = F.expr(f"cast(split('{','.join(repr(float(v)) for c in centres for v in c)}', ',') as array<double>)")
+    at = lambda i: {n: F.get(flat, i * 3 + k) for k, n in enumerate("lab")}
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda i: F.struct(units(distance_sq(lab, at(i))).alias("d"), i.alias("i"))))
+
+
 def lloyd_step(colours: DataFrame, centroids: list[tuple[float, float, float]]) -> DataFrame:
     """cluster, n and the mean l, a, b of the colours nearest to each centroid (the first of equal ones)."""
-    every = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for v, n in zip(c, "lab", strict=True)]) for i, c in enumerate(centroids)])
-    best = F.array_min(F.transform(every, lambda k: F.struct(units(distance_sq(F.col("lab"), k)).alias("d"), k["i"].alias("i"))))
-    rows = colours.withColumn("cluster", best["i"])
+    rows = colours.withColumn("cluster", nearest_centre(F.col("lab"), centroids)["i"])
     return rows.groupBy("cluster").agg(F.sum("n").alias("n"), *[(F.sum(F.col("lab")[v] * F.col("n")) / F.sum("n")).alias(v) for v in "lab"])
 
 
-def kmeans_palette(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1) -> list[tuple[int, int, int]]:
+def hashed_draws(colours: DataFrame, k: int) -> list[tuple[float, float, float]]:
+    """k colours in the order of their hashes: draws that every engine makes alike."""
+    return [tuple(r["lab"]) for r in colours.orderBy(F.md5(F.col("c").cast("string")), "c").limit(k).collect()]
+
+
+def oversampled_draws(colours: DataFrame, k: int, seed: int, rounds: int = 4) -> list[tuple[float, float, float]]:
+    """At most k first centres in the manner of k-means||: a few jobs, however many centres are asked for.
+
+    Each round draws 2k colours at once, with a chance that grows with their pixels times their squared distance from what has been drawn (the
+    least exponential draws, which tasks cut to 2k before they meet). The candidates, weighted with the pixels nearest to
+    them, are few enough to be reduced to k on the driver.
+    """
+    found = [tuple(r["lab"]) for r in colours.orderBy(F.xxhash64(F.lit(seed), "c"), "c").limit(1).collect()]
+    for step in range(rounds if found and k > 1 else 0):
+        near = colours.select("c", "lab", "n", (nearest_centre(F.col("lab"), found)["d"] * 1e-9).alias("d")).filter("d > 0")
+        u = (F.pmod(F.xxhash64(F.lit(seed + step + 1), "c"), F.lit(1 << 40)) + 1) / float(1 << 40)
+        more = near.orderBy(-F.log(u) / (F.col("d") * F.col("n")), "c").limit(2 * k).collect()
+        if not more:
+            break
+        found += [tuple(r["lab"]) for r in more]
+    if len(found) <= k:
+        return found
+    weight = {r["cluster"]: r["n"] for r in lloyd_step(colours, found).select("cluster", "n").collect()}
+    lab = np.array(found)
+    return [tuple(map(float, c)) for c in weighted_kmeans(lab, np.array([weight.get(i, 0) for i in range(len(lab))]), k, 20, seed)]
+
+
+def lloyd_rounds(colours: DataFrame, centres: list[tuple[float, float, float]], rounds: int) -> list[tuple[float, float, float]]:
+    """Centres after at most ``rounds`` rounds, or when they move no more; one without colours stays."""
+    for _ in range(rounds):
+        found = {r["cluster"]: (r["l"], r["a"], r["b"]) for r in lloyd_step(colours, centres).collect()}
+        after = [found.get(i, c) for i, c in enumerate(centres)]
+        if all(abs(x - y) < 1e-12 for a, b in zip(after, centres, strict=True) for x, y in zip(a, b, strict=True)):
+            break
+        centres = after
+    return centres
+
+
+def kmeans_palette(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1, hashed: bool = False) -> list[tuple[int, int, int]]:
     """A palette of at most k colours for the corpus, by weighted k-means over its distinct colours; seeded.
 
-    Only the k centroids pass through the driver.
+    Only candidates for the k centres, and these, pass through the driver. ``hashed`` draws the first ones by hash alone.
     """
     if k < 1:
         return []
     colours = weighted_colours(pixels).cache()
-    order = F.xxhash64(F.lit(seed), "c")
-    first = [tuple(r["lab"]) for r in colours.orderBy(order).limit(1).collect()]
+    first = hashed_draws(colours, k) if hashed else oversampled_draws(colours, k, seed)
     if not first:
         raise ValueError("no opaque pixels to take a palette from")
-    centroids = first
-    while len(centroids) < k:  # the farthest colour by d² times a seeded draw, in the manner of k-means++
-        d = F.array_min(F.array(*[distance_sq(F.col("lab"), F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(c, "lab", strict=True)])) for c in centroids]))
-        u = (F.pmod(F.xxhash64(F.lit(seed + len(centroids)), "c"), F.lit(1 << 20)) + 1) / float(1 << 20)
-        top = colours.select("lab", d.alias("d"), (-F.log(u) / (d * F.col("n"))).alias("key")).filter("d > 0").orderBy("key").limit(1).collect()
-        if not top:
-            break
-        centroids.append(tuple(top[0]["lab"]))
-    for _ in range(rounds):
-        found = {r["cluster"]: (r["l"], r["a"], r["b"]) for r in lloyd_step(colours, centroids).collect()}
-        after = [found.get(i, c) for i, c in enumerate(centroids)]
-        if all(abs(x - y) < 1e-12 for a, b in zip(after, centroids, strict=True) for x, y in zip(a, b, strict=True)):
-            break
-        centroids = after
+    centres = lloyd_rounds(colours, first, rounds)
     spark = pixels.sparkSession
-    rows = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centroids)], "idx int, l double, a double, b double")
+    rows = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centres)], "idx int, l double, a double, b double")
     out = rows.orderBy("idx").select(*[v.alias(n) for v, n in zip(srgb(F.struct("l", "a", "b")), "rgb", strict=True)]).collect()
     colours.unpersist()
     return [tuple(r) for r in out]
 
 
+#: Pixels of an image that its palette is taken from at most, unless the settings say otherwise.
+MAX_SAMPLES = 10_000
+
+
+def sample_pixels(pixels: DataFrame, most: int = MAX_SAMPLES) -> DataFrame:
+    """At most ``most`` opaque pixels of every image, those with the least hashes of their places; all where there are no more.
+
+    A uniform sample that any part of an image can be cut to before parts meet, so that no task gets more than ``most``
+    pixels of an image from another one; the same on every run and for every partitioning.
+    """
+    place = F.md5(F.concat_ws(":", "image_id", "x", "y"))
+    first = Window.partitionBy("image_id").orderBy("__place", "x", "y")
+    opaque = pixels.filter(channel(F.col("c"), 3) > 0).withColumn("__place", place)
+    return opaque.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= most).drop("__place", "__rank")
+
+
 def image_colours(pixels: DataFrame) -> DataFrame:
     """Opaque colours of each image with their number and OKLAB."""
     own = pixels.filter(channel(F.col("c"), 3) > 0).groupBy("image_id", "c").agg(F.count("*").alias("n"))
@@ -127,11 +175,11 @@ def weighted_kmeans(lab: np.ndarray, weight: np.ndarray, k: int, rounds: int, se
     return centres
 
 
-def image_palettes(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1) -> DataFrame:
+def image_palettes(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1, most: int = MAX_SAMPLES) -> DataFrame:
     """image_id, idx, lab, r, g, b: a palette of at most k colours for each image, from its own opaque colours alone.
 
-    The distinct colours of one image with their numbers come together in a task; all pixels count, none is sampled. An
-    image without opaque pixels has no palette.
+    The colours of a bounded sample of an image come together in a task, so that a huge one is no more than any other;
+    images of up to ``most`` opaque pixels count whole. An image without opaque pixels has no palette.
     """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +187,7 @@ def image_palettes(pixels: DataFrame, k: int, rounds: int = 50, seed: int = 1) -
         centres = weighted_kmeans(pdf[["l", "a", "b"]].to_numpy().copy(), pdf["n"].to_numpy(), k, rounds, seed)
         return pd.DataFrame({"image_id": key[0], "idx": np.arange(len(centres), dtype=np.int32), "l": centres[:, 0], "a": centres[:, 1], "b": centres[:, 2]})
 
-    own = image_colours(pixels).select("image_id", "c", "n", "lab.*")
+    own = image_colours(sample_pixels(pixels, most)).select("image_id", "c", "n", "lab.*")
     found = own.groupBy("image_id").applyInPandas(one, "image_id long, idx int, l double, a double, b double")
     return with_srgb(found.select("image_id", "idx", F.struct("l", "a", "b").alias("lab")))
 
@@ -183,5 +231,5 @@ def quantize(pixels: DataFrame, config: QuantizeConfig) -> DataFrame:
     if config.num_colors is not None:
         if config.num_colors < 2:
             raise ValueError("at least two colours")
-        return snap_to_image_palettes(pixels, image_palettes(pixels, config.num_colors))
+        return snap_to_image_palettes(pixels, image_palettes(pixels, config.num_colors, most=config.max_samples))
     return pixels

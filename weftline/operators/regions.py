@@ -187,7 +187,7 @@ def _sides(mx: Column, my: Column, block: int) -> tuple[Column, Column]:
 
 
 def flood(marked: DataFrame, *keys: str, wide: bool = True, block: int = BLOCK) -> DataFrame:
-    """keys, x, y and c of marked (keys, x, y, c, hit, filler, mx, my): pixels that are connected with the border over hits are 0.
+    """keys, x, y, c and gone of marked (keys, x, y, c, hit, filler, mx, my): pixels that are connected with the border over hits are 0.
 
     ``mx`` and ``my`` are the last column and line of what ``keys`` (numbers) name. One pixel of a place counts, a filler last. ``wide`` may be false only where nothing is larger than a block; then one shuffle is all.
     """
@@ -201,7 +201,7 @@ def flood(marked: DataFrame, *keys: str, wide: bool = True, block: int = BLOCK)
     found = dealt.mapInArrow(lambda it: _blocks(it, list(keys), block), ddl)
     zero = F.lit(0).cast(kinds["c"])
     if not wide:
-        return found.select(*keys, "x", "y", F.when(F.col("gone"), zero).otherwise(F.col("c")).alias("c"))
+        return found.select(*keys, "x", "y", F.when(F.col("gone"), zero).otherwise(F.col("c")).alias("c"), "gone")
     found = written(found, "blocks")
     ends = found.filter("node >= 0").select(*keys, "x", "y", F.col("node").alias("u"))
     edges = None
@@ -216,6 +216,6 @@ def flood(marked: DataFrame, *keys: str, wide: bool = True, block: int = BLOCK)
     seeds = placed.filter("seed").select(*keys, "root_node").distinct()
     wet = placed.join(seeds, [*keys, "root_node"], "left_semi").select(*keys, "node", F.lit(True).alias("wet"))
     reached = F.col("gone") | F.coalesce("wet", F.lit(False))
-    inner = found.filter("node < 0").select(*keys, "x", "y", F.when(F.col("gone"), zero).otherwise(F.col("c")).alias("c"))
+    inner = found.filter("node < 0").select(*keys, "x", "y", F.when(F.col("gone"), zero).otherwise(F.col("c")).alias("c"), "gone")
     open_ = found.filter("node >= 0").join(wet, [*keys, "node"], "left")  # a node has the pixels of a block at most
-    return inner.unionByName(open_.select(*keys, "x", "y", F.when(reached, zero).otherwise(F.col("c")).alias("c")))
+    return inner.unionByName(open_.select(*keys, "x", "y", F.when(reached, zero).otherwise(F.col("c")).alias("c"), reached.alias("gone")))

@@ -189,7 +189,7 @@ def auto_tiles(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -
     ground = place.select("image_id", "row", "col", *ends, F.explode(F.expr("sequence(0, cast(tw as int) - 1)")).alias("x"))
     ground = ground.withColumns({"y": F.explode(F.expr("sequence(0, my)")), "c": F.lit(0).cast("long"), "hit": F.lit(True), "filler": F.lit(True)})
     wide = not place.filter((F.col("tw") > regions.BLOCK) | (F.col("th") > regions.BLOCK)).isEmpty()
-    return regions.flood(own.unionByName(ground), "image_id", "row", "col", wide=wide)
+    return regions.flood(own.unionByName(ground), "image_id", "row", "col", wide=wide).drop("gone")
 
 
 def auto_split_errors(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> DataFrame:

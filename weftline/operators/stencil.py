@@ -77,10 +77,11 @@ def is_between(whole: Column, first: Column, second: Column, threshold: float) -
     return (whole >= 0.02) & (units((first + second) / safe - 1) < round(threshold * 0.3 * 1e9)) & (ratio > 100_000_000) & (ratio < 900_000_000)
 
 
-def remove_aa(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def remove_aa(pixels: DataFrame, threshold: float = 0.5, flag: str | None = None) -> DataFrame:
     """Blend pixels take the nearer one of their two most frequent neighbour colours, with their own alpha.
 
-    Written in place: the pixels are shuffled once and joined with nothing.
+    Written in place: the pixels are shuffled once and joined with nothing. A ``flag`` names a further column: whether the
+    pixel was a blend.
     """
     t = _two(pixels, oklab_struct(F.col("c")).alias("lab"))
     c, lab = F.col("me.c"), [F.col(f"{name}.lab") for name in ("me", "one", "two")]
@@ -88,4 +89,4 @@ def remove_aa(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     t = t.select("image_id", "x", "y", c.alias("c"), F.col("one.c").alias("c1"), F.col("two.c").alias("c2"), candidate.alias("candidate"), distance(lab[1], lab[2]).alias("whole"), distance(lab[1], lab[0]).alias("d1"), distance(lab[0], lab[2]).alias("d2"))
     won = F.when(units(F.col("d1")) <= units(F.col("d2")), F.col("c1")).otherwise(F.col("c2"))
     blend = F.col("candidate") & is_between(F.col("whole"), F.col("d1"), F.col("d2"), threshold)
-    return t.select("image_id", "x", "y", F.when(blend, won - channel(won, 3) + channel(F.col("c"), 3)).otherwise(F.col("c")).alias("c"))
+    return t.select("image_id", "x", "y", F.when(blend, won - channel(won, 3) + channel(F.col("c"), 3)).otherwise(F.col("c")).alias("c"), *([F.coalesce(blend, F.lit(False)).alias(flag)] if flag else []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import PipelineConfig
@@ -11,10 +11,11 @@ from ..sources.sinks import ENCODERS, encode_images, normalized_name, write_file
 from .pipeline import run_pipeline
 
 
-def run_batch(spark: SparkSession, pattern: str, folder: str, config: PipelineConfig = PipelineConfig(), overwrite: bool = False) -> DataFrame:
+def run_batch(spark: SparkSession, pattern: str, folder: str, config: PipelineConfig = PipelineConfig(), overwrite: bool = False, progress: Observation | None = None) -> DataFrame:
     """path, output, ok and error of every file that ``pattern`` stands for; collecting the result writes the files.
 
     A file keeps its extension. Those without an encoder (JPEG, WebP) fail as a row and don't disturb the others.
+    ``progress`` gets n_ok and n_failed in the pass that writes the files.
     Two files of one name go to one output, and are both failures: which one would stay depends on timing.
     """
     files = read_images(spark, pattern).select("image_id", "path", "ok", normalized_name(F.col("path")).alias("output"))
@@ -29,7 +30,8 @@ def run_batch(spark: SparkSession, pattern: str, folder: str, config: PipelineCo
     done = write_files(encoded, folder, overwrite)
     out = files.join(done.select(F.col("name").alias("output"), F.col("ok").alias("written"), F.col("error").alias("save_error")), "output", "left")
     failed = F.coalesce("error", "save_error", F.when(F.col("written").isNull(), F.lit("Pipeline failed")))
-    return out.select("path", "output", failed.isNull().alias("ok"), failed.alias("error"))
+    done = out.select("path", "output", failed.isNull().alias("ok"), failed.alias("error"))
+    return done if progress is None else done.observe(progress, F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

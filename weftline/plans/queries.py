@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.color import LAB, LAB_LMS, LMS, LMS_RGB, channel, distance, oklab_struct
 from ..model import AutoSplitConfig, BackgroundConfig, GridConfig, Mode, PipelineConfig, QuantizeConfig
 from ..operators import background, blocks, grid, histogram, palette, sheet, stencil
-from ..sources import corpus, palettes, sinks
+from ..sources import corpus, image_files, palettes, sinks
+from ..sources.images import pixels_of, read_images
+from ..storage import shared_folder
 from .pipeline import run_pipeline
 from .sheets import process_sheet, process_sheet_auto, sheet_summary, sprite_tiles
 
@@ -174,6 +178,17 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", sinks.normalized_name(path).alias("output"), sinks.sprite_name(row, col).alias("sprite"), sinks.tile_name(row, col).alias("tile"))
 
 
+def _written_pixels(spark: SparkSession, pixels: DataFrame) -> DataFrame:
+    """Pixels encoded, written as files by the data source, and read again by Spark's own decoder."""
+    folder = shared_folder(spark)
+    os.makedirs(urlparse(folder).path)
+    image_files.register(spark)
+    files = sinks.encode_images(pixels).select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "data")
+    files.write.format("weftline-images").mode("append").save(folder)
+    images = read_images(spark, folder)
+    return pixels_of(images.withColumn("image_id", F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long")))
+
+
 def lineitem_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position-free colours from quantities, discounts and taxes."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -184,6 +199,18 @@ def lineitem_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 LI = "px AS (SELECT 0::BIGINT AS image_id, 0 AS x, 0 AS y, least(CAST(l_quantity * 5 AS BIGINT), 255) * 16777216 + least(CAST(round(l_discount * 2500) AS BIGINT), 255) * 65536 + least(CAST(round(l_tax * 3000) AS BIGINT), 255) * 256 + 255 AS c FROM lineitem)"
 
 
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """k-means over the colours of lineitem: first centres by hash, rounds one after the other, rounded to 8-bit colours."""
+    steps = [f"k0 AS (SELECT CAST(row_number() OVER (ORDER BY md5(CAST(c AS VARCHAR)), c) - 1 AS INTEGER) AS i, l, a, b FROM lab QUALIFY i < {k})"]
+    for n in range(rounds):
+        steps.append(f"""near{n} AS (SELECT lab.c AS c, arg_min(k{n}.i, struct_pack(d := CAST(floor({_d2("lab", f"k{n}")} * 1000000000 + 0.5) AS BIGINT), i := k{n}.i)) AS i FROM lab, k{n} GROUP BY lab.c),
+k{n + 1} AS (SELECT k.i, coalesce(m.l, k.l) AS l, coalesce(m.a, k.a) AS a, coalesce(m.b, k.b) AS b FROM k{n} k LEFT JOIN (SELECT i, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM px JOIN near{n} USING (c) JOIN lab USING (c) GROUP BY i) m USING (i))""")
+    cubes = ", ".join(f"pow({' + '.join(f'{w}::DOUBLE * {n}' for w, n in zip(row, 'lab', strict=True))}, 3) AS q{j}" for j, row in enumerate(LAB_LMS))
+    lights = ", ".join(f"{' + '.join(f'{w}::DOUBLE * q{i}' for i, w in enumerate(row))} AS v{j}" for j, row in enumerate(LMS_RGB))
+    rgb = ", ".join(f"CAST(round(least(greatest(CASE WHEN v{j} <= 0.0031308 THEN v{j} * 12.92 ELSE 1.055::DOUBLE * pow(greatest(v{j}, 0), 1 / 2.4::DOUBLE) - 0.055::DOUBLE END, 0), 1) * 255) AS INTEGER) AS {n}" for j, n in enumerate("rgb"))
+    return f"WITH {LI}, {labs('lab', 'px')}, {', '.join(steps)}, cubes AS (SELECT i, {cubes} FROM k{rounds}), lights AS (SELECT i, {lights} FROM cubes) SELECT i AS idx, {rgb} FROM lights"
+
+
 def _specs() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     px = corpus.sprites
     framed = lambda s, d: corpus.sprites(s, d, 2)
@@ -348,12 +375,28 @@ SELECT image_id, x, y, won AS c FROM px JOIN best USING (image_id, c)""",
             f"WITH {MIXED} SELECT image_id, round(avg(CASE WHEN (c & 255) < 128 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM px GROUP BY image_id",
         ),
         "bg_removed_counts": (
-            lambda s, d: background.removed_counts(framed(s, d), background.remove_background(framed(s, d), BackgroundConfig(True, flood=False))),
+            lambda s, d: background.counted(background.remove_background(framed(s, d), BackgroundConfig(True, flood=False), flag="gone"), "gone", "n_removed"),
             f"WITH {marked} SELECT image_id, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS n_removed FROM hit GROUP BY image_id",
         ),
         "png_encode": (lambda s, d: sinks.encode_images(px(s, d)), None),
+        "png_written_pixels": (lambda s, d: _written_pixels(s, px(s, d)), f"WITH {PX} SELECT image_id, x, y, c FROM px"),
         "gif_encode": (lambda s, d: sinks.encode_animation(sheet.split(px(s, d), 5, 4), 12), None),
-        "kmeans_palette": (lambda s, d: palettes.from_colours(s, palette.kmeans_palette(px(s, d), 8)), None),
+        "kmeans_palette": (
+            lambda s, d: palettes.from_colours(s, palette.kmeans_palette(lineitem_colours(s, d), 8, rounds=3, hashed=True)).select("idx", "r", "g", "b"),
+            _kmeans_sql(8, 3),
+        ),
+        "kmeans_palette_seeded": (lambda s, d: palettes.from_colours(s, palette.kmeans_palette(lineitem_colours(s, d), 8)), None),
+        "palette_sample": (
+            lambda s, d: palette.sample_pixels(mixed_backgrounds(framed(s, d)), 300),
+            f"WITH {MIXED} SELECT image_id, x, y, c FROM px WHERE (c & 255) > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws(':', image_id, x, y))) <= 300",
+        ),
+        "aa_blend_counts": (
+            lambda s, d: background.counted(stencil.remove_aa(noisy(px(s, d)), 2.0, flag="blend"), "blend", "n_blends"),
+            f"""WITH {NOISY}, {TOP_TWO}, {labs("lab", "px")},
+d AS (SELECT t.*, sqrt({_d2("l1", "l2")}) AS w, sqrt({_d2("l1", "lc")}) AS d1, sqrt({_d2("lc", "l2")}) AS d2 FROM two t JOIN lab lc ON lc.c = t.c JOIN lab l1 ON l1.c = t.c1 JOIN lab l2 ON l2.c = t.c2
+      WHERE n_unique >= 2 AND t.c <> c1 AND t.c <> c2 AND (t.c & 255) > 0)
+SELECT image_id, coalesce(n, 0) AS n_blends FROM (SELECT DISTINCT image_id FROM px) LEFT JOIN (SELECT image_id, count(*) AS n FROM d WHERE w >= 0.02 AND round((d1 + d2) / w - 1, 9) < 0.6::DOUBLE AND round(d1 / w, 9) > 0.1 AND round(d1 / w, 9) < 0.9 GROUP BY image_id) USING (image_id)""",
+        ),
     }
     for mode, name in ((Mode.MAJORITY, "block_majority"), (Mode.CENTER_WEIGHTED, "block_center_weighted")):
         out[name] = (lambda s, d, m=mode: blocks.vote(noisy(px(s, d)), known_grid(px(s, d)), m), f"WITH {NOISY}, {GRID}, {_vote_sql(mode)} SELECT * FROM won")

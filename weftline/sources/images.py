@@ -5,13 +5,17 @@ A file that can't be decoded is a row without pixels, not an exception; Spark pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.color import packed
-
 # The extensions that a folder is searched for.
 EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "bmp")
+#: Pixels that are worked on together.
+LINES = 1 << 18
 
 
 def _reader(spark: SparkSession, kind: str, pattern: str) -> DataFrame:
@@ -48,23 +52,34 @@ def read_images(spark: SparkSession, pattern: str) -> DataFrame:
     )
 
 
+def _colours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of images as rows of pixels, some lines at a time."""
+    for batch in batches:
+        channels, widths = batch.column("channels").to_numpy(), batch.column("width").to_numpy()
+        at = 0
+        while at < len(batch):  # lines of one kind that make about LINES pixels
+            to = min(at + max(1, LINES // max(1, int(widths[at]))), len(batch))
+            other = np.flatnonzero((channels[at:to] != channels[at]) | (widths[at:to] != widths[at]))
+            to = at + int(other[0]) if len(other) else to
+            n, w = int(channels[at]), int(widths[at])
+            values = np.frombuffer(b"".join(batch.column("line").slice(at, to - at).to_pylist()), np.uint8).reshape(-1, n).astype(np.int64)
+            blue, green, red = (values[:, min(k, n - 1)] for k in range(3))
+            alpha = values[:, 3] if n == 4 else 255
+            own = pa.array(np.repeat(np.arange(at, to), w))
+            x = np.tile(np.arange(w, dtype=np.int32), to - at)
+            yield pa.RecordBatch.from_pydict({"image_id": batch.column("image_id").take(own), "x": pa.array(x), "y": batch.column("y").take(own), "c": pa.array(red << 24 | green << 16 | blue << 8 | alpha)})
+            at = to
+
+
 def pixels_of(images: DataFrame) -> DataFrame:
     """pixels(image_id, x, y, c) of decoded images; a missing alpha is 255, and grey is spread to three channels.
 
-    Rows of an image are cut from the data first, so that reading a pixel doesn't pass over the whole image.
+    Rows of an image are cut from the data first; the bytes of a line become colours as arrays.
     """
     n, w = F.col("channels"), F.col("width")
     lines = images.filter("ok").select("image_id", "width", "channels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     lines = lines.select("image_id", "width", "channels", "y", F.substring("data", F.col("y") * w * n + 1, w * n).alias("line"))
-    p = lines.select("*", F.explode(F.sequence(F.lit(0), w - 1)).alias("x"))
-
-    def byte(place: Column) -> Column:
-        return F.conv(F.hex(F.substring("line", F.col("x") * n + place + 1, F.lit(1))), 16, 10).cast("long")
-
-    grey = n == 1
-    blue, green, red = byte(F.lit(0)), byte(F.when(grey, 0).otherwise(1)), byte(F.when(grey, 0).otherwise(2))
-    alpha = F.when(n == 4, byte(F.lit(3))).otherwise(F.lit(255).cast("long"))
-    return p.select("image_id", "x", "y", packed(red, green, blue, alpha).alias("c"))
+    return lines.mapInArrow(_colours, f"image_id {dict(images.dtypes)['image_id']}, x int, y int, c long")
 
 
 def read_pixels(spark: SparkSession, pattern: str) -> DataFrame:

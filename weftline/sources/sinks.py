@@ -1,6 +1,7 @@
 """Encoded images as a binary column, file names, and files.
 
-Pixels of one image come together in one task, which is bounded by the largest image, not by the corpus.
+A PNG is compressed in strips of lines, each a group of its own; only its compressed strips come together, as the row that
+holds the file. The pixels of a BMP or GIF image are one group, which is bounded by the largest image, not by the corpus.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +29,45 @@ def raster_of(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each image's parts, in order, as one file; strips that are narrower than the image or missing are filled up."""
+    for batch in batches:
+        sizes, data = [], []
+        for row in batch.to_pylist():
+            parts = {p["strip"]: p for p in row["parts"]}
+            width, height = max(p["width"] for p in row["parts"]), max(p["strip"] * encode.STRIP + p["height"] for p in row["parts"])
+            sizes.append((width, height))
+            if row["kind"] != "png":
+                data.append(row["parts"][0]["data"])
+                continue
+            strips = []
+            for i in range(-(-height // encode.STRIP)):
+                lines = min(encode.STRIP, height - i * encode.STRIP)
+                p = parts.get(i, {"data": b"", "width": 0, "height": 0})
+                whole = p["width"] == width and p["height"] == lines
+                strips.append((p["data"], p["check"]) if whole else encode.wider_strip(p["data"], p["width"], width, lines))
+            data.append(encode.png_file(width, height, strips))
+        w, h = zip(*sizes, strict=True) if sizes else ((), ())
+        yield pa.RecordBatch.from_pydict({"image_id": batch.column("image_id"), "width": pa.array(w, pa.int32()), "height": pa.array(h, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
 def encode_images(pixels: DataFrame, kind: str | Column = "png") -> DataFrame:
     """image_id, width, height and data (bytes of the format, which may be a column) for every image."""
     if isinstance(kind, str) and kind not in ENCODERS:
         raise ValueError(f"no encoder for {kind!r}; known: {', '.join(ENCODERS)}")
     kind = F.lit(kind) if isinstance(kind, str) else kind
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        raster = raster_of(pdf)
-        return pd.DataFrame({"image_id": [key[0]], "width": [raster.shape[1]], "height": [raster.shape[0]], "data": [ENCODERS[key[1]](raster)]})
-
-    return pixels.select("image_id", "x", "y", "c", kind.alias("kind")).groupBy("image_id", "kind").applyInPandas(one, "image_id long, width int, height int, data binary")
+    def part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        image, kind, strip = key
+        raster = raster_of(pdf.assign(y=pdf["y"] - strip * encode.STRIP))
+        data, check = encode.png_strip(raster) if kind == "png" else (ENCODERS[kind](raster), 0)
+        return pd.DataFrame({"image_id": [image], "kind": [kind], "strip": [strip], "width": [raster.shape[1]], "height": [raster.shape[0]], "check": [check], "data": [data]})
+
+    strip = F.when(F.col("kind") == "png", F.floor(F.col("y") / encode.STRIP)).otherwise(0).cast("int")
+    rows = pixels.select("image_id", "x", "y", "c", kind.alias("kind")).withColumn("strip", strip)
+    parts = rows.groupBy("image_id", "kind", "strip").applyInPandas(part, "image_id long, kind string, strip int, width int, height int, check long, data binary")
+    images = parts.groupBy("image_id", "kind").agg(F.collect_list(F.struct("strip", "width", "height", "check", "data")).alias("parts"))
+    return images.mapInArrow(_files, "image_id long, width int, height int, data binary")
 
 
 def encode_animation(tiles: DataFrame, fps: int, row: int | None = None) -> DataFrame:
