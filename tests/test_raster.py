@@ -6,6 +6,7 @@ import pytest
 from weftline.functions.color import oklab_struct
 from weftline.model import BackgroundConfig, GridConfig, Mode, PipelineConfig, QuantizeConfig, load_config, parse_phase
 from weftline.operators import background, blocks, grid, histogram, palette, regions, sheet, stencil
+from weftline.operators.grid import detect_grid
 from weftline.plans.pipeline import run_pipeline
 from weftline.sources import palettes
 
@@ -187,3 +188,18 @@ def test_config(tmp_path):
     (tmp_path / "c.toml").write_text("[aa]\nthreshold = 0.3\n[grid]\nmax_candidate = 16\n")
     got = load_config(str(tmp_path / "c.toml"))
     assert got.grid.max_candidate == 16 and not got.aa.skip
+
+
+def test_snap_deals_by_block(spark):
+    """However the grid is joined, the votes' windows work on pixels that are dealt by block."""
+    p = frame(spark, synthetic(6, 6, 4))
+    wanted = image(blocks.snap(p, detect_grid(p)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = blocks.snap(p, detect_grid(p))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.index("Window") < plan.index("hashpartitioning(image_id") < plan.index("SortMergeJoin") and "bx" in plan[plan.index("hashpartitioning(image_id") :][:60]
+        assert (image(found) == wanted).all()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

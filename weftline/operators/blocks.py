@@ -64,11 +64,12 @@ def vote(pixels: DataFrame, grid: DataFrame, mode: Mode) -> DataFrame:
 def snap(pixels: DataFrame, grid: DataFrame) -> DataFrame:
     """Every whole block in its colour; a pixel keeps its own alpha, and those outside of blocks stay as they are.
 
-    The vote is a window over the block, so that pixels are shuffled once and joined with nothing but their grid.
+    The vote is a window over the block; pixels are joined with nothing but their grid. They are dealt by block whichever way
+    that join is made: dealt by image for it, a huge sheet would stay one task.
     """
     block = Window.partitionBy("image_id", "bx", "by")
     colour = Window.partitionBy("image_id", "bx", "by", "c")
-    p = _positions(pixels, grid)
+    p = _positions(pixels, grid).repartition("image_id", "bx", "by")
     p = p.withColumns({"v": F.sum(centre_weight()).over(colour), "first": F.min(F.col("dy") * 65536 + F.col("dx")).over(colour)})
     p = p.withColumn("won", F.max(F.struct("v", F.col("first").alias("k"), "c")).over(block)["c"])
     own = F.col("won") - channel(F.col("won"), 3) + channel(F.col("c"), 3)
