@@ -52,12 +52,12 @@ def png_file(width: int, height: int, strips: list[tuple[bytes, int]]) -> bytes:
     return b"".join([b"\x89PNG\r\n\x1a\n", _chunk(b"IHDR", head), *body, end, _chunk(b"IEND", b"")])
 
 
-def wider_strip(data: bytes, width: int, to_width: int, to_height: int) -> tuple[bytes, int]:
-    """A strip with transparent pixels on the right and below; of nothing, if there is no data."""
+def strip_raster(data: bytes, width: int, to_width: int, to_height: int) -> np.ndarray:
+    """The pixels of a strip, with transparent ones on the right and below; of nothing, if there is no data."""
     lines = np.frombuffer(zlib.decompressobj(-15).decompress(data), np.uint8).reshape(-1, 1 + 4 * width)[:, 1:] if data else np.zeros((0, 0), np.uint8)
     raster = np.zeros((to_height, to_width), np.int64)
     raster[: len(lines), :width] = lines.reshape(-1).view(">u4").astype(np.int64).reshape(-1, width) if len(lines) else 0
-    return png_strip(raster)
+    return raster
 
 
 def png(raster: np.ndarray) -> bytes:

@@ -14,7 +14,7 @@ from .pipeline import run_pipeline
 def run_batch(spark: SparkSession, pattern: str, folder: str, config: PipelineConfig = PipelineConfig(), overwrite: bool = False, progress: Observation | None = None) -> DataFrame:
     """path, output, ok and error of every file that ``pattern`` stands for; collecting the result writes the files.
 
-    A file keeps its extension. Those without an encoder (JPEG, WebP) fail as a row and don't disturb the others.
+    A file keeps its extension. Those without an encoder (WebP) fail as a row and don't disturb the others.
     ``progress`` gets n_ok and n_failed in the pass that writes the files.
     Two files of one name go to one output, and are both failures: which one would stay depends on timing.
     """

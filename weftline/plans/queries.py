@@ -178,15 +178,30 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", sinks.normalized_name(path).alias("output"), sinks.sprite_name(row, col).alias("sprite"), sinks.tile_name(row, col).alias("tile"))
 
 
-def _written_pixels(spark: SparkSession, pixels: DataFrame) -> DataFrame:
+def _written_pixels(spark: SparkSession, pixels: DataFrame, kind: str = "png", quality: int = 75) -> DataFrame:
     """Pixels encoded, written as files by the data source, and read again by Spark's own decoder."""
     folder = shared_folder(spark)
     os.makedirs(urlparse(folder).path)
     image_files.register(spark)
-    files = sinks.encode_images(pixels).select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "data")
+    files = sinks.encode_images(pixels, kind, quality).select(F.concat(F.col("image_id").cast("string"), F.lit(f".{kind}")).alias("name"), "data")
     files.write.format("weftline-images").mode("append").save(folder)
     images = read_images(spark, folder)
-    return pixels_of(images.withColumn("image_id", F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long")))
+    return pixels_of(images.withColumn("image_id", F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long")))
+
+
+def _jpeg_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each image written as JPEG of quality 100: its pixels, and how many a decoder gives more than 4 of 255 off in a channel.
+
+    A frame of 40 pixels on each side makes an image several strips.
+    """
+    wanted = corpus.sprites(spark, sf_dir, JPEG_FRAME)
+    got = _written_pixels(spark, wanted, "jpg", 100).withColumnRenamed("c", "got")
+    off = lambda shift: F.abs(F.shiftright("c", shift).bitwiseAND(255) - F.shiftright("got", shift).bitwiseAND(255))
+    far = F.greatest(off(24), off(16), off(8)) > 4
+    return wanted.join(got, ["image_id", "x", "y"], "full").groupBy("image_id").agg(F.count("*").alias("n_pixels"), F.count_if(F.coalesce(far, F.lit(True))).alias("n_far"))
+
+
+JPEG_FRAME = 40
 
 
 def lineitem_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +395,7 @@ SELECT image_id, x, y, won AS c FROM px JOIN best USING (image_id, c)""",
         ),
         "png_encode": (lambda s, d: sinks.encode_images(px(s, d)), None),
         "png_written_pixels": (lambda s, d: _written_pixels(s, px(s, d)), f"WITH {PX} SELECT image_id, x, y, c FROM px"),
+        "jpeg_written_pixels": (_jpeg_pixels, f"WITH {corpus.sprites_sql(frame=JPEG_FRAME)} SELECT image_id, count(*) AS n_pixels, 0::BIGINT AS n_far FROM px GROUP BY image_id"),
         "gif_encode": (lambda s, d: sinks.encode_animation(sheet.split(px(s, d), 5, 4), 12), None),
         "kmeans_palette": (
             lambda s, d: palettes.from_colours(s, palette.kmeans_palette(lineitem_colours(s, d), 8, rounds=3, hashed=True)).select("idx", "r", "g", "b"),

@@ -1,7 +1,7 @@
 """Encoded images as a binary column, file names, and files.
 
-A PNG is compressed in strips of lines, each a group of its own; only its compressed strips come together, as the row that
-holds the file. The pixels of a BMP or GIF image are one group, which is bounded by the largest image, not by the corpus.
+A PNG or JPEG is compressed in strips of lines, each a group of its own; only its compressed strips come together, as the row
+that holds the file. The pixels of a BMP or GIF image are one group, which is bounded by the largest image, not by the corpus.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import encode
+from ..functions import encode, jpeg
 
-ENCODERS = {"png": encode.png, "bmp": encode.bmp, "gif": lambda raster: encode.gif([raster], 100)}
+#: Kinds that are encoded as a whole, each by its function.
+WHOLE = {"bmp": encode.bmp, "gif": lambda raster: encode.gif([raster], 100)}
+JPEG = ("jpg", "jpeg")
+ENCODERS = ("png", *JPEG, *WHOLE)
 
 
 def raster_of(pdf: pd.DataFrame) -> np.ndarray:
@@ -37,22 +40,56 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = {p["strip"]: p for p in row["parts"]}
             width, height = max(p["width"] for p in row["parts"]), max(p["strip"] * encode.STRIP + p["height"] for p in row["parts"])
             sizes.append((width, height))
-            if row["kind"] != "png":
+            if row["kind"] in WHOLE:
                 data.append(row["parts"][0]["data"])
                 continue
+            if row["kind"] in JPEG:
+                data.append(_jpeg_file(width, height, parts, row["quality"]))
+                continue
             strips = []
             for i in range(-(-height // encode.STRIP)):
                 lines = min(encode.STRIP, height - i * encode.STRIP)
                 p = parts.get(i, {"data": b"", "width": 0, "height": 0})
                 whole = p["width"] == width and p["height"] == lines
-                strips.append((p["data"], p["check"]) if whole else encode.wider_strip(p["data"], p["width"], width, lines))
+                strips.append((p["data"], p["check"]) if whole else encode.png_strip(encode.strip_raster(p["data"], p["width"], width, lines)))
             data.append(encode.png_file(width, height, strips))
         w, h = zip(*sizes, strict=True) if sizes else ((), ())
         yield pa.RecordBatch.from_pydict({"image_id": batch.column("image_id"), "width": pa.array(w, pa.int32()), "height": pa.array(h, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def encode_images(pixels: DataFrame, kind: str | Column = "png") -> DataFrame:
-    """image_id, width, height and data (bytes of the format, which may be a column) for every image."""
+def _jpeg_file(width: int, height: int, parts: dict[int, dict], quality: int) -> bytes | None:
+    """Strips as a file, those that are missing black; None where the format has no room for so many lines or columns."""
+    if max(width, height) > jpeg.LARGEST:
+        return None
+    strips = []
+    for i in range(-(-height // encode.STRIP)):
+        lines = min(encode.STRIP, height - i * encode.STRIP)
+        strips.append(parts[i]["data"] if i in parts else jpeg.strip(np.zeros((lines, width, 3), np.uint8), quality))
+    return jpeg.file(width, height, strips, quality)
+
+
+def _jpeg_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strips of pixels as strips of a JPEG file of the whole image's width; other kinds as they are."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        for row in rows:
+            width, lines = row["whole_width"], min(encode.STRIP, row["whole_height"] - row["strip"] * encode.STRIP)
+            if row["kind"] in JPEG and max(width, row["whole_height"]) <= jpeg.LARGEST:
+                raster = encode.strip_raster(row["data"], row["width"], width, lines)
+                row["data"], row["width"] = jpeg.strip(encode.rgba(raster)[:, :, :3], row["quality"]), width
+        yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+
+def encode_images(pixels: DataFrame, kind: str | Column = "png", quality: int = 75) -> DataFrame:
+    """image_id, width, height and data (bytes of the format, which may be a column) for every image.
+
+    ``quality`` is that of JPEG files, which have no alpha: a transparent pixel is its colour, and one that isn't there black.
+    Data is null where a JPEG file has no room for the image (over 65535 lines or columns). Pixels of such files are first
+    packed by strip without loss, since how wide a strip's lines are is known only when all strips of the image are; packed
+    strips are then dealt out anew to be transformed.
+    """
+    jpeg.steps(quality)
+    jpegs = not isinstance(kind, str) or kind in JPEG
     if isinstance(kind, str) and kind not in ENCODERS:
         raise ValueError(f"no encoder for {kind!r}; known: {', '.join(ENCODERS)}")
     kind = F.lit(kind) if isinstance(kind, str) else kind
@@ -60,13 +97,18 @@ def encode_images(pixels: DataFrame, kind: str | Column = "png") -> DataFrame:
     def part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         image, kind, strip = key
         raster = raster_of(pdf.assign(y=pdf["y"] - strip * encode.STRIP))
-        data, check = encode.png_strip(raster) if kind == "png" else (ENCODERS[kind](raster), 0)
+        data, check = (WHOLE[kind](raster), 0) if kind in WHOLE else encode.png_strip(raster)
         return pd.DataFrame({"image_id": [image], "kind": [kind], "strip": [strip], "width": [raster.shape[1]], "height": [raster.shape[0]], "check": [check], "data": [data]})
 
-    strip = F.when(F.col("kind") == "png", F.floor(F.col("y") / encode.STRIP)).otherwise(0).cast("int")
+    strip = F.when(F.col("kind").isin(*WHOLE), 0).otherwise(F.floor(F.col("y") / encode.STRIP)).cast("int")
     rows = pixels.select("image_id", "x", "y", "c", kind.alias("kind")).withColumn("strip", strip)
     parts = rows.groupBy("image_id", "kind", "strip").applyInPandas(part, "image_id long, kind string, strip int, width int, height int, check long, data binary")
-    images = parts.groupBy("image_id", "kind").agg(F.collect_list(F.struct("strip", "width", "height", "check", "data")).alias("parts"))
+    if jpegs:
+        image = Window.partitionBy("image_id", "kind")
+        whole = {"whole_width": F.max("width").over(image), "whole_height": F.max(F.col("strip") * encode.STRIP + F.col("height")).over(image), "quality": F.lit(quality)}
+        dealt = parts.withColumns(whole).repartition("image_id", "strip")
+        parts = dealt.mapInArrow(_jpeg_strips, dealt.schema)
+    images = parts.groupBy("image_id", "kind").agg(F.collect_list(F.struct("strip", "width", "height", "check", "data")).alias("parts")).withColumn("quality", F.lit(quality))
     return images.mapInArrow(_files, "image_id long, width int, height int, data binary")
 
 
@@ -118,6 +160,8 @@ def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> DataF
 
     def write(name: str, data: bytes) -> str | None:
         target = os.path.join(top, name)
+        if data is None:
+            return "Failed to save: the format can't hold the image"
         try:
             if not overwrite and os.path.exists(target):
                 with open(target, "rb") as file:
