@@ -31,6 +31,8 @@ from .textops import U64, keys, mix64, text_bytes, word_hashes
 
 #: Pairs of one shard, about; keys that a counting task holds before it sends them on.
 SHARD, HOLD = 4_000_000, 3_000_000
+#: Bytes of text for whose words there is one shard at least, so that a shard stays small however large the corpus is.
+SHARD_TEXT = 64 << 20
 END = keys(1, 99)[0]
 
 
@@ -347,12 +349,16 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """Count and store the model of all texts of ``docs``."""
+    """Count and store the model of all texts of ``docs``.
+
+    Word shards number as many as shuffle partitions, or more where the texts' size, which is summed first, asks for it.
+    """
     spark = docs.sparkSession
     ship(spark)
     folder = shared_folder(spark, "kneser-ney")
     text = docs.select("text")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_docs, size = text.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_TEXT))
     words = text.mapInArrow(lambda it: _count_words(it, shards), _BLOBS).repartition(shards, "shard")
     rows = words.mapInArrow(lambda it: _write_words(it, folder), "shard int, v long, n long").collect()  # a row a shard
     sizes = [0] * shards
@@ -368,7 +374,7 @@ def train(docs: DataFrame) -> Model:
     total = stats.mapInArrow(lambda it: _write_stats(it, arrays), ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in names]).first()
     ends = np.array(total, np.int64)
     arrays.seal(int(ends[8]))
-    return Model(arrays, n, 0, ends[:4], ends[4:])
+    return Model(arrays, n, n_docs, ends[:4], ends[4:])
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -385,8 +391,6 @@ def score_texts(docs: DataFrame, held: Column) -> DataFrame:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one words) and score (log10 probability).
     """
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    training = rows.filter(~F.col("held_out"))
-    model = train(training)
-    model.docs = training.select("held_out").count()
+    model = train(rows.filter(~F.col("held_out")))
     ddl = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.mapInArrow(lambda it: _score_batches(it, model), ddl)

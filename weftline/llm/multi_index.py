@@ -15,7 +15,8 @@ all pairs.
 Defined results: vectors that are null, empty, zero, or have null or non-finite components, and vectors without a label,
 link with nothing; vectors of different lengths are never compared; rows that repeat a vector count as further vectors; a
 null vec_id is kept without links; a cosine of exactly the threshold is a link; cells of equal distance are visited
-in the order of their codes; an empty table gives an empty result; extra columns are ignored.
+in the order of their codes; an empty table gives an empty result; extra columns are ignored. Ids and labels are whole
+numbers, of any width; text is an error where it isn't one.
 """
 
 from __future__ import annotations
