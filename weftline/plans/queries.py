@@ -15,6 +15,7 @@ from ..operators import background, blocks, grid, histogram, palette, sheet, ste
 from ..sources import corpus, image_files, palettes, sinks
 from ..sources.images import pixels_of, read_images
 from ..storage import shared_folder
+from . import refusals
 from .pipeline import run_pipeline
 from .sheets import process_sheet, process_sheet_auto, sheet_summary, sprite_tiles
 
@@ -202,6 +203,7 @@ def _jpeg_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JPEG_FRAME = 40
+EXTENTS = "extents AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY image_id)"
 
 
 def lineitem_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,6 +398,18 @@ SELECT image_id, x, y, won AS c FROM px JOIN best USING (image_id, c)""",
         "png_encode": (lambda s, d: sinks.encode_images(px(s, d)), None),
         "png_written_pixels": (lambda s, d: _written_pixels(s, px(s, d)), f"WITH {PX} SELECT image_id, x, y, c FROM px"),
         "jpeg_written_pixels": (_jpeg_pixels, f"WITH {corpus.sprites_sql(frame=JPEG_FRAME)} SELECT image_id, count(*) AS n_pixels, 0::BIGINT AS n_far FROM px GROUP BY image_id"),
+        "tile_refusals": (
+            lambda s, d: refusals.tile_refusals(px(s, d), 30, 20, 1, 2),
+            f"WITH {PX}, {EXTENTS} SELECT image_id, 'no tile of 30x20 (spacing 1, margin 2) in ' || w || 'x' || h AS error FROM extents WHERE w < 32 OR h < 22",
+        ),
+        "block_refusals": (
+            lambda s, d: refusals.block_refusals(refusals.sizes(px(s, d)), grid.detect_grid(px(s, d), GridConfig(size=20, phase=(3, 5)))),
+            f"WITH {PX}, {EXTENTS} SELECT image_id, 'no whole block of 20 in ' || w || 'x' || h || ' from (3,5)' AS error FROM extents WHERE (w - 3) // 20 = 0 OR (h - 5) // 20 = 0",
+        ),
+        "row_refusals": (
+            lambda s, d: refusals.row_refusals(sheet.split(px(s, d), 5, 4), 6),
+            f"WITH {PX}, {EXTENTS} SELECT image_id, 'no tiles in row 6' AS error FROM extents WHERE w >= 5 AND h >= 4 AND h // 4 <= 6",
+        ),
         "gif_encode": (lambda s, d: sinks.encode_animation(sheet.split(px(s, d), 5, 4), 12), None),
         "kmeans_palette": (
             lambda s, d: palettes.from_colours(s, palette.kmeans_palette(lineitem_colours(s, d), 8, rounds=3, hashed=True)).select("idx", "r", "g", "b"),
