@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.color import channel, close_to, oklab_struct, packed
 from ..model import AutoSplitConfig
-from ..storage import written
+from ..storage import by_image, written
 from . import regions
 from .background import border_color
 
 
 def resize_to(pixels: DataFrame, target: DataFrame) -> DataFrame:
     """Each image in the size of its row in target (image_id, tw, th): the source pixel under a target pixel's centre."""
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).join(target, "image_id")
-    t = size.withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("tw") - 1))).withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("th") - 1)))
-    x, y = (F.floor((F.col(f"t{a}") * 2 + 1) * F.col(n) / (F.col(f"t{n}") * 2)).cast("int").alias(a) for a, n in (("x", "w"), ("y", "h")))
-    return t.select("image_id", "tx", "ty", x, y).join(pixels, ["image_id", "x", "y"]).select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), "c")
+    return _resized(pixels, _sizes(pixels).join(target, "image_id"))
+
+
+def _sizes(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+
+
+def _resized(pixels: DataFrame, size: DataFrame) -> DataFrame:
+    """size (image_id, w, h, tw, th). A pixel says itself which target pixels have their centre in it, mostly none or one: pixels
+    meet their image's sizes and nothing else."""
+    p = pixels.join(by_image(size), "image_id")
+    for a, n in (("x", "w"), ("y", "h")):
+        first = lambda v, n=n: F.greatest(F.floor((F.col(f"t{n}").cast("long") * 2 * v + F.col(n) - 1) / (F.col(n) * 2)).cast("int"), F.lit(0))
+        p = p.withColumns({f"{a}0": first(F.col(a)), f"{a}1": first(F.col(a) + 1) - 1}).filter(F.col(f"{a}0") <= F.col(f"{a}1"))
+    for a in "xy":
+        p = p.withColumn(f"t{a}", F.explode(F.sequence(f"{a}0", f"{a}1")))
+    return p.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), "c")
 
 
 def resize_nearest(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    return resize_to(pixels, pixels.select("image_id").distinct().select("image_id", F.lit(width).alias("tw"), F.lit(height).alias("th")))
+    return _resized(pixels, _sizes(pixels).withColumns({"tw": F.lit(width), "th": F.lit(height)}))
 
 
 def split(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0) -> DataFrame:

@@ -21,9 +21,17 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"scale": (F.col("image_id") % 4 + 2).cast("int"), "off": (F.floor(F.col("image_id") / 4) % 2).cast("int")})
 
 
-def _dealt(images: DataFrame) -> DataFrame:
-    """One row an image is little to read and much to work on: deal images out by id before they become pixels."""
-    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+#: Pixels of a task, about.
+TASK = 1 << 20
+
+
+def _dealt(images: DataFrame, pixels: int) -> DataFrame:
+    """One row an image is little to read and much to work on: deal images out by id before they become pixels.
+
+    ``pixels`` is what an image has of them, about. A task gets no more than TASK, however many images there are.
+    """
+    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return images.repartition(max(tasks, -(-images.count() * pixels // TASK)), "image_id")
 
 
 def _colour(sprite: Column, x: Column, y: Column) -> Column:
@@ -36,7 +44,7 @@ def _colour(sprite: Column, x: Column, y: Column) -> Column:
 
 def sprites(spark: SparkSession, sf_dir: str, frame: int = 0) -> DataFrame:
     """One image for each supplier: 8 by 8 logical pixels, enlarged 2 to 5 times, shifted by 0 or 1, framed in grey."""
-    s = _dealt(_images(spark, sf_dir)).withColumn("w", F.col("off") + 8 * F.col("scale") + 2 * frame)
+    s = _dealt(_images(spark, sf_dir), (29 + 2 * frame) ** 2).withColumn("w", F.col("off") + 8 * F.col("scale") + 2 * frame)
     p = s.withColumn("x", F.explode(F.expr("sequence(0, w - 1)"))).withColumn("y", F.explode(F.expr("sequence(0, w - 1)")))
     return p.select("image_id", "x", "y", _colour(F.col("image_id"), F.col("x") - frame - F.col("off"), F.col("y") - frame - F.col("off")).alias("c"))
 
@@ -56,15 +64,16 @@ def sprites_sql(name: str = "px", frame: int = 0) -> str:
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of 4 by 4 sprites on white, with cells of 48 by 48 pixels; a cell without a sprite is white."""
-    images = _images(spark, sf_dir).withColumn("sprite", F.col("image_id").cast("long")).drop("image_id")
-    ids = images.select(F.floor(F.col("sprite") / 16).cast("long").alias("image_id")).distinct()
+    sprite = F.col("s_suppkey").cast("long")
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy(F.floor(sprite / 16).cast("long").alias("image_id")).agg(F.collect_set(F.pmod(sprite, F.lit(16))).alias("own"))
     side = F.sequence(F.lit(0), F.lit(3))
-    cells = _dealt(ids).withColumn("col", F.explode(side)).withColumn("row", F.explode(side))
-    cells = cells.withColumn("sprite", F.col("image_id") * 16 + F.col("row") * 4 + F.col("col")).join(images, "sprite", "left")
+    cells = _dealt(own, 192 * 192).withColumn("col", F.explode(side)).withColumn("row", F.explode(side))
+    cells = cells.withColumns({"sprite": F.col("image_id") * 16 + F.col("row") * 4 + F.col("col"), "there": F.array_contains("own", (F.col("row") * 4 + F.col("col")).cast("long"))})
+    cells = cells.withColumns({"scale": (F.col("sprite") % 4 + 2).cast("int"), "off": (F.floor(F.col("sprite") / 4) % 2).cast("int")})
     inner = F.sequence(F.lit(0), F.lit(47))
     p = cells.withColumn("cx", F.explode(inner)).withColumn("cy", F.explode(inner))
     x, y, extent = F.col("cx") - 2, F.col("cy") - 2, F.col("off") + 8 * F.col("scale")
-    own = (x >= 0) & (y >= 0) & (x < extent) & (y < extent)
+    own = F.col("there") & (x >= 0) & (y >= 0) & (x < extent) & (y < extent)
     c = F.when(own, _colour(F.col("sprite"), x - F.col("off"), y - F.col("off"))).otherwise(F.lit(WHITE).cast("long"))
     return p.select("image_id", (F.col("col") * 48 + F.col("cx")).alias("x"), (F.col("row") * 48 + F.col("cy")).alias("y"), c.alias("c"))
 

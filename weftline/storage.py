@@ -25,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
+def by_image(facts: DataFrame) -> DataFrame:
+    """``facts``, a row or so for each image, to be joined with pixels by hash, each task with its own images'.
+
+    Said outright, since Spark doesn't know how many pixels an image is and may otherwise broadcast these through the driver, or
+    sort them all.
+    """
+    return facts.hint("shuffle_hash")
+
+
 def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` written once and read back; ``few`` for tables of a row for each image or so, in few files."""
     spark = df.sparkSession
