@@ -40,3 +40,9 @@ def test_resize_takes_the_pixel_under_the_centre(spark, tw, th):
     got = {(r.image_id, r.x, r.y): r.c for r in sheet.resize_nearest(df, tw, th).collect()}
     want = {(i, x, y): i * 1000 + (2 * y + 1) * h // (2 * th) * 20 + (2 * x + 1) * w // (2 * tw) for i, (w, h) in sizes.items() for x in range(tw) for y in range(th)}
     assert got == want
+
+
+def test_quantize_asks_for_no_centre_of_a_pixel(spark):
+    df = queries()["quantize_by_image"](spark, SF)
+    assert [x for x in plan(df) if "Filter" in x and "array_min" in x] == []
+    assert broadcast_pixels(df) == []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.color import channel, distance_sq, oklab, oklab_struct, packed, srgb, units
 from ..model import QuantizeConfig
 from ..sources.palettes import find_palette, from_colours
+from ..storage import by_image
 
 MAX_COLOURS = 4096
 
@@ -200,7 +201,8 @@ def lloyd_by_image(pixels: DataFrame, seeds: list[tuple[float, float, float]]) -
     """One round from fixed centres, each image for itself: image_id, idx, lab, r, g, b; a centre without colours stays."""
     every = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(n) for v, n in zip(c, "lab", strict=True)]) for i, c in enumerate(seeds)])
     best = F.array_min(F.transform(every, lambda k: F.struct(units(distance_sq(F.col("lab"), k)).alias("d"), k["i"].alias("i"))))
-    near = image_colours(pixels).withColumn("idx", best["i"])
+    # said to be never null: else Spark asks for it in every pixel, before they are counted by colour
+    near = image_colours(pixels).withColumn("idx", F.coalesce(best["i"], F.lit(-1)))
     means = near.groupBy("image_id", "idx").agg(*[(F.sum(F.col("lab")[v] * F.col("n")) / F.sum("n")).alias(v) for v in "lab"])
     seeded = near.select("image_id").distinct().withColumn("s", F.explode(every)).select("image_id", F.col("s.i").alias("idx"), F.struct("s.l", "s.a", "s.b").alias("seed"))
     found = seeded.join(means, ["image_id", "idx"], "left")
@@ -209,13 +211,14 @@ def lloyd_by_image(pixels: DataFrame, seeds: list[tuple[float, float, float]]) -
 
 def snap_to_image_palettes(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
     """Every pixel in the nearest colour of its image's palette, the first of equal ones; alpha stays, and transparent
-    pixels stay as they are, as do images without a palette. Distances are taken once for each colour of an image."""
+    pixels stay as they are, as do images without a palette. Distances are taken once for each colour of an image; an image can have as
+    many of them as pixels, so they are dealt by image and colour, and nothing is broadcast."""
     own = palettes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("idx", "lab", "r", "g", "b"))).alias("pal"))  # of one image
-    colours = pixels.select("image_id", "c").distinct().join(own, "image_id").withColumn("lab", oklab_struct(F.col("c")))
+    colours = pixels.select("image_id", "c").distinct().join(by_image(own), "image_id").withColumn("lab", oklab_struct(F.col("c")))
     best = F.array_min(F.transform("pal", lambda p: F.struct(units(distance_sq(F.col("lab"), p["lab"])).alias("d"), p["idx"].alias("idx"), p["r"].alias("r"), p["g"].alias("g"), p["b"].alias("b"))))
     near = colours.withColumn("p", best).select("image_id", "c", packed(F.col("p.r"), F.col("p.g"), F.col("p.b"), channel(F.col("c"), 3)).alias("won"))
     c = F.when(channel(F.col("c"), 3) == 0, F.col("c")).otherwise(F.coalesce("won", "c"))
-    return pixels.join(near, ["image_id", "c"], "left").select("image_id", "x", "y", c.alias("c"))
+    return pixels.join(near.hint("shuffle_hash"), ["image_id", "c"], "left").select("image_id", "x", "y", c.alias("c"))
 
 
 def quantize(pixels: DataFrame, config: QuantizeConfig) -> DataFrame:
