@@ -46,3 +46,7 @@ def test_quantize_asks_for_no_centre_of_a_pixel(spark):
     df = queries()["quantize_by_image"](spark, SF)
     assert [x for x in plan(df) if "Filter" in x and "array_min" in x] == []
     assert broadcast_pixels(df) == []
+
+
+def test_block_votes_broadcast_no_pixels(spark):
+    assert broadcast_pixels(queries()["block_center_pixel"](spark, SF)) == []
