@@ -16,7 +16,7 @@ def _positions(pixels: DataFrame, grid: DataFrame) -> DataFrame:
     Where there is no whole block, bx and by are -1 - x and -1 - y, so that such pixels make no large group.
     """
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    p = pixels.join(by_image(grid.select("image_id", "grid_size", "phase_x", "phase_y").join(size, "image_id")), "image_id", "left")
+    p = pixels.join(by_image(grid.select("image_id", "grid_size", "phase_x", "phase_y").join(by_image(size), "image_id")), "image_id", "left")
     inside = F.col("grid_size").isNotNull()
     for axis, extent in (("x", "w"), ("y", "h")):
         shifted = F.col(axis) - F.col(f"phase_{axis}")

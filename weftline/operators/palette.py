@@ -205,7 +205,7 @@ def lloyd_by_image(pixels: DataFrame, seeds: list[tuple[float, float, float]]) -
     near = image_colours(pixels).withColumn("idx", F.coalesce(best["i"], F.lit(-1)))
     means = near.groupBy("image_id", "idx").agg(*[(F.sum(F.col("lab")[v] * F.col("n")) / F.sum("n")).alias(v) for v in "lab"])
     seeded = near.select("image_id").distinct().withColumn("s", F.explode(every)).select("image_id", F.col("s.i").alias("idx"), F.struct("s.l", "s.a", "s.b").alias("seed"))
-    found = seeded.join(means, ["image_id", "idx"], "left")
+    found = seeded.join(by_image(means), ["image_id", "idx"], "left")
     return with_srgb(found.select("image_id", "idx", F.struct(*[F.coalesce(F.col(v), F.col("seed")[v]).alias(v) for v in "lab"]).alias("lab")))
 
 
