@@ -1,7 +1,6 @@
 """Plans that stay bounded however many images there are: Spark doesn't know how many pixels an image is."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from weftline.operators import sheet
@@ -50,3 +49,28 @@ def test_quantize_asks_for_no_centre_of_a_pixel(spark):
 
 def test_block_votes_broadcast_no_pixels(spark):
     assert broadcast_pixels(queries()["block_center_pixel"](spark, SF)) == []
+
+
+def test_sheets_are_put_together_without_broadcast_pixels(spark):
+    assert broadcast_pixels(queries()["sheet_assemble"](spark, SF)) == []
+
+
+@pytest.mark.parametrize("size", [(4, 3), (None, None), (5, None)])
+@pytest.mark.parametrize("spacing, margin", [(0, 0), (1, 2)])
+def test_assemble_fills_what_no_tile_covers(spark, size, spacing, margin):
+    """Missing cells, tiles that lack pixels, one that is larger than its cell."""
+    rows = [(1, 0, 0, x, y, 10 + x) for x in range(4) for y in range(3)] + [(1, 1, 2, x, y, 50) for x in range(2) for y in range(3) if x + y != 1]
+    rows += [(2, 0, 1, x, y, 90 + y) for x in range(6) for y in range(2)]
+    got = {}
+    for r in sheet.assemble(spark.createDataFrame(rows, "image_id long, row int, col int, x int, y int, c long"), *size, spacing, margin).collect():
+        assert (r.image_id, r.x, r.y) not in got
+        got[r.image_id, r.x, r.y] = r.c
+    want = {}
+    for i in (1, 2):
+        own = [r[1:] for r in rows if r[0] == i]
+        tw, th = size[0] or max(r[2] for r in own) + 1, size[1] or max(r[3] for r in own) + 1
+        cols, lines = max(r[1] for r in own) + 1, max(r[0] for r in own) + 1
+        for x in range(2 * margin + cols * tw + (cols - 1) * spacing):
+            want |= {(i, x, y): 0 for y in range(2 * margin + lines * th + (lines - 1) * spacing)}
+        want |= {(i, margin + col * (tw + spacing) + x, margin + row * (th + spacing) + y): c for row, col, x, y, c in own if x < tw and y < th}
+    assert got == want

@@ -41,8 +41,7 @@ def split(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0
     """Tiles of a fixed size that fit wholly: image_id, row, col, x, y, c."""
     if tw < 1 or th < 1:
         raise ValueError("a tile has a size")
-    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    p = pixels.join(size, "image_id").filter((F.col("x") >= margin) & (F.col("y") >= margin))
+    p = pixels.join(by_image(_sizes(pixels)), "image_id").filter((F.col("x") >= margin) & (F.col("y") >= margin))
     out = {}
     for axis, step, extent, name in (("x", tw, "w", "col"), ("y", th, "h", "row")):
         i = F.col(axis) - margin
@@ -52,19 +51,55 @@ def split(pixels: DataFrame, tw: int, th: int, spacing: int = 0, margin: int = 0
     return p.select("image_id", "row", "col", F.col("tx").alias("x"), F.col("ty").alias("y"), "c")
 
 
-def assemble(tiles: DataFrame, tw: int | None = None, th: int | None = None, spacing: int = 0, margin: int = 0) -> DataFrame:
-    """Sheets of tiles (image_id, row, col, x, y, c); what no tile covers is transparent.
+def tile_cells(tiles: DataFrame, tw: int | None = None, th: int | None = None) -> DataFrame:
+    """image_id, row, col, w, h and n of every tile: its extent, and how many of its pixels are within tw by th."""
+    inside = F.lit(True)
+    for a, size in (("x", tw), ("y", th)):
+        inside = inside if size is None else inside & (F.col(a) < size)
+    return tiles.groupBy("image_id", "row", "col").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count_if(inside).alias("n"))
 
-    Without a size, the cells of a sheet are as large as its largest tile.
+
+def assemble(tiles: DataFrame, tw: int | None = None, th: int | None = None, spacing: int = 0, margin: int = 0, found: DataFrame | None = None) -> DataFrame:
+    """Sheets of tiles (image_id, row, col, x, y, c, a row for a place at most); what no tile covers is transparent.
+
+    Without a size, the cells of a sheet are as large as its largest tile. ``found`` (as ``tile_cells`` has them, written) saves a
+    pass where it is known. Pixels of tiles move to their places as they are; they are joined only where a tile lacks some,
+    and the rest of the canvas is filled up from the cells, a row for each.
     """
-    size = tiles.groupBy("image_id").agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"), (F.max("x") + 1).alias("tw"), (F.max("y") + 1).alias("th"))
+    cells = written(tile_cells(tiles, tw, th), "cells") if found is None else found
+    size = cells.groupBy("image_id").agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"), F.max("w").alias("tw"), F.max("h").alias("th"))
     size = size.withColumns({"tw": F.col("tw") if tw is None else F.lit(tw), "th": F.col("th") if th is None else F.lit(th)})
-    w = F.lit(2 * margin) + F.col("cols") * F.col("tw") + (F.col("cols") - 1) * spacing
-    h = F.lit(2 * margin) + F.col("rows") * F.col("th") + (F.col("rows") - 1) * spacing
-    canvas = size.withColumn("x", F.explode(F.sequence(F.lit(0), w - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), h - 1))).select("image_id", "x", "y")
-    own = tiles.join(size, "image_id").filter((F.col("x") < F.col("tw")) & (F.col("y") < F.col("th")))
-    own = own.select("image_id", (margin + F.col("col") * (F.col("tw") + spacing) + F.col("x")).alias("x"), (margin + F.col("row") * (F.col("th") + spacing) + F.col("y")).alias("y"), "c")
-    return canvas.join(own, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+    own = tiles.join(by_image(size), "image_id") if tw is None or th is None else tiles.withColumns({"tw": F.lit(tw), "th": F.lit(th)})
+    own = own.filter((F.col("x") < F.col("tw")) & (F.col("y") < F.col("th")))
+    at = {"x": (margin + F.col("col") * (F.col("tw") + spacing) + F.col("x")).cast("int"), "y": (margin + F.col("row") * (F.col("th") + spacing) + F.col("y")).cast("int")}
+    none = F.lit(0).cast("long").alias("c")
+    out = own.select("image_id", *[v.alias(n) for n, v in at.items()], F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+
+    def every(rows: DataFrame, across, down) -> DataFrame:
+        return rows.withColumn("x", F.explode(F.sequence(F.lit(0), across - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), down - 1)))
+
+    tw_, th_ = F.col("tw"), F.col("th")
+    grid = size.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    key = ["image_id", "row", "col"]
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = grid.join(cells.select(*key, "n"), key, "left").filter(F.coalesce("n", F.lit(0)) != tw_ * th_)
+    open_ = written(open_.select(*key, "tw", "th", F.coalesce("n", F.lit(0)).alias("n")), "open")
+    absent = open_.filter("n = 0").repartition(tasks, *key)
+    out = out.unionByName(every(absent, tw_, th_).select("image_id", *[v.alias(n) for n, v in at.items()], none))
+    partial = open_.filter("n > 0")
+    if not partial.isEmpty():
+        there = own.join(partial.select(*key), key, "left_semi").select(*key, "x", "y").hint("merge")
+        gaps = every(partial.repartition(tasks, *key), tw_, th_).join(there, [*key, "x", "y"], "left_anti")
+        out = out.unionByName(gaps.select("image_id", *[v.alias(n) for n, v in at.items()], none))
+    if spacing or margin:
+        w = F.lit(2 * margin) + F.col("cols") * tw_ + (F.col("cols") - 1) * spacing
+        h = F.lit(2 * margin) + F.col("rows") * th_ + (F.col("rows") - 1) * spacing
+        inside = F.lit(True)
+        for a, extent, many in (("x", tw_, "cols"), ("y", th_, "rows")):
+            i = F.col(a) - margin
+            inside = inside & (i >= 0) & (F.pmod(i, extent + spacing) < extent) & (F.floor(i / (extent + spacing)) < F.col(many))
+        out = out.unionByName(every(size, w, h).filter(~inside).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), none))
+    return out
 
 
 WHITE = (255, 255, 255)
@@ -136,6 +171,15 @@ def in_cells(marked_pixels: DataFrame, found: DataFrame) -> DataFrame:
     A sheet's bands travel in one row for each sheet: as sorted arrays, and as the band of every position up to the last, so
     that a pixel is joined by its image alone and looks its bands up by its place, however many there are.
     """
+    own = _band_arrays(found)
+    p = marked_pixels.join(by_image(own), "image_id").withColumns({"row": F.get("rows_at", F.col("y")), "col": F.get("cols_at", F.col("x"))}).filter("row >= 0 and col >= 0")
+    r, k = F.get("rows", F.col("row")), F.get("cols", F.col("col"))
+    place = [v.cast("int").alias(n) for v, n in ((k["start"], "cx"), (k["len"], "cw"), (r["start"], "cy"), (r["len"], "ch"))]
+    return p.select(*marked_pixels.columns, "row", "col", *place)
+
+
+def _band_arrays(found: DataFrame) -> DataFrame:
+    """image_id, rows and cols (bands in order), rows_at and cols_at (the band of each position, -1 between bands)."""
     band = F.struct("start", "len")
     sides = (("y", "rows"), ("x", "cols"))
     own = found.groupBy("image_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("axis") == a, band))).alias(name) for a, name in sides])
@@ -143,10 +187,7 @@ def in_cells(marked_pixels: DataFrame, found: DataFrame) -> DataFrame:
         gap = lambda b, i, n=name: b["start"] - F.coalesce(F.get(n, i - 1)["start"] + F.get(n, i - 1)["len"], F.lit(0))
         stretch = lambda b, i: F.concat(F.array_repeat(F.lit(-1), gap(b, i).cast("int")), F.array_repeat(i, b["len"].cast("int")))  # noqa: E731, B023
         own = own.withColumn(f"{name}_at", F.flatten(F.transform(name, stretch)))
-    p = marked_pixels.join(own, "image_id").withColumns({"row": F.get("rows_at", F.col("y")), "col": F.get("cols_at", F.col("x"))}).filter("row >= 0 and col >= 0")
-    r, k = F.get("rows", F.col("row")), F.get("cols", F.col("col"))
-    place = [v.cast("int").alias(n) for v, n in ((k["start"], "cx"), (k["len"], "cw"), (r["start"], "cy"), (r["len"], "ch"))]
-    return p.select(*marked_pixels.columns, "row", "col", *place)
+    return own
 
 
 def cells(placed: DataFrame, least: int = 8) -> DataFrame:
