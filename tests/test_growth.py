@@ -1,9 +1,16 @@
 """Plans that stay bounded however many images there are: Spark doesn't know how many pixels an image is."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from weftline.model import GridConfig, PipelineConfig, QuantizeConfig
 from weftline.operators import sheet
+from weftline.plans.sheets import fixed_tiles
+from weftline.sources.corpus import sheets
+from weftline.storage import TASK
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +81,26 @@ def test_assemble_fills_what_no_tile_covers(spark, size, spacing, margin):
             want |= {(i, x, y): 0 for y in range(2 * margin + lines * th + (lines - 1) * spacing)}
         want |= {(i, margin + col * (tw + spacing) + x, margin + row * (th + spacing) + y): c for row, col, x, y, c in own if x < tw and y < th}
     assert got == want
+
+
+def test_tiles_find_their_way_back_by_number(spark):
+    """Also those of images with ids at the ends, where a number has no room for row and column."""
+    rows = [(i, 0, 3, x, y, 255 + 256 * (x + y)) for i in (-7, 5) for x in range(4) for y in range(4)]
+    for ids in ({}, {5: (1 << 62) + 3}):
+        df = spark.createDataFrame([(ids.get(r[0], r[0]), r[2] * 4 + r[3], r[4], r[5]) for r in rows], "image_id long, x int, y int, c long")
+        done = fixed_tiles(df, 4, 4, config=PipelineConfig(grid=GridConfig(skip=True), quantize=QuantizeConfig(skip=True)))
+        assert sorted(map(tuple, done.collect())) == sorted((ids.get(r[0], r[0]), *r[1:]) for r in rows)
+
+
+def test_sheet_tiles_meet_no_broadcast_pixels(spark):
+    config = PipelineConfig(grid=GridConfig(size=4, phase=(0, 0)), quantize=QuantizeConfig(palette_name="pico-8"))
+    done = fixed_tiles(sheets(spark, SF), 12, 12, config=config)
+    wide = [x for part in below(plan(done), "BroadcastExchange") for x in part if "cx, cy]" in x and "Generate" in x and not any("HashAggregate" in y for y in part)]
+    assert wide == []
+
+
+def test_sheets_are_dealt_by_their_number(spark, tmp_path):
+    """A task's share stays the same however many sheets there are."""
+    spark.range(0, 16 * 300).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    exchange = [x for x in plan(sheets(spark, str(tmp_path))) if "REPARTITION_BY_NUM" in x]
+    assert int(re.search(r"hashpartitioning\(image_id#?\w*, (\d+)\)", exchange[0]).group(1)) >= 300 * 192 * 192 // TASK

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import channel, close_to, oklab_struct, packed
 from ..model import BackgroundConfig
-from ..storage import written
+from ..storage import by_image, tasks_for, written
 from . import regions
 
 
@@ -23,7 +23,7 @@ def border_color(pixels: DataFrame, threshold: float = 0.4, size: DataFrame | No
     where they are known.
     """
     size = extents(pixels) if size is None else size.select("image_id", "mx", "my")
-    p = pixels.join(size.filter("mx >= 1 and my >= 1"), "image_id")
+    p = pixels.join(by_image(size.filter("mx >= 1 and my >= 1")), "image_id")
     flat = F.col("y").isin(0) | (F.col("y") == F.col("my"))
     p = p.filter((flat | (F.col("x") == 0) | (F.col("x") == F.col("mx"))) & (channel(F.col("c"), 3) > 0))
     place = lambda along, across: F.col(along).cast("long") * 2 + F.when(F.col(across) == 0, 0).otherwise(1)
@@ -73,8 +73,8 @@ def remove_background(pixels: DataFrame, config: BackgroundConfig, block: int =
         return pixels.select("image_id", "x", "y", "c", *flagged(F.lit(False)))
     if config.flood:
         size = written(extents(pixels), "extents", few=True)
-        wide = not size.filter((F.col("mx") >= block) | (F.col("my") >= block)).isEmpty()
-        found = regions.flood(marked(pixels, config, size).withColumn("filler", F.lit(False)), "image_id", wide=wide, block=block)
+        wide, many = size.agg(F.max((F.col("mx") >= block) | (F.col("my") >= block)), F.sum((F.col("mx") + 1).cast("long") * (F.col("my") + 1))).first()
+        found = regions.flood(marked(pixels, config, size).withColumn("filler", F.lit(False)), "image_id", wide=bool(wide), block=block, tasks=tasks_for(pixels.sparkSession, many or 0))
         return found.select("image_id", "x", "y", "c", *flagged(F.col("gone")))
     p = marked(pixels, config)
     return p.select("image_id", "x", "y", F.when(F.col("hit"), F.lit(0).cast("long")).otherwise(F.col("c")).alias("c"), *flagged(F.col("hit")))

@@ -62,23 +62,23 @@ def vote(pixels: DataFrame, grid: DataFrame, mode: Mode) -> DataFrame:
     return counts.groupBy(*key).agg(F.max(order)["c"].alias("c"))
 
 
-def snap(pixels: DataFrame, grid: DataFrame) -> DataFrame:
+def snap(pixels: DataFrame, grid: DataFrame, tasks: int | None = None) -> DataFrame:
     """Every whole block in its colour; a pixel keeps its own alpha, and those outside of blocks stay as they are.
 
     The vote is a window over the block; pixels are joined with nothing but their grid. They are dealt by block whichever way
-    that join is made: dealt by image for it, a huge sheet would stay one task.
+    that join is made: dealt by image for it, a huge sheet would stay one task. ``tasks`` is for callers that know how many pixels there are.
     """
     block = Window.partitionBy("image_id", "bx", "by")
     colour = Window.partitionBy("image_id", "bx", "by", "c")
-    p = _positions(pixels, grid).repartition("image_id", "bx", "by")
+    p = _positions(pixels, grid).repartition(*([tasks] if tasks else []), "image_id", "bx", "by")
     p = p.withColumns({"v": F.sum(centre_weight()).over(colour), "first": F.min(F.col("dy") * 65536 + F.col("dx")).over(colour)})
     p = p.withColumn("won", F.max(F.struct("v", F.col("first").alias("k"), "c")).over(block)["c"])
     own = F.col("won") - channel(F.col("won"), 3) + channel(F.col("c"), 3)
     return p.select("image_id", "x", "y", F.when(F.col("inside"), own).otherwise(F.col("c")).alias("c"))
 
 
-def downscale(pixels: DataFrame, grid: DataFrame, mode: Mode) -> DataFrame:
+def downscale(pixels: DataFrame, grid: DataFrame, mode: Mode, tasks: int | None = None) -> DataFrame:
     """Snap in place, or one pixel for each whole block."""
     if mode is Mode.SNAP:
-        return snap(pixels, grid)
+        return snap(pixels, grid, tasks)
     return vote(pixels, grid, mode).select("image_id", F.col("bx").alias("x"), F.col("by").alias("y"), "c")

@@ -35,9 +35,12 @@ def nearest(colours: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def snap_to_palette(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """Every pixel in the nearest palette colour; alpha stays, and transparent pixels stay as they are."""
+    """Every pixel in the nearest palette colour; alpha stays, and transparent pixels stay as they are.
+
+    Each colour is found; the join is a left one since pixels can't be the broadcast side of such.
+    """
     near = nearest(pixels, palette).select("c", packed(F.col("r"), F.col("g"), F.col("b"), channel(F.col("c"), 3)).alias("won"))
-    return pixels.join(near, "c").select("image_id", "x", "y", F.when(channel(F.col("c"), 3) == 0, F.col("c")).otherwise(F.col("won")).alias("c"))
+    return pixels.filter("c is not null").join(near, "c", "left").select("image_id", "x", "y", F.when(channel(F.col("c"), 3) == 0, F.col("c")).otherwise(F.col("won")).alias("c"))
 
 
 def weighted_colours(pixels: DataFrame) -> DataFrame:

@@ -186,16 +186,17 @@ def _sides(mx: Column, my: Column, block: int) -> tuple[Column, Column]:
     return edge, seam
 
 
-def flood(marked: DataFrame, *keys: str, wide: bool = True, block: int = BLOCK) -> DataFrame:
+def flood(marked: DataFrame, *keys: str, wide: bool = True, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """keys, x, y, c and gone of marked (keys, x, y, c, hit, filler, mx, my): pixels that are connected with the border over hits are 0.
 
     ``mx`` and ``my`` are the last column and line of what ``keys`` (numbers) name. One pixel of a place counts, a filler last. ``wide`` may be false only where nothing is larger than a block; then one shuffle is all.
+    ``tasks`` is how many tasks blocks are dealt to, for callers that know how many pixels there are.
     """
     edge, seam = _sides(F.col("mx"), F.col("my"), block)
     b = [F.floor(F.col(a) / block).cast("int").alias(f"b{a}") for a in "yx"]
     p = marked.select(*keys, *b, "x", "y", "c", "hit", edge.alias("edge"), seam.alias("seam"), "filler")
     names = [*keys, "by", "bx"]
-    dealt = p.repartition(*names).sortWithinPartitions(*names, "y", "x", "filler").drop("filler")
+    dealt = p.repartition(*([tasks] if tasks else []), *names).sortWithinPartitions(*names, "y", "x", "filler").drop("filler")
     kinds = dict(marked.dtypes)
     ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x int", "y int", f"c {kinds['c']}", "gone boolean", "node long"])
     found = dealt.mapInArrow(lambda it: _blocks(it, list(keys), block), ddl)

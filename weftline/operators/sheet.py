@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import channel, close_to, oklab_struct, packed
 from ..model import AutoSplitConfig
-from ..storage import by_image, written
+from ..storage import by_image, tasks_for, written
 from . import regions
 from .background import border_color
 
@@ -135,7 +135,7 @@ def marked(pixels: DataFrame, background: tuple[int, int, int] | None, tolerance
     if detect:
         facts = written(sheet_facts(pixels), "facts", few=True)
         own = sheet_background(pixels, facts).select("image_id", F.when(F.col("bg").isNotNull(), oklab_struct(F.col("bg"))).alias("__bg"))
-        p, bg = pixels.join(written(own, "backgrounds", few=True), "image_id"), F.col("__bg")
+        p, bg = pixels.join(by_image(written(own, "backgrounds", few=True)), "image_id"), F.col("__bg")
     elif background is None:
         return pixels.withColumn("bg", channel(F.col("c"), 3) < 128)
     else:
@@ -230,20 +230,27 @@ def auto_tiles(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -
 
     Bands and the tiles' places, a few rows for each sheet, are written, so that pixels are read once for each of them and once more.
     """
+    return placed_tiles(pixels, config)[0]
+
+
+def placed_tiles(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> tuple[DataFrame, DataFrame]:
+    """The tiles of ``auto_tiles``, and what ``tile_cells`` would find in them: they are whole."""
     p = marked(pixels, config.color, config.tolerance, config.color is None)
     lines = written(bands(profiles(p, config.separator_threshold), config.min_sprite_size, "axis"), "bands", few=True)
     found = in_cells(p, lines)
     place = placements(cells(found, config.min_sprite_size), config.pad).select("image_id", "row", "col", *[F.col(n).alias(f"b_{n}") for n in ("x", "y", "w", "h")], "tw", "th", "ox", "oy")
     place = written(place, "placements", few=True)
-    own = found.select("image_id", "row", "col", "x", "y", "c", "bg").join(place, ["image_id", "row", "col"])
+    own = found.select("image_id", "row", "col", "x", "y", "c", "bg").join(by_image(place), ["image_id", "row", "col"])
     for a, extent in (("x", "w"), ("y", "h")):
         own = own.filter((F.col(a) >= F.col(f"b_{a}")) & (F.col(a) < F.col(f"b_{a}") + F.col(f"b_{extent}")))
     ends = [(F.col(n) - 1).cast("int").alias(m) for n, m in (("tw", "mx"), ("th", "my"))]
     own = own.select("image_id", "row", "col", *[(F.col(f"o{a}") + F.col(a) - F.col(f"b_{a}")).cast("int").alias(a) for a in "xy"], "c", F.col("bg").alias("hit"), F.lit(False).alias("filler"), *ends)
     ground = place.select("image_id", "row", "col", *ends, F.explode(F.expr("sequence(0, cast(tw as int) - 1)")).alias("x"))
     ground = ground.withColumns({"y": F.explode(F.expr("sequence(0, my)")), "c": F.lit(0).cast("long"), "hit": F.lit(True), "filler": F.lit(True)})
-    wide = not place.filter((F.col("tw") > regions.BLOCK) | (F.col("th") > regions.BLOCK)).isEmpty()
-    return regions.flood(own.unionByName(ground), "image_id", "row", "col", wide=wide).drop("gone")
+    size = F.col("tw").cast("long") * F.col("th")
+    wide, many = place.agg(F.max((F.col("tw") > regions.BLOCK) | (F.col("th") > regions.BLOCK)), F.sum(size)).first()
+    tiles = regions.flood(own.unionByName(ground), "image_id", "row", "col", wide=bool(wide), tasks=tasks_for(pixels.sparkSession, 2 * (many or 0)))  # the ground too
+    return tiles.drop("gone"), place.select("image_id", "row", "col", F.col("tw").cast("int").alias("w"), F.col("th").cast("int").alias("h"), size.alias("n"))
 
 
 def auto_split_errors(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConfig()) -> DataFrame:
@@ -259,8 +266,12 @@ def auto_split_errors(pixels: DataFrame, config: AutoSplitConfig = AutoSplitConf
 
 def tile_summary(tiles: DataFrame) -> DataFrame:
     """What a preview shows of each sheet's tiles: image_id, tile_count, tile_width, tile_height, cols, rows."""
-    each = tiles.groupBy("image_id", "row", "col").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return each.groupBy("image_id").agg(F.count("*").alias("tile_count"), F.max("w").alias("tile_width"), F.max("h").alias("tile_height"), (F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"))
+    return cell_summary(tile_cells(tiles))
+
+
+def cell_summary(cells_: DataFrame) -> DataFrame:
+    """The same from what ``tile_cells`` has found or ``placed_tiles`` has set, a row for each tile."""
+    return cells_.groupBy("image_id").agg(F.count("*").alias("tile_count"), F.max("w").alias("tile_width"), F.max("h").alias("tile_height"), (F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("rows"))
 
 
 def frames(tiles: DataFrame, fps: int, row: int | None = None) -> DataFrame:

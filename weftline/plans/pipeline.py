@@ -14,16 +14,16 @@ from ..operators.sheet import resize_to
 from ..operators.stencil import remove_aa
 
 
-def run_pipeline(pixels: DataFrame, config: PipelineConfig = PipelineConfig(), grid: DataFrame | None = None) -> DataFrame:
+def run_pipeline(pixels: DataFrame, config: PipelineConfig = PipelineConfig(), grid: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Grid, blends, blocks, palette, background, size; stages that are switched off leave no node in the plan.
 
-    A ``grid`` found elsewhere takes the place of detection.
+    A ``grid`` found elsewhere takes the place of detection. ``tasks`` is how many tasks blocks are dealt to, if that is known.
     """
     if grid is None and not config.grid.skip:
         grid = detect_grid(pixels, config.grid)
     out = pixels if config.aa.skip else remove_aa(pixels, config.aa.threshold)
     if grid is not None:
-        out = downscale(out, grid.filter("grid_size > 1"), config.mode)
+        out = downscale(out, grid.filter("grid_size > 1"), config.mode, tasks)
     out = remove_background(quantize(out, config.quantize), config.background)
     if config.width or config.height or config.scale or (grid is not None and config.mode is not Mode.SNAP):
         # other modes than snap leave a small raster, which goes back to its first size unless one is asked for

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import tasks_for
+
 # Red, green, blue, yellow, magenta, cyan, grey, orange.
 COLOURS = ((255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255), (128, 128, 128), (255, 128, 0))
 GREY = 128 << 24 | 128 << 16 | 128 << 8 | 255
@@ -21,17 +23,12 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"scale": (F.col("image_id") % 4 + 2).cast("int"), "off": (F.floor(F.col("image_id") / 4) % 2).cast("int")})
 
 
-#: Pixels of a task, about.
-TASK = 1 << 20
-
-
 def _dealt(images: DataFrame, pixels: int) -> DataFrame:
     """One row an image is little to read and much to work on: deal images out by id before they become pixels.
 
-    ``pixels`` is what an image has of them, about. A task gets no more than TASK, however many images there are.
+    ``pixels`` is what an image has of them, about.
     """
-    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return images.repartition(max(tasks, -(-images.count() * pixels // TASK)), "image_id")
+    return images.repartition(tasks_for(images.sparkSession, images.count() * pixels), "image_id")
 
 
 def _colour(sprite: Column, x: Column, y: Column) -> Column:

@@ -25,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
+#: Pixels of a task, about.
+TASK = 1 << 20
+
+
+def tasks_for(spark: SparkSession, pixels: int) -> int:
+    """Tasks for so many pixels, so that one's share doesn't grow with the corpus; as many as shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pixels // TASK))
+
+
 def by_image(facts: DataFrame) -> DataFrame:
     """``facts``, a row or so for each image, to be joined with pixels by hash, each task with its own images'.
 
@@ -38,5 +47,6 @@ def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` written once and read back; ``few`` for tables of a row for each image or so, in few files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    (df.coalesce(spark.sparkContext.defaultParallelism) if few else df).write.option("compression", "zstd").parquet(path)
+    # dealt anew, not coalesced: that would also do what comes before, a pass over all pixels, in as few tasks
+    (df.repartition(spark.sparkContext.defaultParallelism) if few else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
