@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,42 +36,93 @@ def along(axis: str) -> Window:
     return Window.partitionBy("image_id", "band", other).orderBy(axis)
 
 
-def neighbours(pixels: DataFrame, *values: Column) -> DataFrame:
-    """Pixels with own and n0 to n7, their own colour and those of their neighbours in the order of OFFSETS, as structs of
-    c and ``values``; null beyond the image."""
-    row, line = along("x"), along("y")
-    p = banded(pixels).withColumn("me", F.struct("c", *values))
-    p = p.withColumns({"w": F.lag("me").over(row), "e": F.lead("me").over(row)})
-    p = p.withColumn("tri", F.struct("w", "me", "e")).withColumns({"n": F.lag("tri").over(line), "s": F.lead("tri").over(line)})
-    seen = {(-1, 0): F.col("w"), (1, 0): F.col("e")} | {(dx, dy): F.col(side)[name] for side, dy in (("n", -1), ("s", 1)) for dx, name in ((-1, "w"), (0, "me"), (1, "e"))}
-    return p.filter("own").select("image_id", "x", "y", "me", *[seen[o].alias(f"n{i}") for i, o in enumerate(OFFSETS)])
+def _top_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixels sorted by image, band, y and x, each with the two most frequent colours around it; whole bands, many at once.
+
+    A neighbour is looked up by its place in the order: beside it on the line, or by binary search on the line above and below.
+    """
+    held: list[pa.RecordBatch] = []
+    names = ("image_id", "band")
+
+    def work(table: pa.Table):
+        image, band, x, y, c = (table.column(n).to_numpy() for n in ("image_id", "band", "x", "y", "c"))
+        own = table.column("own").combine_chunks().to_numpy(zero_copy_only=False)
+        new = np.append(True, (image[1:] != image[:-1]) | (band[1:] != band[:-1]))
+        left, low = int(x.min()), int(y.min())
+        width, height = int(x.max()) - left + 3, int(y.max()) - low + 3  # a margin on each side, so that lines and bands don't touch
+        place = ((np.cumsum(new) - 1) * height + (y.astype(np.int64) - low + 1)) * width + (x - left + 1)
+        every = np.flatnonzero(own)
+        for start in range(0, len(every), STEP):  # a wide band is no more at once than any other
+            mine = every[start : start + STEP]
+            seen = np.empty((8, len(mine)), np.int64)
+            there = np.empty((8, len(mine)), bool)
+            for i, (dx, dy) in enumerate(OFFSETS):
+                wanted = place[mine] + dy * width + dx
+                at = mine + dx if dy == 0 else np.searchsorted(place, wanted)
+                at = np.clip(at, 0, len(place) - 1)
+                there[i] = place[at] == wanted
+                seen[i] = c[at]
+            same = np.zeros((8, len(mine)), np.int8)
+            for i in range(8):
+                for j in range(i, 8):
+                    alike = there[i] & there[j] & (seen[i] == seen[j])
+                    same[i] += alike
+                    if j > i:
+                        same[j] += alike
+            # the least key wins: the most frequent colour, of equal ones that seen first
+            key = np.where(there, (8 - same) * 8 + np.arange(8, dtype=np.int8)[:, None], NONE).astype(np.int8)
+            each = np.arange(len(mine))
+            first = key.argmin(axis=0)
+            c1 = seen[first, each]
+            key[there & (seen == c1)] = NONE
+            second = key.argmin(axis=0)
+            # each colour's neighbours have shares that add up to one
+            kinds = np.rint(np.divide(1.0, same, out=np.zeros(same.shape), where=same > 0).sum(axis=0)).astype(np.int32)
+            some, two = kinds > 0, key.min(axis=0) < NONE
+            rows = pa.array(mine)
+            columns = {n: table.column(n).combine_chunks().take(rows) for n in ("image_id", "x", "y", "c")}
+            columns |= {"c1": pa.array(c1, mask=~some), "c2": pa.array(seen[second, each], mask=~two), "n_unique": pa.array(kinds)}
+            yield from pa.Table.from_pydict(columns).to_batches(max_chunksize=1 << 16)
+
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < STEP:
+            continue
+        table = pa.Table.from_batches(held)
+        same = np.ones(n, bool)
+        for name in names:
+            column = table.column(name).to_numpy()
+            same &= column == column[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last band may go on
+        if cut:
+            yield from work(table.slice(0, cut))
+        held, n = table.slice(cut).to_batches(), n - cut
+    if n:
+        yield from work(pa.Table.from_batches(held))
 
 
 #: Above any neighbour's key.
 NONE = 99
+#: Rows that are worked on together, at least.
+STEP = 1 << 16
 
 
-def _two(pixels: DataFrame, *values: Column) -> DataFrame:
-    """Pixels with their neighbours' colours (ks, -1 beyond the image) and the structs of the two most frequent, null
-    where there are none.
+def _two(pixels: DataFrame) -> DataFrame:
+    """Pixels with the two most frequent colours around them (c1 and c2, null where there are none) and their number.
 
-    A neighbour's key is its colour's number and its place, the least key wins. These are functions of an array of eight:
-    written out as comparisons they make methods too large to be compiled.
+    Dealt out by image and band and sorted once; the rest is arithmetic on arrays of many bands.
     """
-    every = [f"n{i}" for i in range(8)]
-    p = neighbours(pixels, *values).withColumn("ks", F.array(*[F.coalesce(F.col(f"{n}.c"), F.lit(-1).cast("long")) for n in every]))
-    ks = F.col("ks")
-    key = lambda k, i: F.when(k < 0, NONE).otherwise((8 - F.size(F.filter(ks, lambda m: m == k))) * 8 + i)
-    p = p.withColumn("keys", F.transform(ks, key)).withColumn("first", F.array_min("keys"))
-    p = p.withColumn("one", F.when(F.col("first") < NONE, F.get(F.array(*every), F.col("first") % 8)))
-    p = p.withColumn("second", F.array_min(F.transform(ks, lambda k, i: F.when(k == F.col("one.c"), NONE).otherwise(F.get("keys", i)))))
-    return p.withColumn("two", F.when(F.col("second") < NONE, F.get(F.array(*every), F.col("second") % 8)))
+    p = banded(pixels).sortWithinPartitions("image_id", "band", "y", "x").select("image_id", "band", "x", "y", "c", "own")
+    kinds = dict(pixels.dtypes)
+    ddl = ", ".join([*(f"{n} {kinds[n]}" for n in ("image_id", "x", "y", "c")), "c1 long, c2 long, n_unique int"])
+    return p.mapInArrow(_top_two, ddl)
 
 
 def top_two(pixels: DataFrame) -> DataFrame:
     """image_id, x, y, c, the two most frequent neighbour colours (c2 null if there is one) and how many there are."""
-    kinds = F.size(F.array_distinct(F.filter("ks", lambda k: k >= 0)))
-    return _two(pixels).filter("one is not null").select("image_id", "x", "y", F.col("me.c").alias("c"), F.col("one.c").alias("c1"), F.col("two.c").alias("c2"), kinds.alias("n_unique"))
+    return _two(pixels).filter("c1 is not null")
 
 
 def is_between(whole: Column, first: Column, second: Column, threshold: float) -> Column:
@@ -83,10 +138,12 @@ def remove_aa(pixels: DataFrame, threshold: float = 0.5, flag: str | None = None
     Written in place: the pixels are shuffled once and joined with nothing. A ``flag`` names a further column: whether the
     pixel was a blend.
     """
-    t = _two(pixels, oklab_struct(F.col("c")).alias("lab"))
-    c, lab = F.col("me.c"), [F.col(f"{name}.lab") for name in ("me", "one", "two")]
-    candidate = F.coalesce((channel(c, 3) > 0) & (c != F.col("one.c")) & (c != F.col("two.c")), F.lit(False))
-    t = t.select("image_id", "x", "y", c.alias("c"), F.col("one.c").alias("c1"), F.col("two.c").alias("c2"), candidate.alias("candidate"), distance(lab[1], lab[2]).alias("whole"), distance(lab[1], lab[0]).alias("d1"), distance(lab[0], lab[2]).alias("d2"))
+    t = _two(pixels)
+    lab = [oklab_struct(F.col(name)).alias(f"lab_{name}") for name in ("c", "c1", "c2")]
+    candidate = F.coalesce((channel(F.col("c"), 3) > 0) & (F.col("c") != F.col("c1")) & (F.col("c") != F.col("c2")), F.lit(False))
+    t = t.select("image_id", "x", "y", "c", "c1", "c2", candidate.alias("candidate"), *lab)
+    me, one, two = (F.col(f"lab_{name}") for name in ("c", "c1", "c2"))
+    t = t.select("image_id", "x", "y", "c", "c1", "c2", "candidate", distance(one, two).alias("whole"), distance(one, me).alias("d1"), distance(me, two).alias("d2"))
     won = F.when(units(F.col("d1")) <= units(F.col("d2")), F.col("c1")).otherwise(F.col("c2"))
     blend = F.col("candidate") & is_between(F.col("whole"), F.col("d1"), F.col("d2"), threshold)
     return t.select("image_id", "x", "y", F.when(blend, won - channel(won, 3) + channel(F.col("c"), 3)).otherwise(F.col("c")).alias("c"), *([F.coalesce(blend, F.lit(False)).alias(flag)] if flag else []))
