@@ -104,3 +104,8 @@ def test_sheets_are_dealt_by_their_number(spark, tmp_path):
     spark.range(0, 16 * 300).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     exchange = [x for x in plan(sheets(spark, str(tmp_path))) if "REPARTITION_BY_NUM" in x]
     assert int(re.search(r"hashpartitioning\(image_id#?\w*, (\d+)\)", exchange[0]).group(1)) >= 300 * 192 * 192 // TASK
+
+
+@pytest.mark.parametrize("name", ["auto_split", "cell_envelope", "gif_frames_all", "gif_frames_row"])
+def test_sprites_are_found_without_sorting_pixels(spark, name):
+    assert [x for x in plan(queries()[name](spark, SF)) if "SortMergeJoin" in x] == []
