@@ -7,10 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from weftline.functions import encode
 from weftline.operators import palette
+from weftline.plans.queries import far_pixels
 from weftline.sources import image_files, sinks
-from weftline.sources.images import pixels_of, read_images
+from weftline.sources import images as images_module
+from weftline.sources.images import colour_at, pixels_of, rasters_of, read_images
 
 GEN = np.random.default_rng(9)
 
@@ -59,6 +62,62 @@ def test_strips_with_holes(spark):
     assert zlib.decompress(idat(data)) == zlib.decompress(idat(encode.png(want)))
 
 
+def test_strips_across_batches(spark):
+    """Strips that begin and end anywhere in the batches that Spark hands on, of several images and kinds."""
+    rasters = [colours(130, 3), colours(70, 5), colours(1, 1), colours(64, 2)]
+    df = frame(spark, *rasters).repartition(3).withColumn("kind", F.when(F.col("image_id") == 1, "bmp").otherwise("png"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for many in (1, 7, 128):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", many)
+            for kind in ("png", F.col("kind")):
+                got = {r.image_id: bytes(r.data) for r in sinks.encode_images(df, kind).collect()}
+                assert got == {i: encode.bmp(r) if i == 1 and not isinstance(kind, str) else encode.png(r) for i, r in enumerate(rasters)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("kind, many", [("png", 1), ("jpg", 2)])
+def test_files_are_dealt_by_number(spark, kind, many):
+    """Packed strips and files are few bytes, which Spark would join in one task however much work they are."""
+    plan = sinks.encode_images(frame(spark, colours(3, 3)), kind)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == many and "REPARTITION_BY_COL" not in plan
+    assert "FlatMapGroups" not in plan  # a group costs more than a small strip
+
+
+def test_colours_by_place(spark):
+    rasters = [colours(3, 70), colours(5, 2)]
+    images = spark.createDataFrame([(i, r.shape[1], r.shape[0], 4, encode.rgba(r)[:, :, [2, 1, 0, 3]].tobytes(), True) for i, r in enumerate(rasters)], "image_id long, width int, height int, channels int, data binary, ok boolean")
+    px = pixels_of(images)
+    beyond = spark.createDataFrame([(0, 70, 0), (0, -1, 0), (0, 0, 3), (1, 0, -1)], "image_id long, x int, y int")
+    for lines in (images_module.LINES, 100, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(images_module, "LINES", lines)
+            own = rasters_of(images)
+            assert {r.image_id: len(r.parts) for r in own.collect()} == {i: -(-r.shape[0] // max(1, lines // r.shape[1])) for i, r in enumerate(rasters)}
+            got = px.join(own, "image_id").select("c", colour_at(F.col("x"), F.col("y")).cast("long").bitwiseAND(0xFFFFFFFF).alias("got"))
+            assert got.count() == 220 and got.filter("not c <=> got").count() == 0
+            assert beyond.join(own, "image_id").filter(colour_at(F.col("x"), F.col("y")).isNotNull()).count() == 0
+
+
+def test_far_pixels(spark):
+    """Pixels of one side only, images of one side only, and differences in each channel."""
+    raster = GEN.integers(0, 200, (4, 6)) * 0x1010100 | 255
+    rows = [(1, x, y, int(c)) for (y, x), c in np.ndenumerate(raster)]
+    wanted = [r for r in rows if r[1:3] not in {(0, 0), (5, 3)}] + [(1, 6, 0, 255), (1, 0, 4, 255), (2, 0, 0, 255)]
+    apart = {(1, 1): 5 << 24, (2, 1): 5 << 16, (3, 1): 5 << 8, (4, 1): 4 << 24}
+    wanted = [(i, x, y, c + apart.get((x, y), 0)) for i, x, y, c in wanted]
+    images = spark.createDataFrame([(i, 6, 4, 4, encode.rgba(raster)[:, :, [2, 1, 0, 3]].tobytes(), True) for i in (1, 3)], "image_id long, width int, height int, channels int, data binary, ok boolean")
+    got = far_pixels(spark.createDataFrame(wanted, "image_id long, x int, y int, c long"), rasters_of(images)).collect()
+    # of image 1: two missing, two too many, three too far apart
+    assert {tuple(r) for r in got} == {(1, 26, 7), (2, 1, 1), (3, 24, 24)}
+
+
+def test_files_are_compared_without_shuffled_pixels(spark):
+    plan = queries()["jpeg_written_pixels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin [image_id" in plan
+
+
 def idat(data):
     out, at = b"", 8
     while at < len(data):

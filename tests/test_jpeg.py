@@ -82,6 +82,20 @@ def test_kinds_side_by_side(spark):
     assert begin == {0: b"\x89P", 1: b"\xff\xd8", 2: b"BM", 3: b"\xff\xd8"}
 
 
+def test_strips_together_are_strips_alone():
+    """Pieces of a strip and many strips in a piece give the same bytes, restart markers by line included."""
+    strips = [np.stack([r >> s & 255 for s in (24, 16, 8)], -1) for r in (noise(64, 30), smooth(64, 130), noise(1, 1), np.full((64, 9), packed([255, 0, 0])), noise(44, 70))]
+    for quality in (10, 100):
+        alone = []
+        for own in strips:
+            lines = [jpeg._bits(jpeg._coefficients(own[i : i + 8], quality), np.array([-(-own.shape[1] // 8)]))[0] + bytes([0xFF, 0xD0 + i // 8 % 8]) for i in range(0, len(own), 8)]
+            alone.append(b"".join(lines))
+        for piece in (1, 1000, 1 << 16):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(jpeg, "PIECE", piece)
+                assert jpeg.strips(strips, quality) == alone
+
+
 def test_codes_and_steps():
     for kind in (0, 1):
         code, bits = jpeg.codes(kind)

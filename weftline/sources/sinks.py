@@ -1,7 +1,7 @@
 """Encoded images as a binary column, file names, and files.
 
-A PNG or JPEG is compressed in strips of lines, each a group of its own; only its compressed strips come together, as the row
-that holds the file. The pixels of a BMP or GIF image are one group, which is bounded by the largest image, not by the corpus.
+A PNG or JPEG is compressed in strips of lines, each for itself; only its compressed strips come together, as the row that
+holds the file. The pixels of a BMP or GIF image are one group, which is bounded by the largest image, not by the corpus.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ JPEG = ("jpg", "jpeg")
 ENCODERS = ("png", *JPEG, *WHOLE)
 
 
+PARTS = pa.schema([("image_id", pa.int64()), ("kind", pa.string()), ("strip", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("check", pa.int64()), ("data", pa.binary())])
+
+
 def raster_of(pdf: pd.DataFrame) -> np.ndarray:
     """A raster of packed colours; cells without a row are transparent."""
     out = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), np.int64)
@@ -32,6 +35,55 @@ def raster_of(pdf: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _new(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows, from the second on, whose keys are others than those of the row before."""
+    new = np.zeros(max(0, len(table) - 1), bool)
+    for key in keys:
+        column = table.column(key)
+        if not pa.types.is_integer(column.type):
+            column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode("encode").indices
+        new |= np.diff(column.to_numpy()) != 0
+    return new
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that are sorted by ``keys``, some at a time, so that those with equal keys come together; only these are held back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        begins = np.flatnonzero(_new(batch, keys)) + 1
+        start = int(begins[-1]) if len(begins) else 0
+        seam = held and _new(pa.Table.from_batches([held[-1].slice(len(held[-1]) - 1), batch.slice(0, 1)]), keys)[0]
+        if start or seam:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _strips(batches: Iterator[pa.RecordBatch], keys: list[str], kind: str | None) -> Iterator[pa.RecordBatch]:
+    """Pixels, sorted by strip, as packed strips; cells without a row are transparent."""
+    for table in _whole(batches, keys):
+        image, strip, x, y, c = (table.column(n).to_numpy() for n in ("image_id", "strip", "x", "y", "c"))
+        kinds = None if kind else table.column("kind").combine_chunks()
+        begin = np.flatnonzero(np.concatenate([[True], _new(table, keys)]))
+        y = y - strip * encode.STRIP
+        width, height = table.column("width").to_numpy()[begin].astype(np.int64), np.maximum.reduceat(y, begin).astype(np.int64) + 1
+        ends = np.cumsum(width * height)
+        many = np.diff(begin, append=len(x))
+        cells = np.zeros(ends[-1], np.int64)
+        cells[np.repeat(ends - width * height, many) + y * np.repeat(width, many) + x] = c
+        rows = []
+        for i, at in enumerate(begin.tolist()):
+            own = kind or kinds[at].as_py()
+            raster = cells[ends[i] - width[i] * height[i] : ends[i]].reshape(height[i], width[i])
+            data, check = (WHOLE[own](raster), 0) if own in WHOLE else encode.png_strip(raster, 1 if own in JPEG else 6)
+            rows.append({"image_id": int(image[at]), "kind": own, "strip": int(strip[at]), "width": int(width[i]), "height": int(height[i]), "check": check, "data": data})
+        yield pa.RecordBatch.from_pylist(rows, PARTS)
+
+
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each image's parts, in order, as one file; strips that are narrower than the image or missing are filled up."""
     for batch in batches:
@@ -69,17 +121,28 @@ def _jpeg_file(width: int, height: int, parts: dict[int, dict], quality: int) ->
 
 
 def _jpeg_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strips of pixels as strips of a JPEG file of the whole image's width; other kinds as they are."""
+    """Strips of pixels as strips of a JPEG file of the whole image's width, many at a time; other kinds as they are."""
     for batch in batches:
-        rows = batch.to_pylist()
+        rows, held, pixels = batch.to_pylist(), [], 0
         for row in rows:
             width, lines = row["whole_width"], min(encode.STRIP, row["whole_height"] - row["strip"] * encode.STRIP)
             if row["kind"] in JPEG and max(width, row["whole_height"]) <= jpeg.LARGEST:
-                raster = encode.strip_raster(row["data"], row["width"], width, lines)
-                row["data"], row["width"] = jpeg.strip(encode.rgba(raster)[:, :, :3], row["quality"]), width
+                held.append((row, encode.rgba(encode.strip_raster(row["data"], row["width"], width, lines))[:, :, :3]))
+                row["width"], pixels = width, pixels + width * lines
+            if pixels >= jpeg.PIECE:
+                _code(held)
+                held, pixels = [], 0
+        _code(held)
         yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
 
+def _code(held: list[tuple[dict, np.ndarray]]) -> None:
+    """JPEG data of strips, all of one quality, in their rows."""
+    if held:
+        for (row, _), data in zip(held, jpeg.strips([own for _, own in held], held[0][0]["quality"]), strict=True):
+            row["data"] = data
+
+
 def encode_images(pixels: DataFrame, kind: str | Column = "png", quality: int = 75) -> DataFrame:
     """image_id, width, height and data (bytes of the format, which may be a column) for every image.
 
@@ -87,28 +150,29 @@ def encode_images(pixels: DataFrame, kind: str | Column = "png", quality: int =
     Data is null where a JPEG file has no room for the image (over 65535 lines or columns). Pixels of such files are first
     packed by strip without loss, since how wide a strip's lines are is known only when all strips of the image are; packed
     strips are then dealt out anew to be transformed.
+
+    Packed strips and files are few bytes and much work, so they are dealt to a number of tasks that is said outright: by bytes,
+    Spark would join them in one.
     """
     jpeg.steps(quality)
     jpegs = not isinstance(kind, str) or kind in JPEG
     if isinstance(kind, str) and kind not in ENCODERS:
         raise ValueError(f"no encoder for {kind!r}; known: {', '.join(ENCODERS)}")
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-
-    def part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        image, kind, strip = key
-        raster = raster_of(pdf.assign(y=pdf["y"] - strip * encode.STRIP))
-        data, check = (WHOLE[kind](raster), 0) if kind in WHOLE else encode.png_strip(raster)
-        return pd.DataFrame({"image_id": [image], "kind": [kind], "strip": [strip], "width": [raster.shape[1]], "height": [raster.shape[0]], "check": [check], "data": [data]})
-
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fixed = kind if isinstance(kind, str) else None
+    kind = F.lit(kind) if fixed else kind
+    keys = ["image_id", "strip"] if fixed else ["image_id", "kind", "strip"]
     strip = F.when(F.col("kind").isin(*WHOLE), 0).otherwise(F.floor(F.col("y") / encode.STRIP)).cast("int")
-    rows = pixels.select("image_id", "x", "y", "c", kind.alias("kind")).withColumn("strip", strip)
-    parts = rows.groupBy("image_id", "kind", "strip").applyInPandas(part, "image_id long, kind string, strip int, width int, height int, check long, data binary")
+    rows = pixels.select("image_id", "x", "y", "c", kind.alias("kind")).withColumn("strip", strip).select(*keys, "x", "y", "c")
+    # the window brings a strip's pixels together where they aren't yet, and says that they are
+    rows = rows.withColumn("width", F.max("x").over(Window.partitionBy(*keys)) + 1).sortWithinPartitions(*keys)
+    parts = rows.mapInArrow(lambda batches: _strips(batches, keys, fixed), "image_id long, kind string, strip int, width int, height int, check long, data binary")
     if jpegs:
         image = Window.partitionBy("image_id", "kind")
         whole = {"whole_width": F.max("width").over(image), "whole_height": F.max(F.col("strip") * encode.STRIP + F.col("height")).over(image), "quality": F.lit(quality)}
-        dealt = parts.withColumns(whole).repartition("image_id", "strip")
+        dealt = parts.withColumns(whole).repartition(tasks, "image_id", "strip")
         parts = dealt.mapInArrow(_jpeg_strips, dealt.schema)
-    images = parts.groupBy("image_id", "kind").agg(F.collect_list(F.struct("strip", "width", "height", "check", "data")).alias("parts")).withColumn("quality", F.lit(quality))
+    images = parts.repartition(tasks, "image_id", "kind").groupBy("image_id", "kind").agg(F.collect_list(F.struct("strip", "width", "height", "check", "data")).alias("parts")).withColumn("quality", F.lit(quality))
     return images.mapInArrow(_files, "image_id long, width int, height int, data binary")
 
 
