@@ -109,3 +109,12 @@ def test_sheets_are_dealt_by_their_number(spark, tmp_path):
 @pytest.mark.parametrize("name", ["auto_split", "cell_envelope", "gif_frames_all", "gif_frames_row"])
 def test_sprites_are_found_without_sorting_pixels(spark, name):
     assert [x for x in plan(queries()[name](spark, SF)) if "SortMergeJoin" in x] == []
+
+
+@pytest.mark.parametrize("name", ["gif_frames_row"])
+def test_a_task_finds_the_sprites_of_few_sheets(spark, name, tmp_path):
+    """Sheets are few bytes before they are pixels, for which Spark joined them in one task."""
+    spark.range(0, 16 * 120).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = queries()[name](spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    shares = [r.n for r in found.groupBy("task").agg(F.count_distinct("image_id").alias("n")).collect()]
+    assert sum(shares) == 120 and max(shares) <= 2 * TASK // 192**2
