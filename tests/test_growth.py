@@ -111,7 +111,7 @@ def test_sprites_are_found_without_sorting_pixels(spark, name):
     assert [x for x in plan(queries()[name](spark, SF)) if "SortMergeJoin" in x] == []
 
 
-@pytest.mark.parametrize("name", ["gif_frames_row", "cell_envelope", "gif_frames_all"])
+@pytest.mark.parametrize("name", ["gif_frames_row", "cell_envelope", "gif_frames_all", "auto_split"])
 def test_a_task_finds_the_sprites_of_few_sheets(spark, name, tmp_path):
     """Sheets are few bytes before they are pixels, for which Spark joined them in one task."""
     spark.range(0, 16 * 120).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
